@@ -83,7 +83,7 @@ def _entropy(table: str, conditions: list[str], name: str, weight: str = "1", wh
         f"(case when p{i} = 0 then 0 else p{i} * log10(nullif(p{i}, 0)) end)"
         for i in range(len(conditions))
     )
-    return f"select id, {_r(f'0 - ({terms})')} {name} from (select id, {sums} from {table} group by id)"
+    return f"select id, 0 - ({terms}) {name} from (select id, {sums} from {table} group by id)"
 
 
 def _sums(pairs: dict[str, str]) -> str:
@@ -126,8 +126,8 @@ _MEAN_GAP = f"""select id, sum(gap_micros)::double / (nullif(count(gap_micros),
       from ({_GAPS}) group by id"""
 
 _THRESHOLDS = ", ".join(
-    _r(f"""sum(n_times) filter (dow = {i})::double / nullif(count(*) filter (dow = {i}), 0)
-      + 3 * stddev_samp(n_times) filter (dow = {i})""") + f" umbral_trxn_{day}"
+    f"""sum(n_times) filter (dow = {i})::double / nullif(count(*) filter (dow = {i}), 0)
+      + 3 * stddev_samp(n_times) filter (dow = {i}) umbral_trxn_{day}"""
     for i, day in enumerate(DAYS)
 )
 
@@ -187,6 +187,13 @@ _NAMES = {
     "week_thresholds": [f"umbral_trxn_{day}" for day in DAYS],
 }
 COLUMNS = [c for names in _NAMES.values() for c in names]
+# Logarithms and deviations differ in the last digits between engines.
+_INEXACT = {"month_entropy", "trxn_horadia_entropy", "culpabanco_entropy",
+            "trxn_week_entropy", *_NAMES["week_thresholds"]}
+
+
+def _rounded(columns: list[str]) -> str:
+    return ", ".join(f"{_r(c)} {c}" if c in _INEXACT else c for c in columns)
 
 _LABELS = """select id, f_analisis, segmento, var_rpta,
   cast(left(cast(f_analisis as varchar), 4) as int) year_analisis from rpta"""
@@ -232,7 +239,7 @@ def _query(sql: str, *ctes: str, tables: str = _EVENT_TABLES) -> str:
 
 
 def _matrix_columns(label: bool) -> str:
-    return ", ".join(["id", *COLUMNS, *(["var_rpta"] if label else [])])
+    return _rounded(["id", *COLUMNS, *(["var_rpta"] if label else [])])
 
 
 def _scaled() -> str:
@@ -257,7 +264,10 @@ def _pairs() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = {name: _query(sql) for name, sql in FEATURES.items()}
+    plain = {
+        name: _query(f"select {_rounded(['id', *_NAMES[name]])} from ({sql})")
+        for name, sql in FEATURES.items()
+    }
     sample = (_MATRIX_CTE, _balanced(500), _correlations(COLUMNS), _SCORES)
     matrix = f"select {_matrix_columns(True)} from matrix"
     return plain | {
@@ -296,5 +306,5 @@ def oracle_sql() -> dict[str, str]:
         "positional_split": _query("""select id, case when row_number() over (order by id)
           <= trunc((select count(*) from matrix)::double * 0.7::double) then 'train' else 'test' end part
           from matrix""", _MATRIX_CTE),
-        "csv_roundtrip": _query("select * from trxn"),
+        "csv_roundtrip": _query("select * replace (cast(id as int) as id) from trxn"),
     }

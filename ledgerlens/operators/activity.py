@@ -132,7 +132,7 @@ def time_gaps(trxn: DataFrame) -> DataFrame:
     following = F.coalesce("next_micros", "next_start")
     return inside.join(starts, same_hour, "left").select(
         "id",
-        F.timestamp_micros("micros").alias("fecha_trxn"),
+        F.timestamp_micros("micros").cast("timestamp_ntz").alias("fecha_trxn"),
         (following - F.col("micros")).alias("gap_micros"),
     )
 

@@ -26,8 +26,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     )
 
 
+# Spark writes milliseconds unless told otherwise; reading takes any fraction.
+CSV_FORMATS = {
+    "header": True,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_FORMATS).csv(path)
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,7 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    want = con.execute(SQL[name]).fetch_arrow_table()
+    want = con.sql(SQL[name]).to_arrow_table()
     got = QUERIES[name](spark, FOLDER).toArrow()
     assert sorted(got.column_names) == sorted(want.column_names)
     for column in got.column_names:
