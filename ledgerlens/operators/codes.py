@@ -25,12 +25,16 @@ JOIN_SALTS = 64
 
 
 def _code_to_int(code: Column) -> Column:
-    text = F.when(code == "None", F.lit("-1")).otherwise(code)
+    text = code.cast("string")
+    text = F.when(text == "None", F.lit("-1")).otherwise(text)
     return F.round(text.cast("decimal(38,18)"), 0).cast("int")
 
 
 def clean_codes(raw: DataFrame) -> DataFrame:
-    """Text codes to integers: 'None' is -1, halves round away from zero."""
+    """Text codes to integers: 'None' is -1, halves round away from zero.
+
+    Codes that are integers already stay as they are.
+    """
     return raw.withColumns({c: _code_to_int(F.col(c)) for c in ("cdgtrn", "cdgrpta")})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ledgerlens.operators.codes import clean_codes
-from ledgerlens.sources.schemas import TABLES
+from ledgerlens.sources.schemas import TABLES, TRANSACTIONS
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -86,12 +86,30 @@ def load_inputs(spark: SparkSession, folder: str, spec: DatasetSpec, fmt: str =
     return Inputs(read(spec.transactions), read(spec.labels), clean_codes(dimension))
 
 
-def import_tables(spark: SparkSession, csv_paths: dict[str, str], folder: str) -> None:
-    """Load CSV files once and keep them as Parquet tables, the dimension cleaned."""
+CLUSTER_KEYS = ("id", "fecha_trxn", "sesion")
+
+
+def cluster_by_id(trxn: DataFrame, files: int | None = None) -> DataFrame:
+    """Order transactions so that a file holds a range of ids.
+
+    The rows of an id then meet in one or two tasks, and combining before the
+    shuffle shrinks every later pass to about one row per group. Ranges follow
+    id, time and session, so a busy id takes as many files as it needs.
+    """
+    ranged = trxn.repartitionByRange(*([files] if files else []), *CLUSTER_KEYS)
+    return ranged.sortWithinPartitions(*CLUSTER_KEYS)
+
+
+def import_tables(
+    spark: SparkSession, csv_paths: dict[str, str], folder: str, files: int | None = None
+) -> None:
+    """Load CSV files once as Parquet: dimension cleaned, transactions clustered by id."""
     for table, path in csv_paths.items():
         df = read_csv(spark, path, TABLES[table])
         if table == DIMENSION:
             df = clean_codes(df)
+        elif TABLES[table] is TRANSACTIONS:
+            df = cluster_by_id(df, files)
         df.write.mode("overwrite").parquet(f"{folder}/{table}")
 
 
