@@ -37,20 +37,14 @@ def epoch_micros(ts: Column) -> Column:
 def mean_time(ts: Column) -> Column:
     """Aggregate: mean time to the nearest microsecond, NULL without times.
 
-    Days, seconds and microseconds are summed apart as whole numbers. So the
-    result is exact in any row order, and no sum overflows even if one group
-    holds a hundred billion rows.
+    High and low bits are summed apart as whole numbers. So the result is exact
+    in any row order, and neither sum overflows below a hundred billion rows.
     """
-    instant = ts.cast("timestamp")
-    days = F.unix_date(ts.cast("date")).cast("bigint")
-    seconds = F.pmod(F.unix_seconds(instant), F.lit(86_400))
-    micros = F.pmod(F.unix_micros(instant), F.lit(1_000_000))
-    total = (
-        F.sum(days).cast("decimal(20,0)") * 86_400_000_000
-        + F.sum(seconds).cast("decimal(20,0)") * 1_000_000
-        + F.sum(micros).cast("decimal(20,0)")
-    )
-    mean = F.try_divide(total, F.count(ts).cast("decimal(20,0)"))
+    low_bits = 26
+    micros = epoch_micros(ts)
+    high = F.sum(F.shiftright(micros, low_bits)).cast("decimal(20,0)")
+    low = F.sum(micros.bitwiseAND(F.lit((1 << low_bits) - 1))).cast("decimal(20,0)")
+    mean = F.try_divide(high * (1 << low_bits) + low, F.count(ts).cast("decimal(20,0)"))
     return F.timestamp_micros(F.round(mean, 0).cast("bigint"))
 
 

@@ -88,9 +88,15 @@ def hour_day_entropy(trxn: DataFrame) -> DataFrame:
 
 
 def most_frequent(n: Column, value: Column) -> Column:
-    """Aggregate over (value, n) rows: the value of the highest n, the smallest on a tie."""
-    best = F.max(F.when(value.isNotNull(), F.struct(n, -value.cast("bigint"))))
-    return (-best["col2"]).cast("int")
+    """Aggregate over (value, n) rows: the value of the highest n, the smallest on a tie.
+
+    Count and 32-bit value form one number whose maximum is wanted; unlike a
+    struct, a number can be kept in a hash aggregation without sorting.
+    """
+    size, largest = 1 << 32, (1 << 31) - 1
+    key = n.cast("decimal(20,0)") * F.lit(size) + (F.lit(largest) - value.cast("bigint"))
+    best = F.max(F.when(value.isNotNull(), key))
+    return (F.lit(largest) - F.pmod(best, F.lit(size))).cast("int")
 
 
 def code_modes(trxn: DataFrame) -> DataFrame:

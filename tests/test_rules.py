@@ -63,6 +63,7 @@ def test_null_time_is_night_weekend_low_season_but_in_no_cell(spark):
 
 @pytest.mark.parametrize("values, mode", [
     ((3, 1, 3, 1, None), 1), ((None, None), None), ((-2, -2, 5), -2), ((None, None, 4), 4),
+    ((-2**31, 2**31 - 1), -2**31), ((2**31 - 1, 2**31 - 1, 0), 2**31 - 1),
 ])
 def test_mode(spark, values, mode):
     rows = trxn(spark, [{"cdgtrn": v, "cdgrpta": 9} for v in values])
