@@ -17,7 +17,6 @@ from ledgerlens.functions.timeparts import (
     in_office_hours,
     micros_to_seconds,
     on_business_day,
-    share,
 )
 
 MONTHS = tuple(range(1, 13))
@@ -73,8 +72,7 @@ def _entropy_by_id(trxn: DataFrame, counts: dict[str, Column], name: str) -> Dat
     cells = trxn.groupBy("id").agg(
         F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()]
     )
-    shares = [share(F.col(k), F.col("n")) for k in counts]
-    return cells.select("id", entropy10(shares).alias(name))
+    return cells.select("id", entropy10([F.col(k) for k in counts], F.col("n")).alias(name))
 
 
 def month_entropy(trxn: DataFrame) -> DataFrame:

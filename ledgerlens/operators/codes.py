@@ -147,7 +147,7 @@ def class_ratio_columns() -> list[Column]:
 
 def fault_entropy_column() -> Column:
     fault, rows = F.col("w_culpa"), F.col("w_rows")
-    return entropy10([share(fault, rows), share(rows - fault, rows)]).alias("culpabanco_entropy")
+    return entropy10([fault, rows - fault], rows).alias("culpabanco_entropy")
 
 
 def generated_columns(table: CodeTable, fraction: bool = False) -> list[Column]:

@@ -118,8 +118,8 @@ def week_entropy(trxn: DataFrame) -> DataFrame:
             for i, day in enumerate(WEEKDAY_NAMES)
         ],
     )
-    shares = [share(F.col(day), F.col("n")) for day in WEEKDAY_NAMES]
-    return days.select("id", entropy10(shares).alias("trxn_week_entropy"))
+    parts = [F.col(day) for day in WEEKDAY_NAMES]
+    return days.select("id", entropy10(parts, F.col("n")).alias("trxn_week_entropy"))
 
 
 def week_thresholds(trxn: DataFrame) -> DataFrame:

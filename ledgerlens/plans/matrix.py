@@ -20,7 +20,6 @@ from ledgerlens.functions.timeparts import (
     epoch_micros,
     mean_time,
     micros_to_seconds,
-    share,
 )
 from ledgerlens.operators import activity, codes, sessions
 from ledgerlens.operators.codes import CodeTable, code_table
@@ -101,8 +100,8 @@ def _counts_by_id(trxn: DataFrame, table: CodeTable) -> DataFrame:
     office = F.col("office_weekday") + F.col("office_weekend")
     weekday = F.col("office_weekday") + F.col("night_weekday")
     high = reduce(lambda a, b: a + b, [F.col(f"month_{m}") for m in HIGH_SEASON_MONTHS])
-    months = [share(F.col(k), n) for k in activity.month_counts(ts)]
-    cells = [share(F.col(k), n) for k in activity.hour_day_counts(ts)]
+    months = [F.col(k) for k in activity.month_counts(ts)]
+    cells = [F.col(k) for k in activity.hour_day_counts(ts)]
     return sums.select(
         "id",
         "total_trxn",
@@ -112,8 +111,8 @@ def _counts_by_id(trxn: DataFrame, table: CodeTable) -> DataFrame:
         (n - weekday).alias("total_weekend_trxn"),
         high.alias("high_season_trxn"),
         (n - high).alias("low_season_trxn"),
-        entropy10(months).alias("month_entropy"),
-        entropy10(cells).alias("trxn_horadia_entropy"),
+        entropy10(months, n).alias("month_entropy"),
+        entropy10(cells, n).alias("trxn_horadia_entropy"),
         *codes.class_ratio_columns(),
         codes.fault_entropy_column(),
         *codes.generated_columns(table),
@@ -181,7 +180,7 @@ def _sessions_by_id(trxn: DataFrame) -> DataFrame:
         F.max(F.when(F.col("canal").isNotNull(), F.col("n"))).alias("times_used_canal"),
         total("long").alias("total_atypical_sesion"),
         micros_to_seconds(total("normal_micros"), total("normal")).alias("avg_normal_sesion"),
-        entropy10([share(s, total("times")) for s in day_sums]).alias("trxn_week_entropy"),
+        entropy10(day_sums, total("times")).alias("trxn_week_entropy"),
         *[
             F.max(F.when(on(i), limit)).alias(name)
             for i, name in enumerate(sessions.THRESHOLDS)
