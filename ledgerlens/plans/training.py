@@ -8,7 +8,7 @@ boosted-tree libraries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
@@ -44,7 +44,7 @@ SEED = 1
 
 @dataclass(frozen=True)
 class BoostParams:
-    """Boosted-tree parameters.
+    """Boosted-tree parameters; ``overrides`` sets Spark parameters by name.
 
     ``split_loss`` and ``child_weight`` are totals over the rows of a node.
     Spark wants the gain per row and a row count: the loss is divided by the
@@ -58,9 +58,14 @@ class BoostParams:
     column_share: float = 0.3
     rounds: int = 1000
     validation_tol: float = 0.0001
+    overrides: Mapping[str, object] = field(default_factory=dict)
+
+    def tuned(self, values: Mapping[str, object]) -> BoostParams:
+        """With the Spark parameters of a grid point; the number of rounds stays."""
+        return replace(self, overrides={k: v for k, v in values.items() if k != "maxIter"})
 
     def classifier(self, rows: int) -> GBTClassifier:
-        return GBTClassifier(
+        trees = GBTClassifier(
             featuresCol="features",
             labelCol="label",
             stepSize=self.step_size,
@@ -72,6 +77,7 @@ class BoostParams:
             validationTol=self.validation_tol,
             seed=SEED,
         )
+        return trees.copy({trees.getParam(k): v for k, v in self.overrides.items()})
 
 
 def to_vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -189,6 +195,12 @@ def grid_search(
     return table.orderBy("log_loss")
 
 
+def best_point(found: DataFrame, grid: Mapping[str, Sequence] = GRID) -> dict[str, object]:
+    """The grid point of the lowest loss, with the values of the grid."""
+    params = found.orderBy("log_loss").first().params
+    return {name: next(v for v in grid[name] if str(v) == text) for name, text in params.items()}
+
+
 def train_network(
     sample: DataFrame, features: Sequence[str], epochs: int = 50, batch: int = 128
 ) -> Model:
