@@ -239,7 +239,7 @@ def _query(sql: str, *ctes: str, tables: str = _EVENT_TABLES) -> str:
 
 
 def _matrix_columns(label: bool) -> str:
-    return _rounded(["id", *COLUMNS, *(["var_rpta"] if label else [])])
+    return _rounded(["id", *COLUMNS]) + (", cast(var_rpta as double) var_rpta" if label else "")
 
 
 def _scaled() -> str:
@@ -247,7 +247,7 @@ def _scaled() -> str:
     scaled = ", ".join(
         _r(f"case when d_{c} = 0 then 0 else ({c} - m_{c}) / d_{c} end") + f" {c}" for c in COLUMNS
     )
-    return _query(f"select id, {scaled}, var_rpta from matrix, stats", _MATRIX_CTE,
+    return _query(f"select id, {scaled}, cast(var_rpta as double) var_rpta from matrix, stats", _MATRIX_CTE,
                   f"stats as (select {stats} from matrix)")
 
 
@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
     return plain | {
         "label_base": _query(_LABELS),
         "session_representative": _query("select * from first_rows"),
-        "time_gaps": _query(_GAPS),
+        "time_gaps": _query(f"select * replace (cast(gap_micros as double) as gap_micros) from ({_GAPS})"),
         "mean_gap_fast": plain["mean_gap"],
         "group_shares": _query(_generated(True)),
         "dimension_values": _query("""

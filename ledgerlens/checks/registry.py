@@ -75,20 +75,31 @@ def _dimension_clean(spark, folder):
     return codes.clean_codes(raw).select(*codes.KEYS, "descripcion_grupo")
 
 
+def _comparable(matrix: DataFrame) -> DataFrame:
+    """Rounded, and the label as double: whole numbers with NULLs differ between clients."""
+    label = ["var_rpta"] if "var_rpta" in matrix.columns else []
+    return rounded(matrix, INEXACT).withColumns({c: F.col(c).cast("double") for c in label})
+
+
 def _matrix(spark, folder):
-    return rounded(plans.assemble(_inputs(spark, folder)), INEXACT)
+    return _comparable(plans.assemble(_inputs(spark, folder)))
 
 
 def _matrix_fused(spark, folder):
-    return rounded(plans.fused_matrix(_inputs(spark, folder)), INEXACT)
+    return _comparable(plans.fused_matrix(_inputs(spark, folder)))
 
 
 def _matrix_predict(spark, folder):
-    return rounded(plans.fused_matrix(_inputs(spark, folder, False)), INEXACT)
+    return _comparable(plans.fused_matrix(_inputs(spark, folder, False)))
 
 
 def _matrix_orders(spark, folder):
-    return rounded(plans.fused_matrix(_order_inputs(spark, folder)), INEXACT)
+    return _comparable(plans.fused_matrix(_order_inputs(spark, folder)))
+
+
+def _time_gaps(spark, folder):
+    gaps = activity.time_gaps(_inputs(spark, folder).transactions)
+    return gaps.withColumn("gap_micros", F.col("gap_micros").cast("double"))
 
 
 _cache_folders: dict[str, str] = {}
@@ -113,7 +124,7 @@ def _features(matrix: DataFrame) -> list[str]:
 
 def _scaled(spark, folder):
     matrix, _ = plans.build_features(_inputs(spark, folder))
-    return rounded(matrix, _features(matrix))
+    return rounded(matrix, _features(matrix)).withColumn("var_rpta", F.col("var_rpta").cast("double"))
 
 
 def _sample(spark, folder, max_ones: int | None = None) -> tuple[DataFrame, list[str]]:
@@ -239,7 +250,7 @@ QUERIES: dict[str, Query] = {
     "month_entropy": _from_trxn(activity.month_entropy, "month_entropy"),
     "hour_day_entropy": _from_trxn(activity.hour_day_entropy, "trxn_horadia_entropy"),
     "fault_entropy": _from_codes(codes.fault_entropy, "culpabanco_entropy"),
-    "time_gaps": _from_trxn(activity.time_gaps),
+    "time_gaps": _time_gaps,
     "mean_gap": _from_trxn(activity.mean_gap),
     "mean_gap_fast": _from_trxn(activity.mean_gap_fast),
     "group_flags": _from_codes(codes.group_flags),

@@ -204,14 +204,17 @@ def best_point(found: DataFrame, grid: Mapping[str, Sequence] = GRID) -> dict[st
 def train_network(
     sample: DataFrame, features: Sequence[str], epochs: int = 50, batch: int = 128
 ) -> Model:
-    """Feed-forward network with the given hidden layers.
+    """Feed-forward network with the given hidden layers, by gradient descent.
 
-    Spark's hidden units are sigmoid and the output is a softmax over two units.
+    Spark's hidden units are sigmoid, the output is a softmax over two units, and
+    a step uses all rows; ``batch`` only sets how many rows are stacked for it.
     """
     return MultilayerPerceptronClassifier(
         featuresCol="features",
         labelCol="label",
         layers=[len(features), *HIDDEN_LAYERS, 2],
+        solver="gd",
+        stepSize=0.01,
         maxIter=epochs,
         blockSize=batch,
         seed=SEED,
