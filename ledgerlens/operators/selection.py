@@ -19,7 +19,10 @@ def _pearson(feature: str, label: str) -> Column:
 
 
 def label_correlations(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
-    """Rows (feature, corr, n) of Pearson's correlation with the label, in one pass."""
+    """Rows (feature, corr, n, mean_abs_corr) against the label, in one pass.
+
+    ``n`` is the number of rows of ``df``; the mean is over the features that vary.
+    """
     wide = df.agg(
         *[_pearson(c, label).alias(f"corr_{i}") for i, c in enumerate(features)],
         F.count("*").alias("n"),
@@ -28,7 +31,10 @@ def label_correlations(df: DataFrame, features: list[str], label: str = LABEL) -
         F.struct(F.lit(c).alias("feature"), F.col(f"corr_{i}").alias("corr"))
         for i, c in enumerate(features)
     ]
-    return wide.select(F.inline(F.array(*rows)), "n")
+    strengths = F.array_compact(F.array(*[F.abs(f"corr_{i}") for i in range(len(features))]))
+    total = F.aggregate(strengths, F.lit(0.0), lambda sum_, x: sum_ + x)
+    mean = F.try_divide(total, F.size(strengths).cast("double")).alias("mean_abs_corr")
+    return wide.select(F.inline(F.array(*rows)), "n", mean)
 
 
 def correlation_report(df: DataFrame, features: list[str]) -> DataFrame:
@@ -64,13 +70,9 @@ def top_f_scores(df: DataFrame, features: list[str], k: int = TOP_SCORES) -> Dat
 
 def corr_above_mean(df: DataFrame, features: list[str]) -> DataFrame:
     """Features whose absolute correlation is above the mean one."""
-    scored = label_correlations(df, features).select("feature", F.abs("corr").alias("abs_corr"))
-    mean = scored.agg(F.avg("abs_corr").alias("mean_corr"))
-    # One row per feature against one row: the schema bounds both.
-    return (
-        scored.join(F.broadcast(mean), F.col("abs_corr") > F.col("mean_corr"))
-        .select("feature", "abs_corr")
-    )
+    strength = F.abs("corr").alias("abs_corr")
+    scored = label_correlations(df, features)
+    return scored.where(F.abs("corr") > F.col("mean_abs_corr")).select("feature", strength)
 
 
 def selected_features(sample: DataFrame, features: list[str]) -> DataFrame:
