@@ -222,7 +222,7 @@ def _balanced(max_ones: int | None) -> str:
 def _correlations(columns: list[str]) -> str:
     rows = " union all ".join(
         f"""select '{c}' feature,
-          covar_pop({c}, var_rpta) / nullif(stddev_pop({c}) * stddev_pop(var_rpta), 0) corr,
+          case when min({c}) < max({c}) then covar_pop({c}, var_rpta) / (stddev_pop({c}) * stddev_pop(var_rpta)) end corr,
           count(*) n from sample""" for c in columns
     )
     return f"corrs as ({rows})"
@@ -243,7 +243,7 @@ def _matrix_columns(label: bool) -> str:
 
 
 def _scaled() -> str:
-    stats = ", ".join(f"avg({c}) m_{c}, stddev_pop({c}) d_{c}" for c in COLUMNS)
+    stats = ", ".join(f"avg({c}) m_{c}, case when min({c}) < max({c}) then stddev_pop({c}) else 0 end d_{c}" for c in COLUMNS)
     scaled = ", ".join(
         _r(f"case when d_{c} = 0 then 0 else ({c} - m_{c}) / d_{c} end") + f" {c}" for c in COLUMNS
     )
@@ -257,7 +257,7 @@ def _pairs() -> str:
         f"""select a.feature feature_a, b.feature feature_b,
           {_r('covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x))')} corr
         from long a join long b on a.id = b.id group by all
-        having stddev_pop(a.x) > 0 and stddev_pop(b.x) > 0""",
+        having min(a.x) < max(a.x) and min(b.x) < max(b.x)""",
         _MATRIX_CTE, _balanced(None),
         f"long as (unpivot (select id, {columns} from sample) on {columns} into name feature value x)",
     )

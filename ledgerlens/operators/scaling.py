@@ -7,6 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def varies(column: str) -> Column:
+    """Aggregate: whether the column has two different values.
+
+    Merging partial deviations of equal values need not give exactly 0.
+    """
+    return F.min(column) < F.max(column)
+
+
 @dataclass(frozen=True)
 class Scaler:
     means: dict[str, float]
@@ -14,10 +22,16 @@ class Scaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> Scaler:
-        """Mean and population deviation of all columns in one pass, one row back."""
+        """Mean and population deviation of all columns in one pass, one row back.
+
+        A constant column has deviation 0; its computed one may be a rounding error.
+        """
         row = df.agg(
             *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(c).alias(f"dev_{i}") for i, c in enumerate(columns)],
+            *[
+                F.when(varies(c), F.stddev_pop(c)).otherwise(0.0).alias(f"dev_{i}")
+                for i, c in enumerate(columns)
+            ],
         ).first()
         means = {c: row[f"mean_{i}"] for i, c in enumerate(columns)}
         deviations = {c: row[f"dev_{i}"] for i, c in enumerate(columns)}

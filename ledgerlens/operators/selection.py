@@ -7,6 +7,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.operators.sampling import LABEL, balance_classes
+from ledgerlens.operators.scaling import varies
 
 SELECTION_ONES = 500
 TOP_SCORES = 10
@@ -15,7 +16,8 @@ TOP_SCORES = 10
 def _pearson(feature: str, label: str) -> Column:
     """Aggregate: correlation, NULL if one side is constant."""
     x, y = F.col(feature).cast("double"), F.col(label).cast("double")
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(varies(feature) & varies(label), r)
 
 
 def label_correlations(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
@@ -45,8 +47,8 @@ def correlation_report(df: DataFrame, features: list[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (feature_a, feature_b, corr) for all pairs of columns that vary."""
-    row = df.agg(*[F.stddev_pop(c).alias(f"dev_{i}") for i, c in enumerate(columns)]).first()
-    kept = [c for i, c in enumerate(columns) if row[f"dev_{i}"]]
+    row = df.agg(*[varies(c).alias(f"varies_{i}") for i, c in enumerate(columns)]).first()
+    kept = [c for i, c in enumerate(columns) if row[f"varies_{i}"]]
     vectors = VectorAssembler(inputCols=kept, outputCol="vector").transform(df)
     matrix = Correlation.corr(vectors.select("vector"), "vector").first()[0].toArray()
     rows = [

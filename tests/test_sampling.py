@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from ledgerlens.operators import ranking, sampling
 from ledgerlens.operators.scaling import Scaler
+from ledgerlens.operators.selection import label_correlations
 
 
 def frame(spark, rows):
@@ -92,3 +93,17 @@ def test_scaling(spark):
     assert sum(r.a**2 for r in rows) / 3 == pytest.approx(1)
     other = spark.createDataFrame([(4, 3.0, 9.0)], df.schema)
     assert scaler.transform(other).first().a == pytest.approx(0)
+
+
+@pytest.mark.parametrize("value", [0.1, 2019.0, 0.105409255])
+def test_a_constant_over_uneven_partitions(spark, value):
+    parts = [spark.range(n * 100, n * 100 + n).coalesce(1) for n in (1, 3, 7, 11, 49, 97)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.union(part)
+    df = df.selectExpr("id", f"double({value}) a", "double(id) b", "int(id % 2) var_rpta")
+    scaler = Scaler.fit(df, ["a", "b"])
+    assert scaler.deviations["a"] == 0
+    assert scaler.transform(df).where("a <> 0").count() == 0
+    corr = {r.feature: r.corr for r in label_correlations(df, ["a", "b"]).collect()}
+    assert corr["a"] is None and corr["b"] is not None
