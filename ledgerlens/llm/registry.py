@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import mixing, quality
+from ledgerlens.llm import jaccard, mixing, pieces, quality
+from ledgerlens.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -27,7 +29,17 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, folder, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_jaccard_join": op10_jaccard_join,
 }
