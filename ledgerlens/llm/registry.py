@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import jaccard, mixing, pieces, quality
+from ledgerlens.llm import jaccard, mixing, pieces, pii, quality, toxicity
 from ledgerlens.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,17 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def op3_pii_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.col("pii_counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.BASE_KINDS)]
+    return found.select("doc_id", *counts, F.sha2("pii_base", 256).alias("base_sha256"),
+                        F.col("pii_spans").alias("spans"))
+
+
+def op4_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, folder, "documents"))
 
@@ -40,6 +51,8 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op3_pii_skip_chain": op3_pii_skip_chain,
+    "op4_toxicity_trees": op4_toxicity_trees,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
