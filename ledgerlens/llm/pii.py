@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerlens.session import materialize
 
@@ -387,6 +387,7 @@ def find_pii(docs: DataFrame, model: FieldModel | None = None,
                                         pa.array(made[2], pa.list_(pa.int64())), pa.array(made[3], pa.string())],
                 [n for n, _ in kept] + list(ADDED))
 
-    schema = docs.drop(*ADDED).schema.add("pii_base", "string").add("pii_spans", "string").add(
-        "pii_counts", "array<bigint>").add("pii_redacted", "string")
+    kinds = (T.StringType(), T.StringType(), T.ArrayType(T.LongType()), T.StringType())
+    kept = [f for f in docs.schema.fields if f.name not in ADDED]
+    schema = T.StructType(kept + [T.StructField(n, k) for n, k in zip(ADDED, kinds)])
     return docs.mapInArrow(run, schema)
