@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one job in the shared folder; leaving the block drops them.
+
+    They live in a database of their own, so that SQL removes their files on any storage.
+    Whatever is still to be read afterwards must be written elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.name = f"scratch_{uuid.uuid4().hex}"
+        self._tables = 0
+
+    def __enter__(self) -> Scratch:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{scratch_dir(self.spark).rstrip('/')}/{self.name}'")
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table and read back, as ``materialize`` does."""
+        self._tables += 1
+        table = f"{self.name}.{name.replace('-', '_')}_{self._tables}"
+        df.write.format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None,
+                 trace: TracebackType | None) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
