@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.session import materialize
+from ledgerlens.session import Scratch
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for every node of an edge.
 
     Each round takes the smallest label among the neighbours and then the label of that
@@ -16,18 +16,18 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     splitting, and groupings are fed by partial ones.
     """
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    both = materialize(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    labels = materialize(
+    both = scratch.keep(pairs.union(pairs.select("v", "u")).distinct(), "edges")
+    labels = scratch.keep(
         both.groupBy("u").agg(F.min("v").alias("v")).select(
             F.col("u").alias("node"), F.least("u", "v").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v")
-        least = materialize(near.groupBy(F.col("u").alias("node")).agg(
+        least = scratch.keep(near.groupBy(F.col("u").alias("node")).agg(
             F.min("component").alias("near")), "near")
-        lowered = materialize(labels.join(least, "node").select(
+        lowered = scratch.keep(labels.join(least, "node").select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("low")), "lowered")
         target = lowered.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        moved = materialize(lowered.join(target, "low").select(
+        moved = scratch.keep(lowered.join(target, "low").select(
             "node", F.col("lower").alias("component"), (F.col("lower") < F.col("was")).alias("moved")), "labels")
         labels = moved.select("node", "component")
         if moved.where("moved").isEmpty():

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.llm.components import connected_components
-from ledgerlens.session import materialize
+from ledgerlens.session import Scratch, materialize
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -45,6 +45,7 @@ BUCKETS = 1024
 # Ids of candidates are sent to every task up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
 
+KEY = ["bucket", "low", "high"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -258,70 +259,96 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of ids that are similar enough."""
-    wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "wanted")
+    wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    stored = materialize(found, "texts")
+    stored = scratch.keep(texts.join(F.broadcast(wanted) if few else wanted, "doc_id"), "texts")
     one = stored.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = stored.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_linked, "a long, b long"), "links")
+    return scratch.keep(both.mapInArrow(_linked, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """Members of the signatures that several sets share, copies told by their first.
 
-    Copies are joined by their fingerprint. Of the sets that share a signature, those that
-    share most signatures are hubs: the first is compared with all, then the next two, the
-    next four and so on, each only with members that no link found so far connects with
-    it, until every signature is settled.
+    ``place`` orders the members of a signature by how many such signatures they have.
     """
-    texts = _as_bytes(docs, id_col, text_col)
-    profiles = materialize(texts.mapInArrow(_profiles, "doc_id long, n_shingles long, print binary"), "profiles")
-    sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
-    firsts = materialize(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
-    copies = materialize(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
-
     packed = texts.where("doc_id is not null").mapInArrow(
         _signature_rows, "bucket int, low array<int>, high array<tinyint>, ids array<long>")
     rows = packed.repartition("bucket").select("bucket", F.inline(F.arrays_zip("low", "high", "ids")))
-    key = ["bucket", "low", "high"]
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
-    shared = materialize(counted.where("n > 1").select(*key, F.col("ids").alias("doc_id")), "shared")
-    owned = materialize(
-        shared.join(copies, "doc_id", "left").select(*key, F.coalesce("first", "doc_id").alias("doc_id")).distinct(),
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
+    shared = scratch.keep(counted.where("n > 1").select(*KEY, F.col("ids").alias("doc_id")), "shared")
+    owned = scratch.keep(
+        shared.join(copies, "doc_id", "left").select(*KEY, F.coalesce("first", "doc_id").alias("doc_id")).distinct(),
         "owned")
     fame = owned.groupBy("doc_id").agg(F.count("*").alias("fame"))
-    by_fame = Window.partitionBy(*key).orderBy(F.desc("fame"), "doc_id")
-    open_rows = materialize(
-        owned.join(fame, "doc_id").withColumns({
-            "place": F.row_number().over(by_fame), "n": F.count("*").over(Window.partitionBy(*key))})
-        .where("n > 1").drop("n", "fame"), "open")
+    by_fame = Window.partitionBy(*KEY).orderBy(F.desc("fame"), "doc_id")
+    placed = owned.join(fame, "doc_id").withColumns({
+        "place": F.row_number().over(by_fame), "n": F.count("*").over(Window.partitionBy(*KEY))})
+    return scratch.keep(placed.where("n > 1").drop("n", "fame"), "open")
+
+
+def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.withColumnRenamed("node", "doc_id")
+    return members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
+
+def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame) -> DataFrame:
+    sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
+    firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
+    copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
+    members = _shared_signatures(scratch, texts, copies)
     links = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    labels = materialize(connected_components(links), "labels")
+    labels = connected_components(links, scratch)
     begin, width = 1, 1
-    while not open_rows.isEmpty():
-        labelled = open_rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            *key, "doc_id", "place", F.coalesce("component", "doc_id").alias("component"))
-        hubs = labelled.where((F.col("place") >= begin) & (F.col("place") < begin + width)).select(
-            *key, F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"),
+    while not members.isEmpty():
+        named = _with_components(members, labels)
+        hubs = named.where((F.col("place") >= begin) & (F.col("place") < begin + width)).select(
+            *KEY, F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"),
             F.col("component").alias("hub_component"))
-        pairs = labelled.join(hubs, key).where("place > hub_place and component <> hub_component").select(
+        pairs = named.join(hubs, KEY).where("place > hub_place and component <> hub_component").select(
             F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        found = _verified(texts, materialize(pairs, "pairs"))
-        links = links.union(found)
-        labels = materialize(connected_components(links), "labels")
+        links = links.union(_verified(scratch, texts, scratch.keep(pairs, "pairs")))
+        labels = connected_components(links, scratch)
         begin, width = begin + width, width * 2
         # A signature stays open while members of different components are left to compare.
-        left = open_rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id"))
-        unsettled = left.groupBy(*key).agg(
-            F.max("place").alias("last"), F.min("component").alias("low_c"), F.max("component").alias("high_c")
-        ).where((F.col("last") > begin) & (F.col("low_c") < F.col("high_c"))).select(*key)
-        open_rows = materialize(open_rows.join(unsettled, key, "left_semi"), "open")
-    named = labels.select(F.col("node").alias("doc_id"), "component")
-    return profiles.join(named, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        unsettled = _with_components(members, labels).groupBy(*KEY).agg(
+            F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
+        ).where((F.col("last") > begin) & (F.col("least") < F.col("most"))).select(*KEY)
+        members = scratch.keep(members.join(unsettled, KEY, "left_semi"), "open")
+    return labels
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    Copies are joined by their fingerprint. Of the sets that share a signature, those that
+    share most signatures are hubs: the first is compared with all, then the next two, the
+    next four and so on, each only with members that no link found so far connects with
+    it, until every signature is settled.
+    """
+    texts = _as_bytes(docs, id_col, text_col)
+    with Scratch(docs.sparkSession) as scratch:
+        profiles = scratch.keep(
+            texts.mapInArrow(_profiles, "doc_id long, n_shingles long, print binary"), "profiles")
+        labels = _linked_components(scratch, texts, profiles)
+        return materialize(_with_components(profiles, labels).select(
+            "doc_id", "n_shingles", F.col("component").alias("component_id")), "components")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, one for each id.
+
+    Rows with a NULL id stay as they are.
+    """
+    verdict = jaccard_components(docs, id_col, text_col).where("doc_id is not null")
+    dropped = verdict.where("doc_id <> component_id").select(F.col("doc_id").alias("jaccard_dropped")).distinct()
+    few = dropped.count() <= BROADCAST_IDS
+    same = F.col(id_col).cast("long") == F.col("jaccard_dropped")
+    kept = docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+    if verdict.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    known = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return known.unionByName(kept.where(F.col(id_col).isNull()))

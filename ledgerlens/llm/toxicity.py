@@ -239,6 +239,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return ToxicityModel(terms, trees, calibration)
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, unchanged.
+
+    Whole rows go along with their features, so nothing is joined and NULL ids are judged too.
+    """
+    model = fit_toxicity(docs, labels, rows, id_col, text_col)
+    packed = docs.select(F.struct("*").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = model.score(text_features(packed, model.terms))
+    return scored.where("score < 0.5").select("doc_id.*")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
