@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import jaccard, mixing, pieces, pii, quality, toxicity
+from ledgerlens.llm import jaccard, langid, mixing, pieces, pii, quality, toxicity
 from ledgerlens.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op4_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, folder, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity_trees": op4_toxicity_trees,
+    "op7_language_profiles": op7_language_profiles,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
