@@ -42,6 +42,10 @@ CUTS = 4
 # Texts of about so many characters are worked on at once.
 SLICE_CHARS = 1_500_000
 BUCKETS = 1024
+# Bounds above this are not needed to tell pairs apart.
+MOST_SHARED = 100
+# So many times more hubs are compared in each round.
+MORE_HUBS = 8
 # Ids of candidates are sent to every task up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -148,10 +152,17 @@ def _comparisons_upto(size: int) -> tuple[Comparison, ...]:
     return tuple(made)
 
 
-def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, 64-bit signature) for every signature of every set."""
+def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, 64-bit signature) for every signature, and a bound for every text.
+
+    The bound says how many signatures a set shares at least with any set that is similar
+    enough: its first-level parts with one difference at most, without those whose
+    signatures may be empty. A partner is at most 5/4 as large, so they differ in at most
+    a quarter of the set's size.
+    """
     rows = [(i, c) for i, size in enumerate(sets.sizes.tolist()) for c in comparisons(size)]
     texts, values = [], []
+    bounds = np.full(len(sets.sizes), MOST_SHARED, np.int64)
     for cut in range(CUTS):
         if not rows:
             break
@@ -176,6 +187,10 @@ def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(rows)), parts)
         lacking = np.bincount(owner, filled.sum(axis=1) < 2, minlength=len(rows))
         fails = lacking >= agreeing
+        if cut == 0:
+            apart = np.minimum(np.array([c.differences for _, c in rows]), sizes // 4)
+            sure = np.where(fails, 1, parts - apart // 2 - lacking)
+            np.minimum.at(bounds, text, np.maximum(sure, 1).astype(np.int64))
         part = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
         salt = _mix((number[owner] * np.uint64(CUTS) + np.uint64(cut)) * np.uint64(1 << 32) + part)
         whole = sums.sum(axis=1, dtype=np.uint64)
@@ -188,8 +203,8 @@ def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
             texts.append(text[owner[keep]])
         rows = [r for r, bad in zip(rows, fails.tolist()) if bad]
     if not values:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(values)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), bounds
+    return np.concatenate(texts), np.concatenate(values), bounds
 
 
 def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -219,16 +234,16 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures packed by bucket: one row for each bucket and slice, 13 bytes a signature."""
+    """Signatures packed by bucket: one row for each bucket and slice, 14 bytes a signature."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = batch.column(1).to_pylist()
         for begin, end in _slices(texts):
             sets = shingle_sets(texts[begin:end])
-            text, value = signatures(sets)
+            text, value, bounds = signatures(sets)
             bucket = (value % np.uint64(BUCKETS)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, value, doc = bucket[order], value[order], ids[begin:end][text[order]]
+            bucket, value, text = bucket[order], value[order], text[order]
             some, at = np.unique(bucket, return_index=True)
             offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
             low = (value >> np.uint64(10)).astype(np.uint32).view(np.int32)
@@ -236,8 +251,9 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([
                 pa.array(some, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(low)),
                 pa.ListArray.from_arrays(offsets, pa.array(high)),
-                pa.ListArray.from_arrays(offsets, pa.array(doc)),
-            ], ["bucket", "low", "high", "ids"])
+                pa.ListArray.from_arrays(offsets, pa.array(ids[begin:end][text])),
+                pa.ListArray.from_arrays(offsets, pa.array(bounds[text].astype(np.int8))),
+            ], ["bucket", "low", "high", "ids", "bounds"])
 
 
 def _as_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -276,13 +292,14 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) ->
     ``place`` orders the members of a signature by how many such signatures they have.
     """
     packed = texts.where("doc_id is not null").mapInArrow(
-        _signature_rows, "bucket int, low array<int>, high array<tinyint>, ids array<long>")
-    rows = packed.repartition("bucket").select("bucket", F.inline(F.arrays_zip("low", "high", "ids")))
+        _signature_rows, "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
+    rows = packed.repartition("bucket").select(
+        "bucket", F.inline(F.arrays_zip("low", "high", "ids", "bounds"))).withColumnRenamed("bounds", "bound")
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
-    shared = scratch.keep(counted.where("n > 1").select(*KEY, F.col("ids").alias("doc_id")), "shared")
+    shared = scratch.keep(counted.where("n > 1").select(*KEY, "bound", F.col("ids").alias("doc_id")), "shared")
     owned = scratch.keep(
-        shared.join(copies, "doc_id", "left").select(*KEY, F.coalesce("first", "doc_id").alias("doc_id")).distinct(),
-        "owned")
+        shared.join(copies, "doc_id", "left").select(
+            *KEY, "bound", F.coalesce("first", "doc_id").alias("doc_id")).distinct(), "owned")
     fame = owned.groupBy("doc_id").agg(F.count("*").alias("fame"))
     by_fame = Window.partitionBy(*KEY).orderBy(F.desc("fame"), "doc_id")
     placed = owned.join(fame, "doc_id").withColumns({
@@ -290,6 +307,15 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) ->
     return scratch.keep(placed.where("n > 1").drop("n", "fame"), "open")
 
 
+def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs that share as many signatures as either bound asks for."""
+    one = bags.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a"), F.col("bound").alias("bound_a"))
+    two = bags.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"), F.col("bound").alias("bound_b"))
+    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    both = pairs.join(one, "a").join(two, "b").where(shared >= F.greatest("bound_a", "bound_b"))
+    return scratch.keep(both.select("a", "b"), "promising")
+
+
 def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = labels.withColumnRenamed("node", "doc_id")
     return members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -300,6 +326,9 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
     members = _shared_signatures(scratch, texts, copies)
+    # A bag holds no more keys than its text has signatures.
+    bags = scratch.keep(members.groupBy("doc_id").agg(
+        F.collect_list(F.xxhash64(*KEY)).alias("keys"), F.max("bound").alias("bound")), "bags")
     links = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     labels = connected_components(links, scratch)
     begin, width = 1, 1
@@ -310,9 +339,11 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
             F.col("component").alias("hub_component"))
         pairs = named.join(hubs, KEY).where("place > hub_place and component <> hub_component").select(
             F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        links = links.union(_verified(scratch, texts, scratch.keep(pairs, "pairs")))
-        labels = connected_components(links, scratch)
-        begin, width = begin + width, width * 2
+        found = _verified(scratch, texts, _promising(scratch, scratch.keep(pairs, "pairs"), bags))
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = connected_components(links, scratch)
+        begin, width = begin + width, width * MORE_HUBS
         # A signature stays open while members of different components are left to compare.
         unsettled = _with_components(members, labels).groupBy(*KEY).agg(
             F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
@@ -325,9 +356,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Copies are joined by their fingerprint. Of the sets that share a signature, those that
-    share most signatures are hubs: the first is compared with all, then the next two, the
-    next four and so on, each only with members that no link found so far connects with
-    it, until every signature is settled.
+    share most signatures are hubs: the first is compared with all, then the next eight, the
+    next 64 and so on, each only with members that no link found so far connects with it,
+    until every signature is settled. A comparison counts the shared signatures first and
+    reads both texts only where there are as many as similar sets must share.
     """
     texts = _as_bytes(docs, id_col, text_col)
     with Scratch(docs.sparkSession) as scratch:
