@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import jaccard, langid, mixing, pieces, pii, quality, toxicity
+from ledgerlens.llm import jaccard, langid, mixing, neighbours, pieces, pii, quality, toxicity
 from ledgerlens.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, folder, "documents"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"))
 
@@ -59,5 +63,6 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity_trees": op4_toxicity_trees,
     "op7_language_profiles": op7_language_profiles,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_hash_prefix_forest": op9_hash_prefix_forest,
     "op10_jaccard_join": op10_jaccard_join,
 }
