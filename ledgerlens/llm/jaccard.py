@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlens.llm.components import connected_components
+from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
 SHINGLE_WORDS = 5
@@ -44,8 +44,6 @@ SLICE_CHARS = 1_500_000
 BUCKETS = 1024
 # Bounds above this are not needed to tell pairs apart.
 MOST_SHARED = 100
-# So many times more hubs are compared in each round.
-MORE_HUBS = 8
 # Ids of candidates are sent to every task up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -287,10 +285,7 @@ def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """Members of the signatures that several sets share, copies told by their first.
-
-    ``place`` orders the members of a signature by how many such signatures they have.
-    """
+    """Members of the signatures that several sets share, copies told by their first."""
     packed = texts.where("doc_id is not null").mapInArrow(
         _signature_rows, "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
     rows = packed.repartition("bucket").select(
@@ -299,74 +294,49 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) ->
     shared = scratch.keep(counted.where("n > 1").select(*KEY, "bound", F.col("ids").alias("doc_id")), "shared")
     owned = scratch.keep(
         shared.join(copies, "doc_id", "left").select(
-            *KEY, "bound", F.coalesce("first", "doc_id").alias("doc_id")).distinct(), "owned")
-    fame = owned.groupBy("doc_id").agg(F.count("*").alias("fame"))
-    by_fame = Window.partitionBy(*KEY).orderBy(F.desc("fame"), "doc_id")
-    placed = owned.join(fame, "doc_id").withColumns({
-        "place": F.row_number().over(by_fame), "n": F.count("*").over(Window.partitionBy(*KEY))})
-    return scratch.keep(placed.where("n > 1").drop("n", "fame"), "open")
+            *KEY, "bound", F.coalesce("first", "doc_id").alias("node")).distinct(), "owned")
+    return placed_members(scratch, owned, KEY)
 
 
 def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs that share as many signatures as either bound asks for."""
-    one = bags.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a"), F.col("bound").alias("bound_a"))
-    two = bags.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"), F.col("bound").alias("bound_b"))
+    one = bags.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("bound").alias("bound_a"))
+    two = bags.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("bound").alias("bound_b"))
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     both = pairs.join(one, "a").join(two, "b").where(shared >= F.greatest("bound_a", "bound_b"))
     return scratch.keep(both.select("a", "b"), "promising")
 
 
-def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.withColumnRenamed("node", "doc_id")
-    return members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
 def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame) -> DataFrame:
     sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
     members = _shared_signatures(scratch, texts, copies)
     # A bag holds no more keys than its text has signatures.
-    bags = scratch.keep(members.groupBy("doc_id").agg(
-        F.collect_list(F.xxhash64(*KEY)).alias("keys"), F.max("bound").alias("bound")), "bags")
+    bags = scratch.keep(members.groupBy("node").agg(
+        F.collect_list(F.xxhash64(*KEY)).alias("keys"), F.min("bound").alias("bound")), "bags")
     links = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    labels = connected_components(links, scratch)
-    begin, width = 1, 1
-    while not members.isEmpty():
-        named = _with_components(members, labels)
-        hubs = named.where((F.col("place") >= begin) & (F.col("place") < begin + width)).select(
-            *KEY, F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"),
-            F.col("component").alias("hub_component"))
-        pairs = named.join(hubs, KEY).where("place > hub_place and component <> hub_component").select(
-            F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        found = _verified(scratch, texts, _promising(scratch, scratch.keep(pairs, "pairs"), bags))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = connected_components(links, scratch)
-        begin, width = begin + width, width * MORE_HUBS
-        # A signature stays open while members of different components are left to compare.
-        unsettled = _with_components(members, labels).groupBy(*KEY).agg(
-            F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where((F.col("last") > begin) & (F.col("least") < F.col("most"))).select(*KEY)
-        members = scratch.keep(members.join(unsettled, KEY, "left_semi"), "open")
-    return labels
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verified(scratch, texts, _promising(scratch, pairs, bags))
+
+    return settle(scratch, members, KEY, links, verify)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
-    Copies are joined by their fingerprint. Of the sets that share a signature, those that
-    share most signatures are hubs: the first is compared with all, then the next eight, the
-    next 64 and so on, each only with members that no link found so far connects with it,
-    until every signature is settled. A comparison counts the shared signatures first and
-    reads both texts only where there are as many as similar sets must share.
+    Copies are joined by their fingerprint. Of the sets that share a signature, only those
+    that no link connects yet are compared (see ``settle``); a comparison counts the shared
+    signatures first and reads both texts only where there are as many as similar sets must
+    share.
     """
     texts = _as_bytes(docs, id_col, text_col)
     with Scratch(docs.sparkSession) as scratch:
         profiles = scratch.keep(
             texts.mapInArrow(_profiles, "doc_id long, n_shingles long, print binary"), "profiles")
         labels = _linked_components(scratch, texts, profiles)
-        return materialize(_with_components(profiles, labels).select(
+        return materialize(with_components(profiles.withColumn("node", F.col("doc_id")), labels).select(
             "doc_id", "n_shingles", F.col("component").alias("component_id")), "components")
 
 

@@ -82,5 +82,37 @@ select d.*, unnest(range(1, c.n + 1))::int as mix_copy
 from documents d join copies c using (doc_id) where c.n > 0"""
 
 
+def _preference() -> str:
+    return r"""
+with turns as (
+  select conv_id as pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  where conv_id is not null and turn is not null),
+answers as (
+  select pair_id, turn as last_turn, text as answer from turns where role = 'assistant'
+  qualify row_number() over (partition by pair_id order by turn desc, text desc) = 1),
+swaps as (
+  select a.pair_id, a.last_turn, coalesce(n.answer, p.answer, '') as swap
+  from answers a left join answers n on n.pair_id = a.pair_id + 1 left join answers p on p.pair_id = a.pair_id - 1),
+sides as (
+  select t.pair_id, t.turn, t.role, min(t.text) as chosen,
+    min(case when t.turn = s.last_turn and t.role = 'assistant' then s.swap else t.text end) as rejected
+  from turns t join swaps s using (pair_id) where t.turn <= s.last_turn
+  group by t.pair_id, t.turn, t.role qualify row_number() over (partition by t.pair_id, t.turn order by t.role) = 1),
+forks as (select pair_id, min(turn) filter (chosen <> rejected) as fork from sides group by pair_id),
+placed as (select * from sides join forks using (pair_id)),
+parts as (
+  select pair_id, 'prompt' as part, turn, role, chosen as body, false as trained from placed
+  where fork is null or turn < fork
+  union all
+  select pair_id, 'chosen', turn, role, chosen, role = 'assistant' from placed where turn >= fork
+  union all
+  select pair_id, 'rejected', turn, role, rejected, role = 'assistant' from placed where turn >= fork)
+select pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) as text,
+  case when trained then length(role) + 5 else 0 end::bigint as mask_start,
+  case when trained then length(role) + length(body) + 13 else 0 end::bigint as mask_end
+from parts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _quality(), "op2_mix_sources": _mixing()}
+    return {"op1_quality_rules": _quality(), "op2_mix_sources": _mixing(),
+            "op5_preference_turns": _preference()}

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import jaccard, langid, mixing, neighbours, pieces, pii, quality, toxicity
+from ledgerlens.llm import (
+    chat, jaccard, langid, mixing, neighbours, pieces, pii, quality, substring, toxicity,
+)
 from ledgerlens.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,14 @@ def op4_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_preference_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.preference_turns(*chat.swapped_answers(_table(spark, folder, "conversations")))
+
+
+def op6_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.repeated_paragraphs(_table(spark, folder, "documents"))
+
+
 def op7_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify_languages(_table(spark, folder, "documents"))
 
@@ -61,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity_trees": op4_toxicity_trees,
+    "op5_preference_turns": op5_preference_turns,
+    "op6_repeated_paragraphs": op6_repeated_paragraphs,
     "op7_language_profiles": op7_language_profiles,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_hash_prefix_forest": op9_hash_prefix_forest,
