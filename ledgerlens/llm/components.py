@@ -22,8 +22,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, left: str = "a", ri
             F.col("u").alias("node"), F.least("u", "v").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v")
-        least = scratch.keep(near.groupBy(F.col("u").alias("node")).agg(
-            F.min("component").alias("near")), "near")
+        least = near.groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         lowered = scratch.keep(labels.join(least, "node").select(
             "node", F.col("component").alias("was"), F.least("component", "near").alias("low")), "lowered")
         target = lowered.select(F.col("node").alias("low"), F.col("low").alias("lower"))

@@ -41,13 +41,15 @@ BAND_RATIO = 1.5
 CUTS = 4
 # Texts of about so many characters are worked on at once.
 SLICE_CHARS = 1_500_000
-BUCKETS = 1024
+BUCKET_SHINGLES = 100_000
 # Bounds above this are not needed to tell pairs apart.
 MOST_SHARED = 100
 # Ids of candidates are sent to every task up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
+# Working-memory bounds of one task; results do not depend on them.
+BUCKET_BOUND = 2_000_000
+KEPT_BYTES = 64_000_000
 
-KEY = ["bucket", "low", "high"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,46 +233,78 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_shingles", "print"])
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures packed by bucket: one row for each bucket and slice, 14 bytes a signature."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
-        for begin, end in _slices(texts):
-            sets = shingle_sets(texts[begin:end])
-            text, value, bounds = signatures(sets)
-            bucket = (value % np.uint64(BUCKETS)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, value, text = bucket[order], value[order], text[order]
-            some, at = np.unique(bucket, return_index=True)
-            offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
-            low = (value >> np.uint64(10)).astype(np.uint32).view(np.int32)
-            high = (value >> np.uint64(42)).astype(np.uint8).view(np.int8)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(some, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(low)),
-                pa.ListArray.from_arrays(offsets, pa.array(high)),
-                pa.ListArray.from_arrays(offsets, pa.array(ids[begin:end][text])),
-                pa.ListArray.from_arrays(offsets, pa.array(bounds[text].astype(np.int8))),
-            ], ["bucket", "low", "high", "ids", "bounds"])
+def _signature_rows(bits: int):
+    """Signatures packed by bucket: one row for each bucket and slice, 14 bytes a signature.
+
+    There are 2 ** ``bits`` buckets; 40 further bits of a signature tell it apart in its own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(1).to_pylist()
+            for begin, end in _slices(texts):
+                text, value, bounds = signatures(shingle_sets(texts[begin:end]))
+                bucket = (value & np.uint64((1 << bits) - 1)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, value, text = bucket[order], value[order], text[order]
+                some, at = np.unique(bucket, return_index=True)
+                offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
+                low = (value >> np.uint64(bits)).astype(np.uint32).view(np.int32)
+                high = (value >> np.uint64(bits + 32)).astype(np.uint8).view(np.int8)
+                lists = [pa.array(low), pa.array(high), pa.array(ids[begin:end][text]),
+                         pa.array(bounds[text].astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+                    ["bucket", "low", "high", "ids", "bounds"])
+
+    return run
+
+
+def bucket_bits(shingles: int) -> int:
+    """Bits for buckets of about ``BUCKET_SHINGLES`` shingles."""
+    return min(22, max(6, (shingles // BUCKET_SHINGLES).bit_length()))
 
 
 def _as_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts have the asked similarity."""
+def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose texts have the asked similarity; sets of recent texts are kept."""
+    known: dict[bytes, np.ndarray] = {}
+    kept = 0
+
+    def hashes_of(text: bytes) -> np.ndarray:
+        nonlocal kept
+        found = known.get(text)
+        if found is None:
+            found = shingle_sets([text]).hashes
+            kept += len(text) + found.nbytes
+            if kept > KEPT_BYTES:
+                known.clear()
+                kept = len(text) + found.nbytes
+            known[text] = found
+        return found
+
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        a, b = [], []
+        columns = [batch.column(i) for i in range(4)]
+        rows = []
         for i in range(batch.num_rows):
-            sets = shingle_sets([columns[2][i], columns[3][i]])
-            one, two = sets.hashes[:sets.sizes[0]], sets.hashes[sets.sizes[0]:]
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * shared >= PERCENT * (len(one) + len(two) - shared) and shared:
-                a.append(columns[0][i])
-                b.append(columns[1][i])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            one, two = hashes_of(columns[2][i].as_py()), hashes_of(columns[3][i].as_py())
+            if similar_enough(one, two):
+                rows.append(i)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([columns[0].take(at), columns[1].take(at)], ["a", "b"])
+
+
+def similar_enough(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = sorted((one, two), key=len)
+    if not len(small) or 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+    return 100 * shared >= PERCENT * (len(one) + len(two) - shared)
 
 
 def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -281,21 +315,62 @@ def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame
     one = stored.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = stored.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return scratch.keep(both.mapInArrow(_linked, "a long, b long"), "links")
+    return scratch.keep(both.mapInArrow(linked_texts, "a long, b long"), "links")
+
 
+def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures that occur twice or more in their bucket; the rows come bucket by bucket.
 
-def _shared_signatures(scratch: Scratch, texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """Members of the signatures that several sets share, copies told by their first."""
+    A bucket beyond the bound of working memory is passed on as it is; the count that
+    follows sorts it out.
+    """
+    def flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], whole: bool) -> pa.RecordBatch:
+        key, ids, bounds = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if whole:
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            keep = np.zeros(len(key), bool)
+            keep[order[1:][same]] = True
+            keep[order[:-1][same]] = True
+            key, ids, bounds = key[keep], ids[keep], bounds[keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(ids), pa.array(bounds)], ["key", "node", "bound"])
+
+    open_bucket, parts, size, cut = -1, [], 0, False
+    for batch in batches:
+        buckets = batch.column(0).to_pylist()
+        lists = [batch.column(i) for i in range(1, 5)]
+        for row, bucket in enumerate(buckets):
+            if parts and (bucket != open_bucket or size > BUCKET_BOUND):
+                cut = bucket == open_bucket or cut
+                yield flush(parts, not cut)
+                parts, size, cut = [], 0, cut and bucket == open_bucket
+            open_bucket = bucket
+            low, high, ids, bounds = (c[row].values.to_numpy() for c in lists)
+            key = (np.int64(bucket) << 40) | (high.view(np.uint8).astype(np.int64) << 32) | low.view(np.uint32)
+            parts.append((key, ids, bounds))
+            size += len(key)
+    if parts:
+        yield flush(parts, not cut)
+
+
+def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame, copies: DataFrame) -> DataFrame:
+    """``key``, ``node`` and ``bound`` of the signatures that several different sets share.
+
+    Copies are left out: the first of them has the same signatures.
+    """
+    total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     packed = texts.where("doc_id is not null").mapInArrow(
-        _signature_rows, "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
-    rows = packed.repartition("bucket").select(
-        "bucket", F.inline(F.arrays_zip("low", "high", "ids", "bounds"))).withColumnRenamed("bounds", "bound")
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
-    shared = scratch.keep(counted.where("n > 1").select(*KEY, "bound", F.col("ids").alias("doc_id")), "shared")
-    owned = scratch.keep(
-        shared.join(copies, "doc_id", "left").select(
-            *KEY, "bound", F.coalesce("first", "doc_id").alias("node")).distinct(), "owned")
-    return placed_members(scratch, owned, KEY)
+        _signature_rows(bucket_bits(total)), "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _colliding, "key long, node long, bound tinyint")
+    few = copies.count() <= BROADCAST_IDS
+    others = copies.select(F.col("doc_id").alias("node"))
+    own = met.join(F.broadcast(others) if few else others, "node", "left_anti")
+    if not profiles.groupBy("doc_id").count().where("count > 1").isEmpty():
+        own = own.groupBy("key", "node").agg(F.min("bound").alias("bound"))
+    counted = own.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return scratch.keep(counted.where("n > 1").drop("n"), "owned")
 
 
 def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -311,16 +386,17 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
-    members = _shared_signatures(scratch, texts, copies)
+    owned = _shared_signatures(scratch, texts, profiles, copies)
     # A bag holds no more keys than its text has signatures.
-    bags = scratch.keep(members.groupBy("node").agg(
-        F.collect_list(F.xxhash64(*KEY)).alias("keys"), F.min("bound").alias("bound")), "bags")
+    bags = scratch.keep(owned.groupBy("node").agg(
+        F.collect_list("key").alias("keys"), F.min("bound").alias("bound")), "bags")
+    members = placed_members(scratch, owned.select("key", "node"), ["key"])
     links = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(scratch, texts, _promising(scratch, pairs, bags))
 
-    return settle(scratch, members, KEY, links, verify)
+    return settle(scratch, members, ["key"], links, verify)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

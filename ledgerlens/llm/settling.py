@@ -10,7 +10,7 @@ from ledgerlens.llm.components import connected_components
 from ledgerlens.session import Scratch
 
 # So many times more hubs are compared in each round.
-MORE_HUBS = 8
+MORE_HUBS = 32
 
 
 def placed_members(scratch: Scratch, members: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
 
     ``members`` comes from ``placed_members``; ``links`` (``a``, ``b``) are known before;
     ``verify`` keeps those of the pairs (``a``, ``b``) that are links. The first node of each
-    key is compared with the others, then the next eight, the next 64 and so on, each only
+    key is compared with the others, then the next 32, the next 1024 and so on, each only
     with nodes that no link found so far connects with it, until every key is settled: its
     nodes are all connected or all compared.
     """

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
-from ledgerlens.llm.jaccard import PERCENT, shingle_sets
+from ledgerlens.llm.jaccard import PERCENT, linked_texts, shingle_sets
 from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
@@ -134,21 +134,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(_entries(parts)[0], pa.binary()), pa.array(parts, pa.string())], ["node", "text"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        kept = []
-        for i in range(batch.num_rows):
-            sets = shingle_sets([columns[2][i].encode(), columns[3][i].encode()])
-            one, two = sets.hashes[:sets.sizes[0]], sets.hashes[sets.sizes[0]:]
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * shared >= PERCENT * (len(one) + len(two) - shared):
-                kept.append(i)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([columns[0][i] for i in kept], pa.binary()),
-            pa.array([columns[1][i] for i in kept], pa.binary())], ["a", "b"])
-
-
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every paragraph that has an equal or similar one: ``doc_id``, ``line``, ``start``, ``end``,
     ``cluster_doc_id`` and ``cluster_line`` (the paragraph that stays), ``cluster_size`` and ``removed``."""
@@ -168,10 +153,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             stored = scratch.keep(texts.mapInArrow(_texts, "node binary, text string").join(
                 F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(
                 F.min("text").alias("text")), "texts")
-            one = stored.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-            two = stored.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+            one = stored.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("text_a"))
+            two = stored.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text_b"))
             both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-            return scratch.keep(both.mapInArrow(_similar, "a binary, b binary"), "links")
+            return scratch.keep(both.mapInArrow(linked_texts, "a binary, b binary"), "links")
 
         none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
         labels = settle(scratch, members, ["band"], none, verify)
