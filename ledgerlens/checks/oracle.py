@@ -200,7 +200,7 @@ _LABELS = """select id, f_analisis, segmento, var_rpta,
 
 _MATRIX_CTE = (
     ",\n".join(f"{name}_f as ({sql})" for name, sql in FEATURES.items())
-    + f",\nlabels_f as ({_LABELS}),\nmatrix as (select coalesce(trxn_totals_f.id, labels_f.id) id, "
+    + f",\nlabels_f as ({_LABELS}),\nmatrix as materialized (select coalesce(trxn_totals_f.id, labels_f.id) id, "
     + ", ".join(
         f"coalesce(cast({name}_f.{c} as double), 0) {c}" for name, cs in _NAMES.items() for c in cs
     )
@@ -214,7 +214,7 @@ _MATRIX_CTE = (
 
 def _balanced(max_ones: int | None) -> str:
     ones = max_ones or "(select min(n) from (select count(*) n from matrix where var_rpta is not null group by var_rpta))"
-    return f"""sample as (select * exclude (place) from (
+    return f"""sample as materialized (select * exclude (place) from (
         select *, row_number() over (partition by var_rpta order by id) place
         from matrix where var_rpta is not null) where place <= {ones})"""
 
@@ -225,13 +225,14 @@ def _correlations(columns: list[str]) -> str:
           case when min({c}) < max({c}) then covar_pop({c}, var_rpta) / (stddev_pop({c}) * stddev_pop(var_rpta)) end corr,
           count(*) n from sample""" for c in columns
     )
-    return f"corrs as ({rows})"
+    return f"corrs as materialized ({rows})"
 
 
 _SCORES = """scores as (select feature, corr * corr / (1 - corr * corr) * (n - 2) f_score
   from corrs where corr is not null)"""
 _TOP = "select feature from scores order by f_score desc, feature limit 10"
-_ABOVE = "select feature from corrs where abs(corr) > (select avg(abs(corr)) from corrs)"
+_MEAN = "mean as materialized (select avg(abs(corr)) strength from corrs)"
+_ABOVE = "select feature from corrs cross join mean where abs(corr) > strength"
 
 
 def _query(sql: str, *ctes: str, tables: str = _EVENT_TABLES) -> str:
@@ -263,14 +264,56 @@ def _pairs() -> str:
     )
 
 
+# Labels that follow the order lines, all ids of that matrix, and the part after the first 0.7.
+_LEARNABLE = """
+line_counts as (select o_custkey id, count(*) n from lineitem join orders on l_orderkey = o_orderkey group by o_custkey),
+line_rpta as (
+  select c_custkey id, case when (coalesce(n, 0) >= 40) <> (c_custkey % 10 = 3) then 1 else 0 end var_rpta
+  from customer left join line_counts on line_counts.id = c_custkey where c_custkey % 10 <> 9),
+everyone as (
+  select id, cast(max(var_rpta) as double) as label from (
+    select id, var_rpta from line_rpta union all select id, null from line_counts) group by id),
+held_out as (
+  select label, count(*) n from (
+    select label, row_number() over (order by id) place, count(*) over () as total from everyone)
+  where place > trunc(total::double * 0.7::double) and label is not null group by label)"""
+
+
+def _learnable(sql: str) -> str:
+    return f"with {_LEARNABLE}\n{sql}"
+
+
+def _model_checks() -> dict[str, str]:
+    """What must hold of every fitted model; the flags are computed from the models."""
+    scores = _learnable("select id, label, true as inside, true as class_fits from everyone")
+    first = "select true as sums_to_one, 'total_trxn' as first"
+    return {
+        "gbt_scores_check": scores,
+        "mlp_scores_check": scores,
+        "cap_sweep_check": _learnable("""
+          select cap, cast(sum(case when label = 1 then least(n, cap) else 0 end) as bigint) expected_ones,
+            cast(sum(least(n, cap)) as bigint) n, true as learned
+          from held_out cross join (select cast(unnest([50, 250, 900, 1300, 1600]) as int) cap) group by cap"""),
+        "validation_auc_check": _learnable(
+            "select cast(2 * min(n) as bigint) n, true as exact, true as learned from held_out"),
+        "gbt_importance_check": first,
+        "forest_importance_check": first,
+        "permutation_importance_check": f"select cast({len(COLUMNS)} as bigint) n, true as signal, true as noise_is_small",
+        "grid_search_check": """
+          select max_depth, step_size, true as learned
+          from (select unnest(['2', '3']) max_depth) cross join (select unnest(['0.05', '0.25']) step_size)""",
+        "submission_check": _learnable("select id, true as inside from everyone"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     plain = {
         name: _query(f"select {_rounded(['id', *_NAMES[name]])} from ({sql})")
         for name, sql in FEATURES.items()
     }
-    sample = (_MATRIX_CTE, _balanced(500), _correlations(COLUMNS), _SCORES)
+    sample = (_MATRIX_CTE, _balanced(500), _correlations(COLUMNS), _MEAN, _SCORES)
     matrix = f"select {_matrix_columns(True)} from matrix"
-    return plain | {
+    return plain | _model_checks() | {
         "label_base": _query(_LABELS),
         "session_representative": _query("select * from first_rows"),
         "time_gaps": _query(f"select * replace (cast(gap_micros as double) as gap_micros) from ({_GAPS})"),
@@ -299,7 +342,8 @@ def oracle_sql() -> dict[str, str]:
             f"select feature, {_r('f_score')} f_score from scores order by scores.f_score desc, feature limit 10",
             *sample),
         "corr_above_mean": _query(
-            f"select feature, {_r('abs(corr)')} abs_corr from corrs where feature in ({_ABOVE})", *sample),
+            f"select feature, {_r('abs(corr)')} abs_corr from corrs cross join mean where abs(corr) > strength",
+            *sample),
         "selected_features": _query(f"select feature from ({_TOP}) union {_ABOVE}", *sample),
         "class_balance": _query("select id, var_rpta from sample", _MATRIX_CTE, _balanced(None)),
         "class_balance_capped": _query("select id, var_rpta from sample", _MATRIX_CTE, _balanced(200)),

@@ -18,8 +18,6 @@ from ledgerlens.sources.tables import DatasetSpec, Inputs
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
-# Boosting rounds of the registered model queries; the library's default is 1000.
-QUERY_ROUNDS = 20
 
 
 def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,19 +101,26 @@ def _time_gaps(spark, folder):
 
 
 _cache_folders: dict[str, str] = {}
+_models: dict[str, tuple] = {}
 
 
-def _cached(spark: SparkSession, folder: str, training_set: bool = True) -> DataFrame:
+def _run(spark: SparkSession, *parts: str) -> str:
+    return ":".join([spark.sparkContext.applicationId, *parts])
+
+
+def _cached(spark: SparkSession, folder: str, training_set: bool = True, learnable: bool = False) -> DataFrame:
     """The scaled matrix through the feature cache, one cache per application and input."""
-    run = f"{spark.sparkContext.applicationId}:{folder}"
+    run = _run(spark, folder, str(learnable))
     if run not in _cache_folders:
         _cache_folders[run] = scratch_path(spark, "features")
-    return tables.cached_features(
-        spark,
-        _cache_folders[run],
-        DatasetSpec(training=training_set),
-        lambda: plans.build_features(_inputs(spark, folder, training_set))[0],
-    )
+
+    def build() -> DataFrame:
+        if learnable:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return plans.build_features(inputs_from_orders(spark, folder, training_set, True))[0]
+        return plans.build_features(_inputs(spark, folder, training_set))[0]
+
+    return tables.cached_features(spark, _cache_folders[run], DatasetSpec(training=training_set), build)
 
 
 def _features(matrix: DataFrame) -> list[str]:
@@ -172,13 +177,25 @@ def _csv_roundtrip(spark, folder):
     return stored.withColumn("vlrtran", F.col("vlrtran").cast("double"))
 
 
+def _once(spark, folder, name, fit):
+    """A fitted model, kept for the queries of this application that share it."""
+    run = _run(spark, folder, name)
+    if run not in _models:
+        _models[run] = fit()
+    return _models[run]
+
+
 def _trained(spark, folder):
-    """Selected columns, test part and a boosted model trained on the first part."""
-    matrix = _cached(spark, folder)
-    chosen = selection.select_features(matrix, _features(matrix))
-    train, test = sampling.positional_split(matrix)
-    params = training.BoostParams(rounds=QUERY_ROUNDS)
-    return training.train_boosted(train, test, chosen, params), matrix, test, chosen
+    """Boosted model with the library's parameters, the whole matrix, test part and columns."""
+    matrix = _cached(spark, folder, learnable=True)
+
+    def fit():
+        chosen = selection.select_features(matrix, _features(matrix))
+        train, test = sampling.positional_split(matrix)
+        return training.train_boosted(train, test, chosen), chosen
+
+    model, chosen = _once(spark, folder, "boosted", fit)
+    return model, matrix, sampling.positional_split(matrix)[1], chosen
 
 
 def _gbt_scores(spark, folder):
@@ -191,52 +208,124 @@ def _cap_sweep(spark, folder):
     return training.cap_sweep(model, test, chosen)
 
 
-def _validation_auc(spark, folder):
+def _held_out_scores(spark, folder):
     model, _, test, chosen = _trained(spark, folder)
-    held_out = sampling.balance_classes(test)
-    auc = training.area_under_roc(training.score(model, held_out, chosen))
-    return held_out.agg(F.count("*").alias("n")).withColumn("auc", F.lit(auc))
+    return training.score(model, sampling.balance_classes(test), chosen)
+
+
+def _validation_auc(spark, folder):
+    scores = _held_out_scores(spark, folder)
+    auc = training.area_under_roc(scores)
+    return scores.agg(F.count("*").alias("n")).withColumn("auc", F.lit(auc))
+
+
+def _study_sample(spark, folder):
+    matrix = _cached(spark, folder, learnable=True)
+    return sampling.balance_classes(matrix, study.STUDY_ONES), _features(matrix)
 
 
 def _gbt_importance(spark, folder):
-    model, matrix, _, chosen = _trained(spark, folder)
-    return study.boosted_importance(model, matrix, chosen)
+    """Of the study's own model: a booster with plain parameters on all features."""
+    sample, features = _study_sample(spark, folder)
+
+    def fit():
+        return training.PLAIN_BOOST.classifier(sample.count()).fit(training.to_vectors(sample, features))
+
+    return study.boosted_importance(_once(spark, folder, "plain", fit), sample, features)
 
 
 def _forest_importance(spark, folder):
-    sample, features = _sample(spark, folder, study.STUDY_ONES)
-    return study.top_importances(study.forest_importance(sample, features, trees=20))
+    return study.top_importances(study.forest_importance(*_study_sample(spark, folder)))
 
 
 def _network(spark, folder):
-    sample, features = _sample(spark, folder, study.STUDY_ONES)
-    return training.train_network(sample, features, epochs=20), sample, features
+    sample, features = _study_sample(spark, folder)
+    return _once(spark, folder, "network", lambda: training.train_network(sample, features)), sample, features
 
 
 def _mlp_scores(spark, folder):
     model, _, features = _network(spark, folder)
-    return training.score(model, _cached(spark, folder), features)
+    return training.score(model, _cached(spark, folder, learnable=True), features)
 
 
 def _permutation_importance(spark, folder):
-    return study.permutation_importance(*_network(spark, folder), repeats=2)
+    return study.permutation_importance(*_network(spark, folder))
 
 
 def _grid_search(spark, folder):
-    matrix = _cached(spark, folder)
-    grid = {"maxDepth": [2, 3], "stepSize": [0.05, 0.25]}
-    base = training.BoostParams(rounds=5)
-    return training.grid_search(matrix, _features(matrix), grid, base)
+    matrix = _cached(spark, folder, learnable=True)
+    grid = {"max_depth": [2, 3], "step_size": [0.05, 0.25], "rounds": [20]}
+    return training.grid_search(matrix, _features(matrix), grid)
 
 
 def _submission(spark, folder):
     """Scores of the unlabelled set, written as CSV and read back."""
     model, _, _, chosen = _trained(spark, folder)
     path = scratch_path(spark, "submission")
-    tables.write_scores(training.score(model, _cached(spark, folder, False), chosen), path)
+    unlabelled = _cached(spark, folder, False, learnable=True)
+    tables.write_scores(training.score(model, unlabelled, chosen), path)
     return spark.read.schema("id bigint, probabilidad double").option("header", True).csv(path)
 
 
+def _inside(column="probabilidad"):
+    return F.col(column).between(0, 1).alias("inside")
+
+
+def _score_check(query):
+    """Ids, labels and what must hold for each score of a query."""
+    def check(spark, folder):
+        half_even = F.bround("probabilidad").cast("int") == F.col("clase")
+        return query(spark, folder).select("id", "label", _inside(), half_even.alias("class_fits"))
+
+    return check
+
+
+def _cap_sweep_check(spark, folder):
+    swept = _cap_sweep(spark, folder)
+    return swept.select("cap", "expected_ones", "n", (F.col("error") < 0.3).alias("learned"))
+
+
+def _auc_check(spark, folder):
+    """The area against the share of rightly ordered pairs, from ranks with ties in the middle."""
+    scores = _held_out_scores(spark, folder)
+    auc = training.area_under_roc(scores)
+    by_score = scores.groupBy("probabilidad").agg(F.sum("label").alias("ones"), F.count("*").alias("n"))
+    below = by_score.select(F.col("probabilidad").alias("lower"), (F.col("n") - F.col("ones")).alias("zeros"))
+    pairs = by_score.where("ones > 0").join(below, F.col("lower") <= F.col("probabilidad")).agg(F.sum(
+        F.col("ones") * F.col("zeros") * F.when(F.col("lower") < F.col("probabilidad"), 1.0).otherwise(0.5)))
+    ones = scores.agg(F.sum("label")).first()[0]
+    ranked = pairs.first()[0] / ones / (scores.count() - ones)
+    return scores.agg(F.count("*").alias("n")).select(
+        "n", F.lit(abs(auc - ranked) < 1e-9).alias("exact"), F.lit(auc > 0.8).alias("learned"))
+
+
+def _importance_check(query):
+    def check(spark, folder):
+        found = query(spark, folder)
+        total = F.sum("importance")
+        return found.agg((F.abs(total - 1) < 0.2).alias("sums_to_one"),
+                         F.max_by("feature", "importance").alias("first"))
+
+    return check
+
+
+def _permutation_check(spark, folder):
+    found = _permutation_importance(spark, folder)
+    noise = F.max(F.when(F.col("feature") == "segmento", F.abs("importance")))
+    return found.agg(F.count("*").alias("n"), (F.max("importance") > 0.02).alias("signal"),
+                     (noise < 0.1).alias("noise_is_small"))
+
+
+def _grid_check(spark, folder):
+    found = _grid_search(spark, folder)
+    return found.select(F.col("params")["max_depth"].alias("max_depth"), F.col("params")["step_size"].alias("step_size"),
+                        F.col("log_loss").between(0.01, 0.7).alias("learned"))
+
+
+def _submission_check(spark, folder):
+    return _submission(spark, folder).select("id", _inside())
+
+
 QUERIES: dict[str, Query] = {
     "trxn_totals": _from_trxn(activity.trxn_totals),
     "label_base": _label_base,
@@ -283,4 +372,13 @@ QUERIES: dict[str, Query] = {
     "permutation_importance": _permutation_importance,
     "grid_search": _grid_search,
     "submission": _submission,
+    "gbt_scores_check": _score_check(_gbt_scores),
+    "mlp_scores_check": _score_check(_mlp_scores),
+    "cap_sweep_check": _cap_sweep_check,
+    "validation_auc_check": _auc_check,
+    "gbt_importance_check": _importance_check(_gbt_importance),
+    "forest_importance_check": _importance_check(_forest_importance),
+    "permutation_importance_check": _permutation_check,
+    "grid_search_check": _grid_check,
+    "submission_check": _submission_check,
 }

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens.functions.entropy import entropy10
 from ledgerlens.functions.naming import column_suffix
 from ledgerlens.functions.timeparts import count_if, share
+from ledgerlens.session import materialize
 
 KEYS = ("canal", "disposit", "cdgtrn", "cdgrpta")
 GENERATED = {"ratio_dg_": "descripcion_grupo", "ratio_pa_": "producto_asociado"}
 CLASS_RATIOS = ("ratio_financiera", "ratio_exitosa", "ratio_no_exitosa")
 
-MAX_GENERATED_COLUMNS = 2_000
 BROADCAST_BYTES = 64 << 20
 JOIN_SALTS = 64
 
@@ -80,7 +80,13 @@ def _check_names(rows) -> None:
 
 
 def code_table(dimension: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> CodeTable:
-    """Look up the generated columns and the size of the dimension in one small job."""
+    """Look up the generated columns and the size of the dimension in one small job.
+
+    One column for each group and product is wanted, so their names are collected; see
+    ``group_shares_long`` for dimensions too wide for columns. The weights are written once
+    and every use reads the table.
+    """
+    dimension = materialize(dimension, "dimension")
     key_bytes = F.octet_length("canal") + F.octet_length("disposit")
     name = F.concat("prefix", column_suffix(F.col("value")))
     found = (
@@ -88,11 +94,8 @@ def code_table(dimension: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
         .groupBy("prefix", "value")
         .agg(F.count("*").alias("n"), F.sum(key_bytes).alias("bytes"))
         .withColumn("column_name", name)
-        .limit(MAX_GENERATED_COLUMNS + 1)
         .collect()
     )
-    if len(found) > MAX_GENERATED_COLUMNS:
-        raise ValueError(f"the dimension would give over {MAX_GENERATED_COLUMNS} columns")
     named = sorted((r for r in found if r.value is not None), key=lambda r: r.column_name)
     _check_names(named)
 
@@ -114,7 +117,7 @@ def code_table(dimension: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     text = sum(r.bytes or 0 for r in found if r.prefix == first)
     size = rows * 8 * (len(weights.columns) + len(KEYS)) + text
     generated = [r.column_name for r in named]
-    return CodeTable(weights, generated, size <= broadcast_bytes)
+    return CodeTable(materialize(weights, "codes"), generated, size <= broadcast_bytes)
 
 
 def match_codes(trxn: DataFrame, table: CodeTable) -> DataFrame:
@@ -181,3 +184,24 @@ def fault_entropy(trxn: DataFrame, table: CodeTable) -> DataFrame:
 def group_flags(trxn: DataFrame, table: CodeTable, fraction: bool = False) -> DataFrame:
     """One column per group and product name; see :func:`generated_columns`."""
     return match_codes(trxn, table).select("id", *generated_columns(table, fraction))
+
+
+def group_shares_long(trxn: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Rows (id, column_name, n, rows) in place of generated columns, however many there are.
+
+    ``n`` of the ``rows`` matched rows of the id have the value that gives the column.
+    Equal transactions are counted first and spread by a salt; nothing is collected.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
+    counted = trxn.dropna(subset=list(KEYS)).groupBy("id", *KEYS).agg(F.count("*").alias("n")).withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.lit(JOIN_SALTS)).cast("int"))
+    name = F.concat("prefix", column_suffix(F.col("value"))).alias("column_name")
+    values = _labelled_values(dimension.dropna(subset=list(KEYS))).groupBy(*KEYS, name).agg(
+        F.count("*").alias("w"))
+    matched = counted.join(values.withColumn("salt", salts), [*KEYS, "salt"])
+    summed = matched.groupBy("id", "column_name").agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+    rows = dimension.dropna(subset=list(KEYS)).groupBy(*KEYS).agg(F.count("*").alias("w"))
+    totals = counted.join(rows.withColumn("salt", salts), [*KEYS, "salt"]).groupBy("id").agg(
+        F.sum(F.col("n") * F.col("w")).alias("rows"))
+    return summed.where(F.col("column_name").isNotNull()).join(totals, "id").select(
+        "id", "column_name", "n", "rows")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 10_000
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 65_536
+# Starts of so many buckets are summed up in one task.
+BLOCK_BUCKETS = 10_000
+BROADCAST_BUCKETS = 1_000_000
 
 
 def kth_smallest(df: DataFrame, key: str, k: int) -> int | None:
@@ -49,29 +51,38 @@ def shuffled_positions(
     even hash buckets, and each bucket starts where the one before ended.
     ``by`` numbers each group on its own.
     """
-    buckets = min(max(1, ceil(rows / ROWS_PER_BUCKET)), MAX_BUCKETS)
+    buckets = max(1, ceil(rows / ROWS_PER_BUCKET))
     hashed = df.withColumn("hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn(
         "bucket", F.pmod("hash", F.lit(buckets)).cast("int")
     )
     ordered = Window.partitionBy(*by, "bucket").orderBy("hash", key)
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        hashed.groupBy(*by, "bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
-    )
-    # At most MAX_BUCKETS rows per group of ``by``.
+    counted = hashed.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
+    starts = _starts(counted, by, "bucket", buckets)
+    # A row for each bucket and group of ``by``; few enough are sent to every task.
+    starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
     numbered = hashed.withColumn("place", F.row_number().over(ordered) - 1)
     return (
-        numbered.join(F.broadcast(starts), [*by, "bucket"])
+        numbered.join(starts, [*by, "bucket"])
         .withColumn("position", (F.col("start") + F.col("place")).cast("bigint"))
         .drop("hash", "bucket", "place", "start")
     )
 
 
+def _starts(counted: DataFrame, by: tuple[str, ...], bucket: str, buckets: int) -> DataFrame:
+    """``start``: the sum of ``n`` over the buckets before, level by level in bounded windows."""
+    if buckets <= BLOCK_BUCKETS:
+        before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("n").over(before), F.lit(0))
+        return counted.withColumn("start", start).drop("n")
+    blocked = counted.withColumn("block", (F.col(bucket) / BLOCK_BUCKETS).cast("int"))
+    blocks = blocked.groupBy(*by, "block").agg(F.sum("n").alias("n"))
+    upper = _starts(blocks, by, "block", ceil(buckets / BLOCK_BUCKETS)).withColumnRenamed("start", "upper")
+    inside = Window.partitionBy(*by, "block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return blocked.withColumn("lower", lower).join(upper, [*by, "block"]).withColumn(
+        "start", F.col("upper") + F.col("lower")).drop("n", "block", "upper", "lower")
+
+
 def at_most(key: str, cut: int | None, everything: bool) -> Column:
     """Rows up to the cut key; without a cut either all rows or none."""
     if cut is None:

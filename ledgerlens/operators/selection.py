@@ -85,10 +85,16 @@ def selected_features(sample: DataFrame, features: list[str]) -> DataFrame:
 
 
 def select_features(
-    matrix: DataFrame, features: list[str], use_segment: bool = True
+    matrix: DataFrame, features: list[str], use_segment: bool = True, max_ones: int | None = SELECTION_ONES
 ) -> list[str]:
-    """Names of the selected columns, sorted, from a balanced sample of the matrix."""
-    sample = balance_classes(matrix, max_ones=SELECTION_ONES)
+    """Names of the selected columns, sorted, from a balanced sample of the matrix.
+
+    ``max_ones`` rows of each class are looked at; None takes every labelled row.
+    """
+    if max_ones is None:
+        sample = matrix.where(F.col(LABEL).isNotNull())
+    else:
+        sample = balance_classes(matrix, max_ones=max_ones)
     names = {row.feature for row in selected_features(sample, features).collect()}
     if not use_segment:
         names.discard("segmento")

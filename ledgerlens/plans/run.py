@@ -1,6 +1,7 @@
-"""The two whole jobs: train, evaluate and score; and the feature study.
+"""The whole jobs: import; train, evaluate and score; and the feature study.
 
-``spark-submit ledgerlens/plans/run.py score STORE OUT`` or ``study STORE OUT``.
+``spark-submit ledgerlens/plans/run.py import CSV_FOLDER STORE``, ``score STORE OUT`` or
+``study STORE OUT``.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.sampling import balance_classes, positional_split
-from ledgerlens.operators.selection import correlation_report, select_features
+from ledgerlens.operators.selection import SELECTION_ONES, correlation_report, select_features
 from ledgerlens.plans import study, training
 from ledgerlens.plans.matrix import build_features
-from ledgerlens.plans.training import BoostParams
+from ledgerlens.plans.training import PLAIN_BOOST, BoostParams
+from ledgerlens.sources.schemas import TABLES
 from ledgerlens.sources.tables import (
     DatasetSpec,
     cached_features,
+    import_tables,
+    inputs_fingerprint,
     load_inputs,
     split_columns,
     write_scores,
@@ -30,6 +34,7 @@ class RunOptions:
     lite: bool = False
     cache: bool = True
     use_segment: bool = True
+    selection_ones: int | None = SELECTION_ONES
     balance_factor: float = 1.0
     params: BoostParams = field(default_factory=BoostParams)
     grid: Mapping[str, Sequence] | None = None
@@ -38,9 +43,10 @@ class RunOptions:
 
 def stored_features(spark: SparkSession, store: str, spec: DatasetSpec, cache: bool = True) -> DataFrame:
     """The scaled matrix of ``spec`` from the store's cache, built if it is missing."""
+    inputs = load_inputs(spark, store, spec)
     return cached_features(
-        spark, f"{store}/features", spec,
-        lambda: build_features(load_inputs(spark, store, spec))[0], cache,
+        spark, f"{store}/features", spec, lambda: build_features(inputs)[0], cache,
+        fingerprint=inputs_fingerprint(inputs),
     )
 
 
@@ -49,7 +55,8 @@ def train_and_score(
 ) -> DataFrame:
     """Train on the store, write the sweep and the scores to ``out``; returns the sweep."""
     matrix = stored_features(spark, store, DatasetSpec(lite=options.lite), options.cache)
-    chosen = select_features(matrix, split_columns(matrix)[0], options.use_segment)
+    chosen = select_features(
+        matrix, split_columns(matrix)[0], options.use_segment, options.selection_ones)
     params = options.params
     if options.grid:
         found = training.grid_search(matrix, chosen, options.grid, params)
@@ -64,14 +71,19 @@ def train_and_score(
 
 
 def feature_study(
-    spark: SparkSession, store: str, out: str, lite: bool = False, rounds: int = 100, epochs: int = 50
+    spark: SparkSession, store: str, out: str, lite: bool = False,
+    boost: BoostParams = PLAIN_BOOST, iterations: int = training.NETWORK_ITERATIONS,
+    max_ones: int | None = study.STUDY_ONES,
 ) -> None:
-    """Write correlations and three kinds of importance to ``out``."""
+    """Write correlations and three kinds of importance to ``out``.
+
+    The models see ``max_ones`` rows of each class; None balances all labelled rows.
+    """
     matrix = stored_features(spark, store, DatasetSpec(lite=lite))
     features, _ = split_columns(matrix)
-    sample = balance_classes(matrix, max_ones=study.STUDY_ONES)
-    boosted = BoostParams(step_size=0.3, max_depth=5, rounds=rounds).classifier(2 * study.STUDY_ONES)
-    network = training.train_network(sample, features, epochs)
+    sample = balance_classes(matrix, max_ones=max_ones)
+    boosted = boost.classifier(sample.count())
+    network = training.train_network(sample, features, iterations)
     tables = {
         "correlation": correlation_report(balance_classes(matrix), features),
         "forest": study.top_importances(study.forest_importance(sample, features)),
@@ -83,11 +95,19 @@ def feature_study(
         table.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
+def import_folder(spark: SparkSession, folder: str, store: str, names: Sequence[str] | None = None,
+                  files: int | None = None) -> None:
+    """Import ``<table>.csv`` of the folder, by default of every table, into the store."""
+    import_tables(spark, {t: f"{folder}/{t}.csv" for t in names or TABLES}, store, files)
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["score", "study"])
-    parser.add_argument("store", help="folder written by import_tables")
-    parser.add_argument("out", help="folder for the results")
+    parser.add_argument("job", choices=["import", "score", "study"])
+    parser.add_argument("store", help="folder written by import; for import, the folder of the CSV files")
+    parser.add_argument("out", help="folder for the results; for import, the store to write")
+    parser.add_argument("--tables", nargs="+", choices=sorted(TABLES), help="import only these")
+    parser.add_argument("--files", type=int, help="files of imported transactions (default: by input size)")
     parser.add_argument("--lite", action="store_true", help="use the small training tables")
     parser.add_argument("--no-cache", action="store_true", help="build the features anew")
     parser.add_argument("--no-segment", action="store_true", help="leave the segment out")
@@ -95,7 +115,9 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.appName("ledgerlens").config(
         "spark.sql.session.timeZone", "UTC").getOrCreate()
-    if args.job == "study":
+    if args.job == "import":
+        import_folder(spark, args.store, args.out, args.tables, args.files)
+    elif args.job == "study":
         feature_study(spark, args.store, args.out, args.lite)
     else:
         train_and_score(spark, args.store, args.out, RunOptions(

@@ -28,8 +28,8 @@ def top_importances(importances: DataFrame, k: int = TOP_IMPORTANCES) -> DataFra
 
 
 def forest_importance(sample: DataFrame, features: Sequence[str], trees: int = 100) -> DataFrame:
-    """Impurity importance in a forest of trees."""
-    forest = RandomForestClassifier(numTrees=trees, seed=SEED)
+    """Impurity importance in a forest whose trees all see every row."""
+    forest = RandomForestClassifier(numTrees=trees, bootstrap=False, seed=SEED)
     return _importances(forest.fit(to_vectors(sample, features)), sample, features)
 
 

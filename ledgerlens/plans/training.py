@@ -8,14 +8,15 @@ boosted-tree libraries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+from itertools import product
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.operators.sampling import (
@@ -26,25 +27,30 @@ from ledgerlens.operators.sampling import (
 )
 from ledgerlens.session import materialize, scratch_dir
 
-# Class sizes of the evaluation sweep, and the tuning grid.
+# Class sizes of the evaluation sweep, the tuning grid by field of
+# BoostParams, the sample of the tuning, the hidden layers and the patience.
 SWEEP_CAPS = (50, 250, 900, 1300, 1600)
 GRID = {
-    "stepSize": [0.05, 0.15, 0.25, 0.5],
-    "maxDepth": [2, 3, 4, 6, 8],
-    "minInstancesPerNode": [1, 3, 5, 7],
-    "minInfoGain": [0.0, 0.1, 0.2, 0.3, 0.4],
-    "maxIter": [20, 50, 100, 250, 500, 800, 1000],
-    "featureSubsetStrategy": ["0.3", "0.4", "0.5", "0.7"],
+    "step_size": [0.05, 0.15, 0.25, 0.5],
+    "max_depth": [2, 3, 4, 6, 8],
+    "child_weight": [1, 3, 5, 7],
+    "split_loss": [0.0, 0.1, 0.2, 0.3, 0.4],
+    "rounds": [20, 50, 100, 250, 500, 800, 1000],
+    "column_share": [0.3, 0.4, 0.5, 0.7],
 }
 GRID_ONES = 1000
 GRID_FOLDS = 3
 HIDDEN_LAYERS = (12, 128, 64, 64, 32, 32, 16, 8)
+PATIENCE = 60
+# Rounds of the first trial of a fit; later trials have four times as many.
+FIRST_ROUNDS = 80
+NETWORK_ITERATIONS = 200
 SEED = 1
 
 
 @dataclass(frozen=True)
 class BoostParams:
-    """Boosted-tree parameters; ``overrides`` sets Spark parameters by name.
+    """Boosted-tree parameters (the defaults are fixed values of the tuned model).
 
     ``split_loss`` and ``child_weight`` are totals over the rows of a node.
     Spark wants the gain per row and a row count: the loss is divided by the
@@ -57,27 +63,30 @@ class BoostParams:
     child_weight: float = 3
     column_share: float = 0.3
     rounds: int = 1000
-    validation_tol: float = 0.0001
-    overrides: Mapping[str, object] = field(default_factory=dict)
+    patience: int = PATIENCE
 
     def tuned(self, values: Mapping[str, object]) -> BoostParams:
-        """With the Spark parameters of a grid point; the number of rounds stays."""
-        return replace(self, overrides={k: v for k, v in values.items() if k != "maxIter"})
+        """With the values of a grid point; the number of rounds stays."""
+        return replace(self, **{k: v for k, v in values.items() if k != "rounds"})
+
+    def spark_values(self, rows: int) -> dict[str, object]:
+        """The parameters under Spark's names and in its units, for a training set of ``rows``."""
+        return {
+            "stepSize": float(self.step_size),
+            "maxDepth": int(self.max_depth),
+            "minInfoGain": float(self.split_loss) / max(rows, 1),
+            "minInstancesPerNode": max(1, int(self.child_weight * 4)),
+            "featureSubsetStrategy": str(self.column_share),
+            "maxIter": int(self.rounds),
+        }
 
     def classifier(self, rows: int) -> GBTClassifier:
-        trees = GBTClassifier(
-            featuresCol="features",
-            labelCol="label",
-            stepSize=self.step_size,
-            maxDepth=self.max_depth,
-            minInfoGain=self.split_loss / max(rows, 1),
-            minInstancesPerNode=max(1, int(self.child_weight * 4)),
-            featureSubsetStrategy=str(self.column_share),
-            maxIter=self.rounds,
-            validationTol=self.validation_tol,
-            seed=SEED,
-        )
-        return trees.copy({trees.getParam(k): v for k, v in self.overrides.items()})
+        return GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, **self.spark_values(rows))
+
+
+# A library's defaults: no penalty of splits, all columns.
+PLAIN_BOOST = BoostParams(step_size=0.3, max_depth=5, split_loss=0.0, child_weight=1,
+                          column_share=1.0, rounds=100)
 
 
 def to_vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -97,7 +106,12 @@ def train_boosted(
     params: BoostParams = BoostParams(),
     balance_factor: float = 1.0,
 ) -> Model:
-    """Boosted trees on a balanced training set, stopped early on a balanced validation set."""
+    """Boosted trees on a balanced training set, as many as a balanced validation set asks for.
+
+    The rounds end where ``patience`` further ones bring no lower validation loss. A longer
+    fit begins with the same trees, so a short one is tried first; the result is that of
+    fitting all ``rounds`` at once and cutting back.
+    """
     scratch_dir(train.sparkSession)  # the trainer checkpoints its own state there
     fit = balance_classes(train, balance_factor=balance_factor)
     check = balance_classes(validation, balance_factor=balance_factor)
@@ -109,8 +123,17 @@ def train_boosted(
         vectors.select("id", F.col(LABEL).cast("double").alias("label"), "held_out", "features"),
         "training",
     )
-    n = rows.where(~F.col("held_out")).count()
-    return params.classifier(n).setValidationIndicatorCol("held_out").fit(rows)
+    fit_rows, check_rows = (rows.where(F.col("held_out") == held).drop("held_out") for held in (False, True))
+    n = fit_rows.count()
+    rounds = min(FIRST_ROUNDS, params.rounds)
+    while True:
+        model = replace(params, rounds=rounds).classifier(n).fit(fit_rows)
+        losses = model.evaluateEachIteration(check_rows)
+        best = losses.index(min(losses)) + 1
+        if best + params.patience <= rounds or rounds >= params.rounds:
+            break
+        rounds = min(rounds * 4, params.rounds)
+    return model if best == rounds else replace(params, rounds=best).classifier(n).fit(fit_rows)
 
 
 def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -124,8 +147,9 @@ def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def area_under_roc(scores: DataFrame) -> float:
+    """Exact area: every distinct score is a threshold."""
     evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="probabilidad", labelCol="label", metricName="areaUnderROC"
+        rawPredictionCol="probabilidad", labelCol="label", metricName="areaUnderROC", numBins=0
     )
     return evaluator.evaluate(scores.where(F.col("label").isNotNull()))
 
@@ -167,18 +191,17 @@ def grid_search(
 ) -> DataFrame:
     """Mean log loss of every grid point over stratified folds, best first.
 
-    The grid names Spark parameters; it is off unless called, as it is large.
+    The grid names fields of ``BoostParams``; it is off unless called, as it is large.
     """
     sample = stratified_folds(balance_classes(matrix, max_ones=max_ones), folds)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(sample)
     rows = materialize(
         vectors.select("id", F.col(LABEL).cast("double").alias("label"), "fold", "features"), "folds"
     )
-    trees = base.classifier(rows.count())
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(trees.getParam(name), list(values))
-    points = builder.build()
+    n = rows.count()
+    trees = base.classifier(n)
+    named = [dict(zip(grid, values)) for values in product(*grid.values())]
+    points = [{trees.getParam(k): v for k, v in replace(base, **values).spark_values(n).items()} for values in named]
     search = CrossValidator(
         estimator=trees,
         estimatorParamMaps=points,
@@ -188,34 +211,34 @@ def grid_search(
         parallelism=parallelism,
     ).fit(rows)
     found = [
-        ({p.name: str(v) for p, v in point.items()}, float(loss))
-        for point, loss in zip(points, search.avgMetrics)
+        ({name: str(v) for name, v in values.items()}, float(loss))
+        for values, loss in zip(named, search.avgMetrics)
     ]
     table = matrix.sparkSession.createDataFrame(found, "params map<string,string>, log_loss double")
-    return table.orderBy("log_loss")
+    return table.orderBy("log_loss", F.col("params").cast("string"))
 
 
 def best_point(found: DataFrame, grid: Mapping[str, Sequence] = GRID) -> dict[str, object]:
     """The grid point of the lowest loss, with the values of the grid."""
-    params = found.orderBy("log_loss").first().params
+    params = found.orderBy("log_loss", F.col("params").cast("string")).first().params
     return {name: next(v for v in grid[name] if str(v) == text) for name, text in params.items()}
 
 
 def train_network(
-    sample: DataFrame, features: Sequence[str], epochs: int = 50, batch: int = 128
+    sample: DataFrame, features: Sequence[str], iterations: int = NETWORK_ITERATIONS, batch: int = 128
 ) -> Model:
-    """Feed-forward network with the given hidden layers, by gradient descent.
+    """Feed-forward network with the given hidden layers, by limited-memory BFGS.
 
     Spark's hidden units are sigmoid, the output is a softmax over two units, and
-    a step uses all rows; ``batch`` only sets how many rows are stacked for it.
+    a step uses all rows; ``batch`` only sets how many rows are stacked for it. So
+    deep a stack of sigmoid units does not learn by plain gradient steps.
     """
     return MultilayerPerceptronClassifier(
         featuresCol="features",
         labelCol="label",
         layers=[len(features), *HIDDEN_LAYERS, 2],
-        solver="gd",
-        stepSize=0.01,
-        maxIter=epochs,
+        solver="l-bfgs",
+        maxIter=iterations,
         blockSize=batch,
         seed=SEED,
     ).fit(to_vectors(sample, features))
@@ -228,5 +251,3 @@ def train_and_evaluate(
     train, test = positional_split(matrix)
     model = train_boosted(train, test, features, params)
     return model, cap_sweep(model, test, features)
-
-

@@ -34,6 +34,16 @@ select c_custkey id, cast(201901 + c_custkey % 12 as int) f_analisis,
   cast(c_nationkey % 5 as int) segmento
 from {customer} where c_custkey % 10 <> 9
 """
+# The label follows the number of order lines, but for each tenth customer, where it is turned.
+_LINE_LABELS = """
+select c_custkey id, cast(201901 + c_custkey % 12 as int) f_analisis,
+  cast(case when (coalesce(n, 0) >= 40) <> (c_custkey % 10 = 3) then 1 else 0 end as int) var_rpta,
+  cast(c_nationkey % 5 as int) segmento
+from {customer} left join (
+  select o_custkey, count(*) n from {lineitem} join {orders} on l_orderkey = o_orderkey group by o_custkey)
+  on o_custkey = c_custkey
+where c_custkey % 10 <> 9
+"""
 _ORDER_TRANSACTIONS = """
 select o_custkey id,
   l_shipdate + make_dt_interval(0, cast(l_partkey % 24 as int), cast(l_linenumber * 7 as int)) fecha_trxn,
@@ -60,6 +70,12 @@ def labels_from_customers(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(_LABELS, customer=_table(spark, folder, "customer"))
 
 
+def labels_from_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels that the features of ``inputs_from_orders`` can tell."""
+    tables = {name: _table(spark, folder, name) for name in ("customer", "lineitem", "orders")}
+    return spark.sql(_LINE_LABELS, **tables)
+
+
 def inputs_from_events(spark: SparkSession, folder: str, training: bool = True) -> Inputs:
     """Events as transactions, with six-hour sessions."""
     ev = spark.sql(_EVENTS, events=_table(spark, folder, "events"))
@@ -71,14 +87,16 @@ def inputs_from_events(spark: SparkSession, folder: str, training: bool = True)
     )
 
 
-def inputs_from_orders(spark: SparkSession, folder: str, training: bool = True) -> Inputs:
-    """Order lines as transactions, an order being a session."""
+def inputs_from_orders(
+    spark: SparkSession, folder: str, training: bool = True, learnable: bool = False
+) -> Inputs:
+    """Order lines as transactions, an order being a session; ``learnable`` labels follow them."""
     trxn = spark.sql(
         _ORDER_TRANSACTIONS,
         lineitem=_table(spark, folder, "lineitem"),
         orders=_table(spark, folder, "orders"),
     )
-    labels = labels_from_customers(spark, folder)
+    labels = (labels_from_lines if learnable else labels_from_customers)(spark, folder)
     return Inputs(
         trxn,
         labels if training else labels.drop("var_rpta"),

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import sha256
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructType
 
 from ledgerlens.operators.codes import clean_codes
 from ledgerlens.sources.schemas import TABLES, TRANSACTIONS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
     """CSV with a header and fixed types; a malformed row stops the job.
 
-    Empty fields, quoted or not, are read as NULL; columns go by position, so
-    the header's names do not matter.
+    Quotes inside quoted fields are doubled, backslashes are plain text. Empty fields,
+    quoted or not, are read as NULL; columns go by position, so the header's names do not
+    matter. ``multi_line`` allows line breaks inside quotes, which leaves a file
+    in one piece: it is meant for small tables.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "FAILFAST")
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
 
@@ -29,6 +36,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 # Spark writes milliseconds unless told otherwise; reading takes any fraction.
 CSV_FORMATS = {
     "header": True,
+    "escape": '"',
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
@@ -79,7 +87,7 @@ def load_inputs(spark: SparkSession, folder: str, spec: DatasetSpec, fmt: str =
 
     def read(table: str) -> DataFrame:
         if fmt == "csv":
-            return read_csv(spark, f"{folder}/{table}.csv", TABLES[table])
+            return read_csv(spark, f"{folder}/{table}.csv", TABLES[table], table == DIMENSION)
         return spark.read.format(fmt).load(f"{folder}/{table}")
 
     dimension = read(DIMENSION)
@@ -87,6 +95,7 @@ def load_inputs(spark: SparkSession, folder: str, spec: DatasetSpec, fmt: str =
 
 
 CLUSTER_KEYS = ("id", "fecha_trxn", "sesion")
+ROWS_PER_FILE = 5_000_000
 
 
 def cluster_by_id(trxn: DataFrame, files: int | None = None) -> DataFrame:
@@ -94,9 +103,11 @@ def cluster_by_id(trxn: DataFrame, files: int | None = None) -> DataFrame:
 
     The rows of an id then meet in one or two tasks, and combining before the
     shuffle shrinks every later pass to about one row per group. Ranges follow
-    id, time and session, so a busy id takes as many files as it needs.
+    id, time and session, so a busy id takes as many files as it needs. Without ``files``
+    a range has about ``ROWS_PER_FILE`` rows.
     """
-    ranged = trxn.repartitionByRange(*([files] if files else []), *CLUSTER_KEYS)
+    files = files or max(1, ceil(trxn.count() / ROWS_PER_FILE))
+    ranged = trxn.repartitionByRange(files, *CLUSTER_KEYS)
     return ranged.sortWithinPartitions(*CLUSTER_KEYS)
 
 
@@ -105,7 +116,7 @@ def import_tables(
 ) -> None:
     """Load CSV files once as Parquet: dimension cleaned, transactions clustered by id."""
     for table, path in csv_paths.items():
-        df = read_csv(spark, path, TABLES[table])
+        df = read_csv(spark, path, TABLES[table], table == DIMENSION)
         if table == DIMENSION:
             df = clean_codes(df)
         elif TABLES[table] is TRANSACTIONS:
@@ -113,9 +124,13 @@ def import_tables(
         df.write.mode("overwrite").parquet(f"{folder}/{table}")
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def _stored_print(spark: SparkSession, path: str) -> str | None:
+    """What the cache was built from; None if it was never finished."""
+    try:
+        row = spark.read.schema("fingerprint string").json(path).first()
+    except AnalysisException:
+        return None
+    return row and row["fingerprint"]
 
 
 def cached_features(
@@ -125,11 +140,18 @@ def cached_features(
     build: Callable[[], DataFrame],
     cache: bool = True,
     fmt: str = "parquet",
+    fingerprint: str = "",
 ) -> DataFrame:
-    """The stored feature matrix if it is complete, else build, store and read it."""
+    """The stored feature matrix if it is complete, else build, store and read it.
+
+    ``fingerprint`` tells the inputs apart; a matrix of other inputs is built anew. It is
+    written last, so a matrix without it was not finished.
+    """
     path = f"{folder}/{spec.features}.{fmt}"
-    if not (cache and _complete(spark, path)):
+    mark = f"{folder}/{spec.features}.print"
+    if not (cache and _stored_print(spark, mark) == fingerprint):
         build().write.mode("overwrite").option("header", True).format(fmt).save(path)
+        spark.createDataFrame([(fingerprint,)], "fingerprint string").write.mode("overwrite").json(mark)
     stored = spark.read.option("header", True).format(fmt).load(path)
     if fmt != "csv":
         return stored
@@ -139,6 +161,12 @@ def cached_features(
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def inputs_fingerprint(inputs: Inputs) -> str:
+    """The data files that the inputs are read from; every import writes new names."""
+    names = sorted(f for df in (inputs.transactions, inputs.labels, inputs.dimension) for f in df.inputFiles())
+    return sha256("\n".join(names).encode()).hexdigest()
+
+
 def split_columns(matrix: DataFrame) -> tuple[list[str], str | None]:
     """Feature columns and the label column (None without one), by name."""
     label = "var_rpta" if "var_rpta" in matrix.columns else None

@@ -35,10 +35,41 @@ def test_boosted_scores(matrix, boosted):
     assert key(training.score(again, test, FEATURES)) == key(scores)
 
 
-def test_half_is_class_zero(spark):
-    from pyspark.sql import functions as F
-    row = spark.range(1).select(F.bround(F.lit(0.5)).cast("int").alias("c")).first()
-    assert row.c == 0
+class _Half:
+    """A model that gives every row the probability one half."""
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        from pyspark.sql import functions as F
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))))
+
+
+def test_half_is_class_zero(matrix):
+    scores = training.score(_Half(), matrix.limit(3), FEATURES).collect()
+    assert [(r.probabilidad, r.clase) for r in scores] == [(0.5, 0)] * 3
+
+
+def test_patience(matrix):
+    """Short trials and one long fit end with the same trees; more patience, no fewer rounds."""
+    train, test = positional_split(matrix)
+    few = training.train_boosted(train, test, FEATURES, training.BoostParams(rounds=100, patience=5, step_size=0.3))
+    assert 1 < few.getNumTrees < 100
+    trials = training.FIRST_ROUNDS
+    try:
+        training.FIRST_ROUNDS = 100
+        once = training.train_boosted(train, test, FEATURES, training.BoostParams(rounds=100, patience=5, step_size=0.3))
+    finally:
+        training.FIRST_ROUNDS = trials
+    assert once.getNumTrees == few.getNumTrees and once.treeWeights == few.treeWeights
+
+
+def test_area_is_exact(spark):
+    scores = spark.range(5000).selectExpr("cast(id % 7 < 3 as double) label", "(id * 7919 % 5000) / 5000.0D probabilidad")
+    rows = scores.collect()
+    ones, zeros = ([r.probabilidad for r in rows if r.label == y] for y in (1, 0))
+    order = np.argsort(np.argsort(ones + zeros))[:len(ones)]
+    want = (order.sum() - len(ones) * (len(ones) - 1) / 2) / len(ones) / len(zeros)
+    assert training.area_under_roc(scores) == pytest.approx(want, abs=1e-12)
 
 
 def test_cap_sweep(boosted):
@@ -71,18 +102,28 @@ def test_permutation_importance(matrix, boosted):
     assert abs(got["noise"].importance) < 0.05
 
 
-def test_network(matrix):
-    model = training.train_network(matrix, FEATURES, epochs=2)
-    assert list(model.getLayers()) == [2, *training.HIDDEN_LAYERS, 2]
-    assert training.score(model, matrix, FEATURES).count() == 600
+@pytest.fixture(scope="module")
+def network(matrix):
+    return training.train_network(matrix, FEATURES)
+
+
+def test_network(matrix, network):
+    assert list(network.getLayers()) == [2, *training.HIDDEN_LAYERS, 2]
+    scores = training.score(network, matrix, FEATURES).collect()
+    assert sum(r.clase == r.label for r in scores) > 0.8 * len(scores)
+
+
+def test_network_permutation(matrix, network):
+    got = {r.feature: r.importance for r in study.permutation_importance(network, matrix, FEATURES, repeats=2).collect()}
+    assert got["signal"] > 0.2 > abs(got["noise"])
 
 
 def test_grid_search(matrix):
     found = training.grid_search(
-        matrix, FEATURES, {"maxDepth": [1, 2]}, training.BoostParams(rounds=3)).collect()
+        matrix, FEATURES, {"max_depth": [1, 2]}, training.BoostParams(rounds=3)).collect()
     assert len(found) == 2
     assert found[0].log_loss <= found[1].log_loss
-    assert {r.params["maxDepth"] for r in found} == {"1", "2"}
+    assert {r.params["max_depth"] for r in found} == {"1", "2"}
 
 
 def test_full_run(matrix):

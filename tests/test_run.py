@@ -2,9 +2,10 @@
 
 import pytest
 
-from ledgerlens.plans.run import RunOptions, feature_study, train_and_score
-from ledgerlens.plans.training import BoostParams, SWEEP_CAPS
+from ledgerlens.plans.run import RunOptions, feature_study, import_folder, train_and_score
+from ledgerlens.plans.training import GRID, SWEEP_CAPS, BoostParams
 from ledgerlens.sources.mapping import inputs_from_events
+from ledgerlens.sources.schemas import CODE_DIMENSION
 from ledgerlens.sources.tables import DIMENSION, DatasetSpec
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def store(spark, tmp_path_factory):
 
 def test_train_and_score(spark, store, tmp_path):
     out = str(tmp_path / "out")
-    options = RunOptions(params=BoostParams(rounds=3), grid={"maxDepth": [1, 2], "maxIter": [2]})
+    options = RunOptions(params=BoostParams(rounds=3), grid={"max_depth": [1, 2], "rounds": [2]})
     sweep = train_and_score(spark, store, out, options)
     assert sorted(r.cap for r in sweep.collect()) == list(SWEEP_CAPS)
     scores = spark.read.option("header", True).csv(f"{out}/scores")
@@ -33,12 +34,27 @@ def test_train_and_score(spark, store, tmp_path):
 
 def test_feature_study(spark, store, tmp_path):
     out = str(tmp_path / "study")
-    feature_study(spark, store, out, rounds=3, epochs=2)
+    feature_study(spark, store, out, boost=BoostParams(rounds=3), iterations=2)
     assert spark.read.parquet(f"{out}/correlation").where("feature = 'var_rpta'").first().abs_corr == pytest.approx(1)
     for name in ("forest", "boosted", "permutation"):
         assert spark.read.parquet(f"{out}/{name}").count() > 0
 
 
 def test_tuned_parameters():
-    params = BoostParams(rounds=7).tuned({"maxDepth": 4, "stepSize": 0.5, "maxIter": 20})
-    assert params.overrides == {"maxDepth": 4, "stepSize": 0.5} and params.rounds == 7
+    params = BoostParams(rounds=7).tuned({"max_depth": 4, "step_size": 0.5, "rounds": 20})
+    assert params == BoostParams(rounds=7, max_depth=4, step_size=0.5)
+    base = BoostParams()
+    same = {k: getattr(base, k) for k in GRID}
+    assert base.tuned(same) == base and base.tuned(same).spark_values(500) == base.spark_values(500)
+
+
+def test_import_job(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "maestro_cdgtrn_cdgrpta.csv").write_text(
+        ",".join(CODE_DIMENSION.fieldNames()) + "\n"
+        'web,D0,None,3.5,"He said ""hi"", ok","two\nlines \\ here",Financiera,Pagos,,Exitosa,,SI,Credito\n')
+    import_folder(spark, str(folder), str(tmp_path / "store"), ["maestro_cdgtrn_cdgrpta"])
+    row = spark.read.parquet(str(tmp_path / "store" / "maestro_cdgtrn_cdgrpta")).first()
+    assert (row.cdgtrn, row.cdgrpta) == (-1, 4)
+    assert 'He said "hi", ok' in tuple(row) and "two\nlines \\ here" in tuple(row)
