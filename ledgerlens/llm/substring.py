@@ -147,14 +147,15 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         members = placed_members(
             scratch, scratch.keep(shared.select("band", "node").distinct(), "shared"), ["band"])
 
+        wanted = scratch.keep(members.select("node").distinct(), "wanted")
+        few = wanted.count() <= BROADCAST_ENTRIES
+        stored = scratch.keep(texts.mapInArrow(_texts, "node binary, text string").join(
+            F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(
+            F.min(F.col("text").cast("binary")).alias("text")), "texts")
+        one = stored.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        two = stored.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+
         def verify(pairs: DataFrame) -> DataFrame:
-            wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "wanted")
-            few = wanted.count() <= BROADCAST_ENTRIES
-            stored = scratch.keep(texts.mapInArrow(_texts, "node binary, text string").join(
-                F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(
-                F.min("text").alias("text")), "texts")
-            one = stored.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("text_a"))
-            two = stored.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text_b"))
             both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
             return scratch.keep(both.mapInArrow(linked_texts, "a binary, b binary"), "links")
 
