@@ -314,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
     sample = (_MATRIX_CTE, _balanced(500), _correlations(COLUMNS), _MEAN, _SCORES)
     matrix = f"select {_matrix_columns(True)} from matrix"
     return plain | _model_checks() | {
-        "label_base": _query(_LABELS),
+        "label_base": _query(_LABELS).replace("where c_custkey % 10 <> 9", ""),
         "session_representative": _query("select * from first_rows"),
         "time_gaps": _query(f"select * replace (cast(gap_micros as double) as gap_micros) from ({_GAPS})"),
         "mean_gap_fast": plain["mean_gap"],
@@ -324,10 +324,10 @@ def oracle_sql() -> dict[str, str]:
             replace(replace(replace(lower(value), '/', ''), '#', ''), '  ', ' '), '[-.\\s]', '_', 'g') column_name
           from (select distinct 'ratio_dg_' prefix, descripcion_grupo as value from maestro
                 union select distinct 'ratio_pa_', producto_asociado from maestro)
-          where value is not null""".replace("\\\\", "\\")),
+          where value is not null""".replace("\\\\", "\\")).replace("where k % 11 <> 0", ""),
         "dimension_clean": _query("""
           select canal, disposit, cast(case when cdgtrn = 7 then -1 else cdgtrn + 1 end as int) cdgtrn,
-            cast(-cdgrpta as int) cdgrpta, descripcion_grupo from maestro"""),
+            cast(-cdgrpta as int) cdgrpta, descripcion_grupo from maestro""").replace("where k % 11 <> 0", ""),
         "feature_matrix": _query(matrix, _MATRIX_CTE),
         "feature_matrix_fused": _query(matrix, _MATRIX_CTE),
         "feature_matrix_predict": _query(f"select {_matrix_columns(False)} from matrix", _MATRIX_CTE),
@@ -350,5 +350,6 @@ def oracle_sql() -> dict[str, str]:
         "positional_split": _query("""select id, case when row_number() over (order by id)
           <= trunc((select count(*) from matrix)::double * 0.7::double) then 'train' else 'test' end part
           from matrix""", _MATRIX_CTE),
-        "csv_roundtrip": _query("select * replace (cast(id as int) as id) from trxn"),
+        "csv_roundtrip": _query("""select * replace (cast(id as int) as id,
+          canal || ' "q" \\\\, ' || chr(10) || disposit as canal) from trxn""".replace("\\\\", "\\")),
     }

@@ -12,7 +12,9 @@ from ledgerlens.operators.labels import label_base
 from ledgerlens.plans import matrix as plans, study, training
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import schemas, tables
-from ledgerlens.sources.mapping import inputs_from_events, inputs_from_orders
+from ledgerlens.sources.mapping import (
+    inputs_from_events, inputs_from_orders, labels_from_customers, whole_event_dimension,
+)
 from ledgerlens.sources.tables import DatasetSpec, Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,16 +58,16 @@ INEXACT = ["month_entropy", "trxn_horadia_entropy", "culpabanco_entropy",
 
 
 def _label_base(spark, folder):
-    return label_base(_inputs(spark, folder).labels)
+    return label_base(labels_from_customers(spark, folder, whole=True))
 
 
 def _dimension_values(spark, folder):
-    return codes.dimension_values(_inputs(spark, folder).dimension)
+    return codes.dimension_values(whole_event_dimension(spark, folder))
 
 
 def _dimension_clean(spark, folder):
     """The dimension with its codes turned to text and cleaned again, per transaction code."""
-    raw = _inputs(spark, folder).dimension.withColumns({
+    raw = whole_event_dimension(spark, folder).withColumns({
         "cdgtrn": F.when(F.col("cdgtrn") == 7, F.lit("None"))
         .otherwise(F.format_string("%d.5", F.col("cdgtrn"))),
         "cdgrpta": F.format_string("-%d.25", F.col("cdgrpta")),
@@ -168,12 +170,16 @@ def _positional_split(spark, folder):
 
 
 def _csv_roundtrip(spark, folder):
-    """Transactions written as CSV with a header and read back with their schema."""
+    """Transactions written as CSV with a header and read back with their schema.
+
+    Channels get quotes, backslashes, commas and line breaks, which must come back.
+    """
     path = scratch_path(spark, "transactions")
-    trxn = _inputs(spark, folder).transactions
+    trxn = _inputs(spark, folder).transactions.withColumn(
+        "canal", F.concat("canal", F.lit(' "q" \\, '), F.lit("\n"), "disposit"))
     columns = schemas.TRANSACTIONS.fieldNames()
     tables.write_csv(trxn.select(*columns), path)
-    stored = tables.read_csv(spark, path, schemas.TRANSACTIONS)
+    stored = tables.read_csv(spark, path, schemas.TRANSACTIONS, multi_line=True)
     return stored.withColumn("vlrtran", F.col("vlrtran").cast("double"))
 
 

@@ -34,20 +34,34 @@ def epoch_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def mean_time(ts: Column) -> Column:
-    """Aggregate: mean time to the nearest microsecond, NULL without times.
+LOW_BITS = 26
+
+
+def time_sums(micros: Column) -> dict[str, Column]:
+    """Aggregates from which ``mean_of_sums`` takes the mean, on their own or summed again.
 
     High and low bits are summed apart as whole numbers. So the result is exact
     in any row order, and neither sum overflows below a hundred billion rows.
     """
-    low_bits = 26
-    micros = epoch_micros(ts)
-    high = F.sum(F.shiftright(micros, low_bits)).cast("decimal(20,0)")
-    low = F.sum(micros.bitwiseAND(F.lit((1 << low_bits) - 1))).cast("decimal(20,0)")
-    mean = F.try_divide(high * (1 << low_bits) + low, F.count(ts).cast("decimal(20,0)"))
+    return {
+        "high_bits": F.sum(F.shiftright(micros, LOW_BITS)),
+        "low_bits": F.sum(micros.bitwiseAND(F.lit((1 << LOW_BITS) - 1))),
+        "n_times": F.count(micros),
+    }
+
+
+def mean_of_sums(high: Column, low: Column, n: Column) -> Column:
+    """Mean time to the nearest microsecond, NULL without times."""
+    total = high.cast("decimal(20,0)") * (1 << LOW_BITS) + low.cast("decimal(20,0)")
+    mean = F.try_divide(total, n.cast("decimal(20,0)"))
     return F.timestamp_micros(F.round(mean, 0).cast("bigint"))
 
 
+def mean_time(ts: Column) -> Column:
+    """Aggregate: mean time to the nearest microsecond, NULL without times."""
+    return mean_of_sums(*time_sums(epoch_micros(ts)).values())
+
+
 def micros_to_seconds(total: Column, n: Column) -> Column:
     """Mean in seconds from a sum of microseconds; NULL when ``n`` is 0."""
     return F.try_divide(total.cast("double"), n * F.lit(1e6))

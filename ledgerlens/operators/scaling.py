@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+GROUP_COLUMNS = 20
+
 
 def varies(column: str) -> Column:
     """Aggregate: whether the column has two different values.
@@ -22,19 +24,22 @@ class Scaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> Scaler:
-        """Mean and population deviation of all columns in one pass, one row back.
+        """Mean and population deviation of all columns, one row back for each group of columns.
 
-        A constant column has deviation 0; its computed one may be a rounding error.
+        A constant column has deviation 0; its computed one may be a rounding error. Groups
+        of ``GROUP_COLUMNS`` keep the aggregation small enough to be compiled; each reads its
+        own columns only, so together they read the matrix once.
         """
-        row = df.agg(
-            *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)],
-            *[
-                F.when(varies(c), F.stddev_pop(c)).otherwise(0.0).alias(f"dev_{i}")
-                for i, c in enumerate(columns)
-            ],
-        ).first()
-        means = {c: row[f"mean_{i}"] for i, c in enumerate(columns)}
-        deviations = {c: row[f"dev_{i}"] for i, c in enumerate(columns)}
+        means, deviations = {}, {}
+        for begin in range(0, len(columns), GROUP_COLUMNS):
+            group = columns[begin:begin + GROUP_COLUMNS]
+            row = df.agg(*[
+                x for i, c in enumerate(group) for x in (
+                    F.avg(c).alias(f"mean_{i}"),
+                    F.when(varies(c), F.stddev_pop(c)).otherwise(0.0).alias(f"dev_{i}"))
+            ]).first()
+            means |= {c: row[f"mean_{i}"] for i, c in enumerate(group)}
+            deviations |= {c: row[f"dev_{i}"] for i, c in enumerate(group)}
         return cls(means, deviations)
 
     def _scaled(self, column: str) -> Column:

@@ -14,6 +14,7 @@ from ledgerlens.functions.timeparts import (
     mean_time,
     micros_to_seconds,
     share,
+    time_sums,
 )
 
 THRESHOLDS = tuple(f"umbral_trxn_{day}" for day in WEEKDAY_NAMES)
@@ -38,8 +39,25 @@ def session_representative(trxn: DataFrame) -> DataFrame:
     )
 
 
+def session_spots(trxn: DataFrame) -> DataFrame:
+    """Times of each (id, sesion, canal, disposit): whole numbers, so rows are hashed, not sorted."""
+    micros = epoch_micros(F.col("fecha_trxn"))
+    sums = time_sums(micros)
+    return trxn.groupBy("id", "sesion", "canal", "disposit").agg(
+        F.min(micros).alias("first_micros"), F.max(micros).alias("last_micros"),
+        *[c.alias(k) for k, c in sums.items()])
+
+
+def opening_spot() -> Column:
+    """Aggregate over the spots of a session: canal and disposit of its ``first_row``."""
+    at = F.col("first_micros")
+    return F.min(F.struct(at.isNull().alias("undated"), at, F.col("canal"), F.col("disposit")))
+
+
 def _top_use(trxn: DataFrame, column: str, name: str) -> DataFrame:
-    first = trxn.groupBy("id", "sesion").agg(first_row("canal", "disposit").alias("first"))
+    micros = epoch_micros(F.col("fecha_trxn"))
+    spots = trxn.groupBy("id", "sesion", "canal", "disposit").agg(F.min(micros).alias("first_micros"))
+    first = spots.groupBy("id", "sesion").agg(opening_spot().alias("first"))
     uses = (
         first.select("id", F.col(f"first.{column}").alias("value"))
         .where(F.col("value").isNotNull())

@@ -18,7 +18,7 @@ from ledgerlens.functions.timeparts import (
     count_if,
     day_of_week,
     epoch_micros,
-    mean_time,
+    mean_of_sums,
     micros_to_seconds,
 )
 from ledgerlens.operators import activity, codes, sessions
@@ -137,14 +137,17 @@ def _values_by_id(trxn: DataFrame) -> DataFrame:
 
 
 def _sessions_by_id(trxn: DataFrame) -> DataFrame:
-    """Session features, from one row per session and three groupings of those."""
-    ts = F.col("fecha_trxn")
-    length = sessions.session_length(ts)
-    per_session = trxn.groupBy("id", "sesion").agg(
-        sessions.first_row("canal", "disposit").alias("first"),
-        length.alias("length"),
-        day_of_week(mean_time(ts)).alias("dow"),
-        F.count(ts).alias("n_times"),
+    """Session features, from one row per session and three groupings of those.
+
+    Sessions are first counted by channel and device, in whole numbers only: the row that
+    stands for a session is then picked among those few, and no transaction is sorted.
+    """
+    mean = mean_of_sums(F.sum("high_bits"), F.sum("low_bits"), F.sum("n_times"))
+    per_session = sessions.session_spots(trxn).groupBy("id", "sesion").agg(
+        sessions.opening_spot().alias("first"),
+        (F.max("last_micros") - F.min("first_micros")).alias("length"),
+        day_of_week(mean).alias("dow"),
+        F.sum("n_times").alias("n_times"),
     )
     normal = F.when(~sessions.is_long(F.col("length")), F.col("length"))
     grouped = (

@@ -66,8 +66,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def labels_from_customers(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(_LABELS, customer=_table(spark, folder, "customer"))
+def labels_from_customers(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Labels of the customers; each tenth has none unless the ``whole`` table is asked for."""
+    rule = _LABELS.replace("where c_custkey % 10 <> 9", "") if whole else _LABELS
+    return spark.sql(rule, customer=_table(spark, folder, "customer"))
 
 
 def labels_from_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +78,12 @@ def labels_from_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(_LINE_LABELS, **tables)
 
 
+def whole_event_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    """The dimension with every code combination of the events."""
+    ev = spark.sql(_EVENTS, events=_table(spark, folder, "events"))
+    return spark.sql(_EVENT_DIMENSION.replace("where k % 11 <> 0", ""), ev=ev)
+
+
 def inputs_from_events(spark: SparkSession, folder: str, training: bool = True) -> Inputs:
     """Events as transactions, with six-hour sessions."""
     ev = spark.sql(_EVENTS, events=_table(spark, folder, "events"))
