@@ -40,7 +40,7 @@ BAND_RATIO = 1.5
 # Domain cuts that a set with too many empty signatures falls back to, one after the other.
 CUTS = 4
 # Texts of about so many characters are worked on at once.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 750_000
 BUCKET_SHINGLES = 100_000
 # Bounds above this are not needed to tell pairs apart.
 MOST_SHARED = 100
@@ -48,7 +48,7 @@ MOST_SHARED = 100
 BROADCAST_IDS = 500_000
 # Working-memory bounds of one task; results do not depend on them.
 BUCKET_BOUND = 2_000_000
-KEPT_BYTES = 64_000_000
+KEPT_BYTES = 32_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,21 +108,24 @@ class Comparison:
     differences: int
     parts: int
 
-    @property
-    def agreeing(self) -> int:
-        """First-level parts with one difference at most, in any pair that counts."""
-        return self.parts - self.differences // 2
 
+def _parts(low: int, high: int, differences: int) -> int:
+    """First-level parts: enough that sets of the band seldom lack full signatures.
+
+    Sought is the least number with a margin of 2.5 deviations at either end and in the
+    middle of the band, or else the number of the widest margin.
+    """
+    def margin(parts: int) -> float:
+        found = []
+        for size in (low, (low + high) // 2, high):
+            lacking = parts * (3 * exp(-2 * size / parts / 3) - 2 * exp(-size / parts))
+            sure = parts - min(differences, size // 4) // 2 - 1
+            found.append((sure - lacking) / sqrt(max(lacking, 0.1)))
+        return min(found)
 
-def _parts(low: int, differences: int) -> int:
-    """First-level parts: enough that sets of the lowest size seldom lack full signatures."""
     least = differences // 2 + 1
-    for parts in range(least, 3 * least + 8):
-        filling = low / parts
-        lacking = 3 * exp(-2 * filling / 3) - 2 * exp(-filling)
-        if parts - differences // 2 - 1 >= parts * lacking + 2.5 * sqrt(parts * lacking):
-            return parts
-    return least
+    tried = range(least, 3 * least + 8)
+    return next((n for n in tried if margin(n) >= 2.5), max(tried, key=margin))
 
 
 @lru_cache(maxsize=None)
@@ -142,12 +145,12 @@ def _comparisons_upto(size: int) -> tuple[Comparison, ...]:
     while low <= size:
         high = max(low, int(low * BAND_RATIO))
         differences = 2 * high * apart // (100 + PERCENT)
-        made.append(Comparison(number, low, high, differences, _parts(low, differences)))
+        made.append(Comparison(number, low, high, differences, _parts(low, high, differences)))
         top = high * 100 // PERCENT
         bottom = -(-(high + 1) * PERCENT // 100)
         if top > high:
             differences = (high + top) * apart // (100 + PERCENT)
-            made.append(Comparison(number + 1, bottom, top, differences, _parts(bottom, differences)))
+            made.append(Comparison(number + 1, bottom, top, differences, _parts(bottom, top, differences)))
         low, number = high + 1, number + 2
     return tuple(made)
 
@@ -157,8 +160,7 @@ def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     The bound says how many signatures a set shares at least with any set that is similar
     enough: its first-level parts with one difference at most, without those whose
-    signatures may be empty. A partner is at most 5/4 as large, so they differ in at most
-    a quarter of the set's size.
+    signatures may be empty.
     """
     rows = [(i, c) for i, size in enumerate(sets.sizes.tolist()) for c in comparisons(size)]
     texts, values = [], []
@@ -169,8 +171,11 @@ def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = np.array([i for i, _ in rows])
         number = np.array([c.number for _, c in rows], np.uint64)
         parts = np.array([c.parts for _, c in rows])
-        agreeing = np.array([c.agreeing for _, c in rows])
         sizes = sets.sizes[text]
+        # A partner is at most 5/4 as large, so a set and its partner differ in at most a
+        # quarter of its size; the other first-level parts hold one difference at most.
+        apart = np.minimum(np.array([c.differences for _, c in rows]), sizes // 4)
+        agreeing = parts - apart // 2
         row = np.repeat(np.arange(len(rows)), sizes)
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(sets.starts[text], sizes)
@@ -188,8 +193,7 @@ def signatures(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lacking = np.bincount(owner, filled.sum(axis=1) < 2, minlength=len(rows))
         fails = lacking >= agreeing
         if cut == 0:
-            apart = np.minimum(np.array([c.differences for _, c in rows]), sizes // 4)
-            sure = np.where(fails, 1, parts - apart // 2 - lacking)
+            sure = np.where(fails, 1, agreeing - lacking)
             np.minimum.at(bounds, text, np.maximum(sure, 1).astype(np.int64))
         part = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
         salt = _mix((number[owner] * np.uint64(CUTS) + np.uint64(cut)) * np.uint64(1 << 32) + part)
@@ -382,6 +386,35 @@ def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame
     return scratch.keep(both.select("a", "b"), "promising")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for begin, end in _slices(texts):
+            sets = shingle_sets(texts[begin:end])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids[begin:end], sets.sizes)), pa.array(sets.hashes.view(np.int64))],
+                ["node", "shingle"])
+
+
+def _hopeful(scratch: Scratch, texts: DataFrame, profiles: DataFrame, members: DataFrame) -> DataFrame:
+    """The members that can still be similar to another member.
+
+    A shingle that no other member has is in no intersection; a set with too many of them
+    is similar to none. Ids of several rows are left alone.
+    """
+    nodes = scratch.keep(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    found = texts.join(F.broadcast(nodes) if few else nodes, "doc_id").select("doc_id", "text")
+    own = found.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("node").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(
+        F.count("*").alias("own"))
+    sizes = profiles.join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.max("n_shingles").alias("size"))
+    hopeless = own.join(sizes, "doc_id").where("rows = 1").where(
+        100 * (F.col("size") - F.col("own")) < PERCENT * F.col("size")).select(F.col("doc_id").alias("node"))
+    return members.join(scratch.keep(hopeless, "hopeless"), "node", "left_anti")
+
+
 def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame) -> DataFrame:
     sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
@@ -396,7 +429,10 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(scratch, texts, _promising(scratch, pairs, bags))
 
-    return settle(scratch, members, ["key"], links, verify)
+    def hopeful(open_members: DataFrame) -> DataFrame:
+        return _hopeful(scratch, texts, profiles, open_members)
+
+    return settle(scratch, members, ["key"], links, verify, hopeful)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,14 +32,16 @@ def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFrame,
-           verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+           verify: Callable[[DataFrame], DataFrame],
+           hopeful: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node``, ``component`` of all linked nodes.
 
     ``members`` comes from ``placed_members``; ``links`` (``a``, ``b``) are known before;
     ``verify`` keeps those of the pairs (``a``, ``b``) that are links. The first node of each
     key is compared with the others, then the next 32, the next 1024 and so on, each only
     with nodes that no link found so far connects with it, until every key is settled: its
-    nodes are all connected or all compared.
+    nodes are all connected or all compared. Between rounds ``hopeful`` may leave out members
+    that cannot be linked to any other.
     """
     labels = connected_components(links, scratch)
     begin, width = 1, 1
@@ -55,8 +57,15 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
             links = links.union(found)
             labels = connected_components(links, scratch)
         begin, width = begin + width, width * MORE_HUBS
-        unsettled = with_components(members, labels).groupBy(*keys).agg(
-            F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where((F.col("last") > begin) & (F.col("least") < F.col("most"))).select(*keys)
-        members = scratch.keep(members.join(unsettled, keys, "left_semi"), "open")
+        members = _unsettled(scratch, members, keys, labels, begin)
+        if hopeful is not None and not members.isEmpty():
+            members = _unsettled(scratch, scratch.keep(hopeful(members), "hopeful"), keys, labels, begin)
     return labels
+
+
+def _unsettled(scratch: Scratch, members: DataFrame, keys: list[str], labels: DataFrame, begin: int) -> DataFrame:
+    """Members of the keys with different components and a place from ``begin`` on behind the first."""
+    unsettled = with_components(members, labels).groupBy(*keys).agg(
+        F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).where((F.col("last") > begin) & (F.col("least") < F.col("most"))).select(*keys)
+    return scratch.keep(members.join(unsettled, keys, "left_semi"), "open")

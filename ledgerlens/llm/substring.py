@@ -29,7 +29,7 @@ from ledgerlens.session import Scratch, materialize
 MIN_WORDS = 20
 RECALL = 0.998
 MOST_HASHES = 96
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 750_000
 # Entries of candidates are sent to every task up to this number (16 bytes each).
 BROADCAST_ENTRIES = 500_000
 SEED = 53
