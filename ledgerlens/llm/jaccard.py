@@ -41,7 +41,7 @@ BAND_RATIO = 1.5
 CUTS = 4
 # Texts of about so many characters are worked on at once.
 SLICE_CHARS = 750_000
-BUCKET_SHINGLES = 100_000
+BUCKET_SHINGLES = 400_000
 # Bounds above this are not needed to tell pairs apart.
 MOST_SHARED = 100
 # Ids of candidates are sent to every task up to this number (8 bytes each).

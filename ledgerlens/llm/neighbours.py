@@ -146,7 +146,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame | None = None, k: int = NE
         F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(dimensions)]).first(), np.float64)
 
     smallest = Window.partitionBy("vector").orderBy("vec_id")
-    entries = materialize(everything.withColumn("place", F.row_number().over(smallest)).where(
+    entries = materialize(everything.withColumn("place", F.dense_rank().over(smallest)).where(
         F.col("place") <= k + 1).groupBy("vector").agg(F.collect_set("vec_id").alias("ids")), "entries")
     shards = -(-total // SHARD_ROWS)
     blocks = -(-asked.count() // BLOCK_ROWS)
