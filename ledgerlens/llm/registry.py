@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    chat, jaccard, langid, mixing, neighbours, pieces, pii, quality, substring, toxicity,
+    chat, jaccard, langid, mixing, neighbours, passages, pieces, pii, quality, substring, toxicity,
 )
 from ledgerlens.llm.shipping import ship_code
 
@@ -46,6 +46,14 @@ def op5_preference_turns(spark: SparkSession, folder: str) -> DataFrame:
     return chat.preference_turns(*chat.swapped_answers(_table(spark, folder, "conversations")))
 
 
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal and similar lines, and equal passages wherever lines begin and end."""
+    docs = _table(spark, folder, "documents")
+    lines = substring.repeated_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
+    return lines.unionByName(
+        passages.repeated_passages(docs).withColumn("kind", F.lit("passage")), allowMissingColumns=True)
+
+
 def op6_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return substring.repeated_paragraphs(_table(spark, folder, "documents"))
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_preference_turns": op5_preference_turns,
+    "op6_repeated_passages": op6_repeated_passages,
     "op6_repeated_paragraphs": op6_repeated_paragraphs,
     "op7_language_profiles": op7_language_profiles,
     "op8_sentencepiece": op8_sentencepiece,
