@@ -358,20 +358,25 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(parts, not cut)
 
 
-def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame, copies: DataFrame) -> DataFrame:
+def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame, firsts: DataFrame,
+                       copies: DataFrame) -> DataFrame:
     """``key``, ``node`` and ``bound`` of the signatures that several different sets share.
 
-    Copies are left out: the first of them has the same signatures.
+    Ids that only have copies are left out: the first of them has the same signatures.
     """
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     packed = texts.where("doc_id is not null").mapInArrow(
         _signature_rows(bucket_bits(total)), "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _colliding, "key long, node long, bound tinyint")
-    few = copies.count() <= BROADCAST_IDS
+    several = not profiles.groupBy("doc_id").count().where("count > 1").isEmpty()
     others = copies.select(F.col("doc_id").alias("node"))
+    if several:
+        # An id with a copy may also be the first with another text.
+        others = others.join(firsts.select(F.col("first").alias("node")), "node", "left_anti")
+    few = copies.count() <= BROADCAST_IDS
     own = met.join(F.broadcast(others) if few else others, "node", "left_anti")
-    if not profiles.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if several:
         own = own.groupBy("key", "node").agg(F.min("bound").alias("bound"))
     counted = own.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     return scratch.keep(counted.where("n > 1").drop("n"), "owned")
@@ -419,7 +424,7 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     sets = profiles.where("n_shingles > 0 and doc_id is not null").select("doc_id", "print")
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
-    owned = _shared_signatures(scratch, texts, profiles, copies)
+    owned = _shared_signatures(scratch, texts, profiles, firsts, copies)
     # A bag holds no more keys than its text has signatures.
     bags = scratch.keep(owned.groupBy("node").agg(
         F.collect_list("key").alias("keys"), F.min("bound").alias("bound")), "bags")

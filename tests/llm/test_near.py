@@ -92,6 +92,14 @@ def test_join_odd_rows(spark):
     assert jaccard.one_of_each_group(empty_documents(spark)).count() == 0
 
 
+def test_join_of_an_id_with_a_copy_and_another_text(spark):
+    near = [" ".join(f"y{i}" for i in range(n)) for n in (60, 62)]
+    rows = [(1, PROSE), (5, PROSE), (5, near[0]), (9, near[1]), (12, "alone " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (12, 12)}
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 100), (7, 7)], "a long, b long")
     with Scratch(spark) as scratch:
