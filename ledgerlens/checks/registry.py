@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerlens.operators import activity, codes, sampling, selection, sessions
+from ledgerlens.operators import activity, codes, ranking, sampling, selection, sessions
 from ledgerlens.operators.codes import code_table
 from ledgerlens.operators.labels import label_base
 from ledgerlens.plans import matrix as plans, study, training
@@ -20,6 +20,7 @@ from ledgerlens.sources.tables import DatasetSpec, Inputs
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
+AUC_BUCKETS = 4096
 
 
 def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -291,16 +292,31 @@ def _cap_sweep_check(spark, folder):
     return swept.select("cap", "expected_ones", "n", (F.col("error") < 0.3).alias("learned"))
 
 
+def _zeros_below(scores):
+    """``ones``, ``n`` (zeros) and ``below`` (zeros of lower scores) of each score."""
+    by_score = scores.groupBy("probabilidad").agg(F.sum("label").alias("ones"), F.count("*").alias("rows")).withColumn(
+        "n", F.col("rows") - F.col("ones"))
+    # Buckets keep the order of the scores, and their sums are a bounded number of rows.
+    bucket = F.least(F.floor(F.col("probabilidad") * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1)).cast("int")
+    placed = by_score.withColumn("bucket", bucket)
+    starts = ranking._starts(placed.groupBy("bucket").agg(F.sum("n").alias("n")), (), "bucket", AUC_BUCKETS)
+    inside = Window.partitionBy("bucket").orderBy("probabilidad").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return placed.join(F.broadcast(starts), "bucket").withColumn("below", below)
+
+
+def _ranked_area(scores):
+    """The share of rightly ordered pairs, ties half."""
+    pairs, ones, zeros = _zeros_below(scores).agg(
+        F.sum(F.col("ones") * (F.col("below") + F.col("n") / 2)), F.sum("ones"), F.sum("n")).first()
+    return pairs / ones / zeros
+
+
 def _auc_check(spark, folder):
     """The area against the share of rightly ordered pairs, from ranks with ties in the middle."""
     scores = _held_out_scores(spark, folder)
     auc = training.area_under_roc(scores)
-    by_score = scores.groupBy("probabilidad").agg(F.sum("label").alias("ones"), F.count("*").alias("n"))
-    below = by_score.select(F.col("probabilidad").alias("lower"), (F.col("n") - F.col("ones")).alias("zeros"))
-    pairs = by_score.where("ones > 0").join(below, F.col("lower") <= F.col("probabilidad")).agg(F.sum(
-        F.col("ones") * F.col("zeros") * F.when(F.col("lower") < F.col("probabilidad"), 1.0).otherwise(0.5)))
-    ones = scores.agg(F.sum("label")).first()[0]
-    ranked = pairs.first()[0] / ones / (scores.count() - ones)
+    ranked = _ranked_area(scores)
     return scores.agg(F.count("*").alias("n")).select(
         "n", F.lit(abs(auc - ranked) < 1e-9).alias("exact"), F.lit(auc > 0.8).alias("learned"))
 
