@@ -299,7 +299,7 @@ def _zeros_below(scores):
     # Buckets keep the order of the scores, and their sums are a bounded number of rows.
     bucket = F.least(F.floor(F.col("probabilidad") * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1)).cast("int")
     placed = by_score.withColumn("bucket", bucket)
-    starts = ranking._starts(placed.groupBy("bucket").agg(F.sum("n").alias("n")), (), "bucket", AUC_BUCKETS)
+    starts = ranking.starts(placed.groupBy("bucket").agg(F.sum("n").alias("n")), (), "bucket", AUC_BUCKETS)
     inside = Window.partitionBy("bucket").orderBy("probabilidad").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     return placed.join(F.broadcast(starts), "bucket").withColumn("below", below)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerlens.session import Scratch
+
 BINS = 10_000
 ROWS_PER_BUCKET = 50_000
 # Starts of so many buckets are summed up in one task.
@@ -57,18 +60,18 @@ def shuffled_positions(
     )
     ordered = Window.partitionBy(*by, "bucket").orderBy("hash", key)
     counted = hashed.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
-    starts = _starts(counted, by, "bucket", buckets)
+    begins = starts(counted, by, "bucket", buckets)
     # A row for each bucket and group of ``by``; few enough are sent to every task.
-    starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
+    begins = F.broadcast(begins) if buckets <= BROADCAST_BUCKETS else begins
     numbered = hashed.withColumn("place", F.row_number().over(ordered) - 1)
     return (
-        numbered.join(starts, [*by, "bucket"])
+        numbered.join(begins, [*by, "bucket"])
         .withColumn("position", (F.col("start") + F.col("place")).cast("bigint"))
         .drop("hash", "bucket", "place", "start")
     )
 
 
-def _starts(counted: DataFrame, by: tuple[str, ...], bucket: str, buckets: int) -> DataFrame:
+def starts(counted: DataFrame, by: tuple[str, ...], bucket: str, buckets: int) -> DataFrame:
     """``start``: the sum of ``n`` over the buckets before, level by level in bounded windows."""
     if buckets <= BLOCK_BUCKETS:
         before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,13 +79,48 @@ def _starts(counted: DataFrame, by: tuple[str, ...], bucket: str, buckets: int)
         return counted.withColumn("start", start).drop("n")
     blocked = counted.withColumn("block", (F.col(bucket) / BLOCK_BUCKETS).cast("int"))
     blocks = blocked.groupBy(*by, "block").agg(F.sum("n").alias("n"))
-    upper = _starts(blocks, by, "block", ceil(buckets / BLOCK_BUCKETS)).withColumnRenamed("start", "upper")
+    upper = starts(blocks, by, "block", ceil(buckets / BLOCK_BUCKETS)).withColumnRenamed("start", "upper")
     inside = Window.partitionBy(*by, "block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(F.sum("n").over(inside), F.lit(0))
     return blocked.withColumn("lower", lower).join(upper, [*by, "block"]).withColumn(
         "start", F.col("upper") + F.col("lower")).drop("n", "block", "upper", "lower")
 
 
+def in_ranges(scratch: Scratch, rows: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """``rows`` written in ranges of the keys, with ``part``, the number of the range.
+
+    Every row of a lower ``part`` is before or equal to those of a higher one. Rows of equal
+    keys may lie in several ranges; ``tie``, a random number, orders them.
+    """
+    mixed = rows.withColumn("tie", F.rand(seed))
+    ranged = mixed.repartitionByRange(*keys, "tie").withColumn("part", F.spark_partition_id())
+    return scratch.keep(ranged, "ranges")
+
+
+def running_sums(
+    scratch: Scratch, rows: DataFrame, by: Sequence[str], order: Sequence[str], weights: Sequence[str]
+) -> DataFrame:
+    """Add ``before_<w>``, the sum of each weight over the rows before in the group, and ``all_<w>``.
+
+    Groups (``by``, not NULL) are ordered by ``order``, NULLs first, rows of equal order in any
+    order. Rows are written in ranges of group and order; the sums of the ranges are summed
+    up, one row for each range and group, and rows are only numbered inside their range. So no
+    task holds a whole group.
+    """
+    ranged = in_ranges(scratch, rows, [*by, *order])
+    sums = ranged.groupBy(*by, "part").agg(*[F.sum(w).alias(w) for w in weights])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(
+        *by, "part",
+        *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"before_{w}") for w in weights],
+        *[F.sum(w).over(group).alias(f"all_{w}") for w in weights],
+    )
+    inside = Window.partitionBy(*by, "part").orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"before_{w}": F.col(f"before_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}
+    return ranged.join(begins, [*by, "part"]).withColumns(before).drop("part", "tie")
+
+
 def at_most(key: str, cut: int | None, everything: bool) -> Column:
     """Rows up to the cut key; without a cut either all rows or none."""
     if cut is None:
