@@ -113,6 +113,91 @@ select pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || body || '<|
 from parts"""
 
 
+_CRC_TABLE = """
+crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i] || range(8), lambda c, k:
+      case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c
+    from range(256) as steps(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of ``text``, with the table ``t`` of ``crc``."""
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::bigint)"
+    return (f"xor(list_reduce([4294967295::bigint] || {octets}, "
+            "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint)")
+
+
+def _byte_shards() -> str:
+    return f"""
+with {_CRC_TABLE},
+sized as (
+  select doc_id, coalesce(strlen(text), 0)::bigint + 1 as size, {_crc32("coalesce(text, '')")} as text_crc32
+  from documents cross join crc),
+placed as (
+  select *, sum(size) over (order by doc_id, text_crc32, size rows unbounded preceding) - size as before,
+    sum(size) over () as total
+  from sized),
+cut as (select *, least(((2 * before + size) * 8) // (2 * total), 7)::int as shard from placed)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+  row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, null::int as grown_shard
+from cut"""
+
+
+def _merkle() -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f})::varchar || ':' || {f}, '-')" for f in fields) + ")"
+
+    def climb(name: str, leaves: str) -> str:
+        return f"""{name} as (
+  select grp, 0 as level, idx, n, node from {leaves}
+  union all
+  select grp, level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(node, '' order by idx))
+  from {name} where n > 1 group by grp, level, idx // 3)"""
+
+    def siblings(tree: str, leaves: str, key: str) -> str:
+        return f"""
+  select l.{key}, t.level, coalesce(string_agg(t.node, '' order by t.idx) filter (t.idx < l.idx // (3 ** t.level)::bigint), '') as before,
+    coalesce(string_agg(t.node, '' order by t.idx) filter (t.idx > l.idx // (3 ** t.level)::bigint), '') as after
+  from {leaves} l join {tree} t on t.grp = l.grp and t.n > 1 and t.idx // 3 = l.idx // (3 ** (t.level + 1))::bigint
+  group by l.{key}, t.level"""
+
+    return f"""
+with recursive {_CRC_TABLE},
+hashed as (
+  select doc_id, coalesce('s' || source, '-') as grp, {leaf("text")} as node,
+    case when {_crc32("doc_id::varchar")} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as changed
+  from documents cross join crc),
+leaves as (
+  select *, row_number() over (partition by grp order by doc_id) - 1 as idx, count(*) over (partition by grp) as n
+  from hashed),
+{climb("tree", "leaves")},
+sources as (
+  select '' as grp, grp as source, row_number() over (order by grp) - 1 as idx, count(*) over () as n, node
+  from tree where n = 1),
+{climb("upper_tree", "sources")},
+runs as (
+  select doc_id, level, before, after from ({siblings("tree", "leaves", "doc_id")})
+  union all
+  select l.doc_id, 1000 + level, before, after
+  from ({siblings("upper_tree", "sources", "source")}) s join leaves l on l.grp = s.source),
+steps as (select *, row_number() over (partition by doc_id order by level) as step from runs),
+folds as (
+  select doc_id, 0::bigint as step, changed as node from leaves
+  union all
+  select f.doc_id, s.step, sha256(s.before || f.node || s.after)
+  from folds f join steps s on s.doc_id = f.doc_id and s.step = f.step + 1),
+proofs as (select doc_id, string_agg(before || after, '' order by step) as proof from steps group by doc_id),
+done as (
+  select l.doc_id, l.node as leaf, s.node as subroot, (select node from upper_tree where n = 1) as root,
+    sha256(coalesce(p.proof, '')) as proof_sha256,
+    (select arg_max(f.node, f.step) from folds f where f.doc_id = l.doc_id) as folded_root
+  from leaves l join sources s on s.source = l.grp left join proofs p using (doc_id))
+select *, folded_root = root as verified from done"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _quality(), "op2_mix_sources": _mixing(),
-            "op5_preference_turns": _preference()}
+            "op5_preference_turns": _preference(), "op11_merkle_manifest": _merkle(),
+            "op12_byte_shards": _byte_shards()}
