@@ -230,25 +230,29 @@ def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> str:
     return b" ".join(words).decode()
 
 
+def _rows_of(ids: pa.Array, texts: list[list[bytes]]) -> pa.RecordBatch:
+    found = runs_of(texts)
+    rows = [[{"start": s, "length": n, "period": q} for s, n, q in runs] for runs in found]
+    return pa.RecordBatch.from_arrays([
+        ids,
+        pa.array([len(words) for words in texts], pa.int64()),
+        pa.array(rows, pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "period")]))),
+        pa.array([collapsed(words, runs) for words, runs in zip(texts, found)], pa.string()),
+    ], ["id", "n_words", "runs", "collapsed"])
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [(text or "").encode().split() for text in batch.column(1).to_pylist()]
-        begin = 0
-        while begin < len(texts):
-            end, held = begin + 1, len(texts[begin])
-            while end < len(texts) and held + len(texts[end]) <= BATCH_WORDS:
-                held += len(texts[end])
-                end += 1
-            some = texts[begin:end]
-            found = runs_of(some)
-            rows = [[{"start": s, "length": n, "period": q} for s, n, q in runs] for runs in found]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(begin, end - begin),
-                pa.array([len(words) for words in some], pa.int64()),
-                pa.array(rows, pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "period")]))),
-                pa.array([collapsed(words, runs) for words, runs in zip(some, found)], pa.string()),
-            ], ["id", "n_words", "runs", "collapsed"])
-            begin = end
+        begin, texts, held = 0, [], 0
+        for at, text in enumerate(batch.column(1)):
+            words = (text.as_py() or "").encode().split()
+            if texts and held + len(words) > BATCH_WORDS:
+                yield _rows_of(batch.column(0).slice(begin, len(texts)), texts)
+                begin, texts, held = at, [], 0
+            texts.append(words)
+            held += len(words)
+        if texts:
+            yield _rows_of(batch.column(0).slice(begin, len(texts)), texts)
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
