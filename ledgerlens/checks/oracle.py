@@ -297,11 +297,15 @@ def _model_checks() -> dict[str, str]:
         "validation_auc_check": _learnable(
             "select cast(2 * min(n) as bigint) n, true as exact, true as learned from held_out"),
         "gbt_importance_check": first,
+        "gbt_split_counts_check": first,
         "forest_importance_check": first,
         "permutation_importance_check": f"select cast({len(COLUMNS)} as bigint) n, true as signal, true as noise_is_small",
         "grid_search_check": """
-          select max_depth, step_size, true as learned
-          from (select unnest(['2', '3']) max_depth) cross join (select unnest(['0.05', '0.25']) step_size)""",
+          select max_depth, step_size, rounds, true as learned
+          from (select unnest(['2', '3']) max_depth) cross join (select unnest(['0.05', '0.25']) step_size)
+            cross join (select unnest(['20', '50']) rounds)""",
+        "boosting_history_check": "select true as last_is_best, true as learned, true as from_the_first",
+        "stored_scores_check": _learnable("select id, true as same from everyone"),
         "submission_check": _learnable("select id, true as inside from everyone"),
     }
 
@@ -345,6 +349,13 @@ def oracle_sql() -> dict[str, str]:
             f"select feature, {_r('abs(corr)')} abs_corr from corrs cross join mean where abs(corr) > strength",
             *sample),
         "selected_features": _query(f"select feature from ({_TOP}) union {_ABOVE}", *sample),
+        "dataset_choice": _query("""
+          select features, n as transactions, ids, labels, cast(segments as double) segments,
+            case when training then cast(ones as double) end as ones
+          from (values ('features_train', 1, true), ('features_train_lite', 5, true), ('features_predict', 1, false))
+              as choices(features, step, training)
+            cross join lateral (select count(*) n, count(distinct id) ids from trxn where id % step = 0)
+            cross join lateral (select count(*) labels, sum(segmento) segments, sum(var_rpta) ones from rpta where id % step = 0)"""),
         "class_balance": _query("select id, var_rpta from sample", _MATRIX_CTE, _balanced(None)),
         "class_balance_capped": _query("select id, var_rpta from sample", _MATRIX_CTE, _balanced(200)),
         "positional_split": _query("""select id, case when row_number() over (order by id)

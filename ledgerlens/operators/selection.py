@@ -89,12 +89,9 @@ def select_features(
 ) -> list[str]:
     """Names of the selected columns, sorted, from a balanced sample of the matrix.
 
-    ``max_ones`` rows of each class are looked at; None takes every labelled row.
+    ``max_ones`` rows of each class are looked at; None takes as many as the smaller class has.
     """
-    if max_ones is None:
-        sample = matrix.where(F.col(LABEL).isNotNull())
-    else:
-        sample = balance_classes(matrix, max_ones=max_ones)
+    sample = balance_classes(matrix, max_ones=max_ones)
     names = {row.feature for row in selected_features(sample, features).collect()}
     if not use_segment:
         names.discard("segmento")

@@ -1,7 +1,7 @@
 """The whole jobs: import; train, evaluate and score; and the feature study.
 
 ``spark-submit ledgerlens/plans/run.py import CSV_FOLDER STORE``, ``score STORE OUT`` or
-``study STORE OUT``.
+``study STORE OUT``; ``score STORE OUT --bundle OUT/bundle`` scores with a stored model.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators.sampling import balance_classes, positional_split
 from ledgerlens.operators.selection import SELECTION_ONES, correlation_report, select_features
 from ledgerlens.plans import study, training
+from ledgerlens.plans.bundle import Bundle, load_scaler, save_scaler
 from ledgerlens.plans.matrix import build_features
+from ledgerlens.plans.staged import split_counts
 from ledgerlens.plans.training import PLAIN_BOOST, BoostParams
 from ledgerlens.sources.schemas import TABLES
 from ledgerlens.sources.tables import (
@@ -42,53 +44,83 @@ class RunOptions:
 
 
 def stored_features(spark: SparkSession, store: str, spec: DatasetSpec, cache: bool = True) -> DataFrame:
-    """The scaled matrix of ``spec`` from the store's cache, built if it is missing."""
+    """The scaled matrix of ``spec`` from the store's cache, built with its scaler if it is missing."""
     inputs = load_inputs(spark, store, spec)
+
+    def build() -> DataFrame:
+        matrix, scaler = build_features(inputs)
+        save_scaler(spark, scaler, _scaler_path(store, spec))
+        return matrix
+
     return cached_features(
-        spark, f"{store}/features", spec, lambda: build_features(inputs)[0], cache,
-        fingerprint=inputs_fingerprint(inputs),
-    )
+        spark, f"{store}/features", spec, build, cache, fingerprint=inputs_fingerprint(inputs))
+
+
+def _scaler_path(store: str, spec: DatasetSpec) -> str:
+    return f"{store}/features/{spec.features}.scaler"
 
 
 def train_and_score(
     spark: SparkSession, store: str, out: str, options: RunOptions = RunOptions()
 ) -> DataFrame:
-    """Train on the store, write the sweep and the scores to ``out``; returns the sweep."""
-    matrix = stored_features(spark, store, DatasetSpec(lite=options.lite), options.cache)
+    """Train on the store, write the model, the sweep and the scores to ``out``; returns the sweep.
+
+    ``out/bundle`` is the model with its columns and scaler, for :func:`score_stored`.
+    """
+    spec = DatasetSpec(lite=options.lite)
+    matrix = stored_features(spark, store, spec, options.cache)
     chosen = select_features(
         matrix, split_columns(matrix)[0], options.use_segment, options.selection_ones)
     params = options.params
     if options.grid:
-        found = training.grid_search(matrix, chosen, options.grid, params)
+        found = training.grid_search(matrix, chosen, options.grid, params, store=f"{out}/grid")
         params = params.tuned(training.best_point(found, options.grid))
     train, test = positional_split(matrix)
     model = training.train_boosted(train, test, chosen, params, options.balance_factor)
+    bundle = Bundle(model, chosen, load_scaler(spark, _scaler_path(store, spec)),
+                    inputs_fingerprint(load_inputs(spark, store, spec)))
+    bundle.save(spark, f"{out}/bundle")
     training.cap_sweep(model, test, chosen).write.mode("overwrite").parquet(f"{out}/sweep")
     if options.predict:
-        to_score = stored_features(spark, store, DatasetSpec(training=False), options.cache)
-        write_scores(training.score(model, to_score, chosen), f"{out}/scores")
+        score_stored(spark, store, f"{out}/bundle", out, options.cache)
     return spark.read.parquet(f"{out}/sweep")
 
 
+def score_stored(spark: SparkSession, store: str, bundle: str, out: str, cache: bool = True,
+                 own_scale: bool = True) -> DataFrame:
+    """Write the scores of the store's unlabelled set by a stored model; returns them.
+
+    The set is scaled by its own statistics, or by those of the training set with ``own_scale=False``.
+    """
+    stored, spec = Bundle.load(spark, bundle), DatasetSpec(training=False)
+    if own_scale:
+        matrix = stored_features(spark, store, spec, cache)
+    else:
+        matrix = build_features(load_inputs(spark, store, spec), stored.scaler)[0]
+    scores = stored.score(matrix)
+    write_scores(scores, f"{out}/scores")
+    return scores
+
+
 def feature_study(
     spark: SparkSession, store: str, out: str, lite: bool = False,
     boost: BoostParams = PLAIN_BOOST, iterations: int = training.NETWORK_ITERATIONS,
     max_ones: int | None = study.STUDY_ONES,
 ) -> None:
-    """Write correlations and three kinds of importance to ``out``.
+    """Write correlations and the importances to ``out``; that of the booster counts splits, or sums gains.
 
     The models see ``max_ones`` rows of each class; None balances all labelled rows.
     """
     matrix = stored_features(spark, store, DatasetSpec(lite=lite))
     features, _ = split_columns(matrix)
     sample = balance_classes(matrix, max_ones=max_ones)
-    boosted = boost.classifier(sample.count())
+    fitted = boost.classifier(sample.count()).fit(training.to_vectors(sample, features))
     network = training.train_network(sample, features, iterations)
     tables = {
         "correlation": correlation_report(balance_classes(matrix), features),
         "forest": study.top_importances(study.forest_importance(sample, features)),
-        "boosted": study.boosted_importance(
-            boosted.fit(training.to_vectors(sample, features)), sample, features),
+        "boosted": split_counts(fitted, features),
+        "boosted_gain": study.boosted_importance(fitted, sample, features),
         "permutation": study.permutation_importance(network, sample, features),
     }
     for name, table in tables.items():
@@ -111,7 +143,8 @@ def main() -> None:
     parser.add_argument("--lite", action="store_true", help="use the small training tables")
     parser.add_argument("--no-cache", action="store_true", help="build the features anew")
     parser.add_argument("--no-segment", action="store_true", help="leave the segment out")
-    parser.add_argument("--grid", action="store_true", help="tune on the full grid first")
+    parser.add_argument("--grid", action="store_true", help="tune on the full grid first; goes on where it was stopped")
+    parser.add_argument("--bundle", help="score with this stored model and train nothing")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("ledgerlens").config(
         "spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -119,6 +152,8 @@ def main() -> None:
         import_folder(spark, args.store, args.out, args.tables, args.files)
     elif args.job == "study":
         feature_study(spark, args.store, args.out, args.lite)
+    elif args.bundle:
+        score_stored(spark, args.store, args.bundle, args.out, not args.no_cache)
     else:
         train_and_score(spark, args.store, args.out, RunOptions(
             lite=args.lite, cache=not args.no_cache, use_segment=not args.no_segment,

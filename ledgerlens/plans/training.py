@@ -8,24 +8,31 @@ boosted-tree libraries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from hashlib import sha256
 from itertools import product
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ledgerlens.operators.ranking import KeyRanks
 from ledgerlens.operators.sampling import (
     LABEL,
     balance_classes,
+    cut_ids,
+    first_rows,
     positional_split,
     stratified_folds,
 )
-from ledgerlens.session import materialize, scratch_dir
+from ledgerlens.plans.staged import areas_by_round, best_round, losses_at
+from ledgerlens.session import materialize, scratch_dir, scratch_path
 
 # Class sizes of the evaluation sweep, the tuning grid by field of
 # BoostParams, the sample of the tuning, the hidden layers and the patience.
@@ -108,16 +115,14 @@ def train_boosted(
 ) -> Model:
     """Boosted trees on a balanced training set, as many as a balanced validation set asks for.
 
-    The rounds end where ``patience`` further ones bring no lower validation loss. A longer
-    fit begins with the same trees, so a short one is tried first; the result is that of
-    fitting all ``rounds`` at once and cutting back.
+    Rounds go on until ``patience`` of them bring no higher area under the curve of the validation
+    set; the trees up to the highest one are kept. A longer fit begins with the same trees, so a
+    short one is tried first, and its rounds are looked at from the first one on.
     """
     scratch_dir(train.sparkSession)  # the trainer checkpoints its own state there
-    fit = balance_classes(train, balance_factor=balance_factor)
-    check = balance_classes(validation, balance_factor=balance_factor)
-    flagged = fit.withColumn("held_out", F.lit(False)).unionByName(
-        check.withColumn("held_out", F.lit(True))
-    )
+    flagged = balance_classes(
+        train.withColumn("held_out", F.lit(False)).unionByName(validation.withColumn("held_out", F.lit(True))),
+        balance_factor=balance_factor, by=["held_out"])
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(flagged)
     rows = materialize(
         vectors.select("id", F.col(LABEL).cast("double").alias("label"), "held_out", "features"),
@@ -125,12 +130,11 @@ def train_boosted(
     )
     fit_rows, check_rows = (rows.where(F.col("held_out") == held).drop("held_out") for held in (False, True))
     n = fit_rows.count()
-    rounds = min(FIRST_ROUNDS, params.rounds)
+    rounds = min(max(FIRST_ROUNDS, params.patience + 1), params.rounds)
     while True:
         model = replace(params, rounds=rounds).classifier(n).fit(fit_rows)
-        losses = model.evaluateEachIteration(check_rows)
-        best = losses.index(min(losses)) + 1
-        if best + params.patience <= rounds or rounds >= params.rounds:
+        best, ended = best_round(areas_by_round(model, check_rows), params.patience)
+        if ended or rounds >= params.rounds:
             break
         rounds = min(rounds * 4, params.rounds)
     return model if best == rounds else replace(params, rounds=best).classifier(n).fit(fit_rows)
@@ -159,25 +163,27 @@ def cap_sweep(
 ) -> DataFrame:
     """One row per cap: errors on the first ``cap`` rows of each class of the test set.
 
-    The largest cap bounds the rows that are scored and numbered.
+    The ids that end the caps are found together, and one pass over the rows of the largest cap
+    counts for all of them.
     """
     caps = sorted(caps)
-    largest = balance_classes(test, max_ones=caps[-1])
-    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    scored = score(model, largest, features).withColumn("place", place)
-    swept = scored.withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps])))
-    wrong = F.sum((F.col("clase") != F.col("label")).cast("int"))
-    return (
-        swept.where(F.col("place") <= F.col("cap"))
-        .groupBy("cap")
-        .agg(
-            F.sum((F.col("clase") == 1).cast("int")).alias("predicted_ones"),
-            F.sum((F.col("label") == 1).cast("int")).alias("expected_ones"),
-            wrong.alias("wrong"),
-            F.count("*").alias("n"),
-            (wrong / F.count("*")).alias("error"),
-        )
-    )
+    labelled = test.where(F.col(LABEL).isNotNull())
+    cuts = cut_ids(KeyRanks(labelled, "id", [LABEL]), {(0,): caps, (1,): caps})
+    within = {cap: first_rows([LABEL], {at: cut for at, cut in cuts.items() if at[1] == cap}) for cap in caps}
+    scored = score(model, labelled.where(within[caps[-1]]), features).withColumn(LABEL, F.col("label"))
+
+    sums = scored.agg(*[
+        F.struct(
+            F.lit(cap).alias("cap"),
+            F.count_if(inside & (F.col("clase") == 1)).alias("predicted_ones"),
+            F.count_if(inside & (F.col("label") == 1)).alias("expected_ones"),
+            F.count_if(inside & (F.col("clase") != F.col("label"))).alias("wrong"),
+            F.count_if(inside).alias("n"),
+        ).alias(f"cap_{cap}")
+        for cap, inside in within.items()
+    ])
+    rows = sums.select(F.inline(F.array(*[f"cap_{cap}" for cap in caps]))).where("n > 0")
+    return rows.withColumn("error", F.col("wrong") / F.col("n"))
 
 
 def grid_search(
@@ -188,33 +194,61 @@ def grid_search(
     folds: int = GRID_FOLDS,
     max_ones: int = GRID_ONES,
     parallelism: int = 4,
+    store: str | None = None,
 ) -> DataFrame:
     """Mean log loss of every grid point over stratified folds, best first.
 
-    The grid names fields of ``BoostParams``; it is off unless called, as it is large.
+    The grid names fields of ``BoostParams``; it is off unless called, as it is large. Points that
+    differ only in their rounds come from one fit of the most rounds, whose losses are
+    taken after the rounds of each. The losses of a fit are written to ``store`` when it
+    is done, and a later call with the same rows and parameters goes on from there.
     """
+    spark = matrix.sparkSession
+    store = store or scratch_path(spark, "grid")
     sample = stratified_folds(balance_classes(matrix, max_ones=max_ones), folds)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(sample)
     rows = materialize(
         vectors.select("id", F.col(LABEL).cast("double").alias("label"), "fold", "features"), "folds"
     )
-    n = rows.count()
-    trees = base.classifier(n)
-    named = [dict(zip(grid, values)) for values in product(*grid.values())]
-    points = [{trees.getParam(k): v for k, v in replace(base, **values).spark_values(n).items()} for values in named]
-    search = CrossValidator(
-        estimator=trees,
-        estimatorParamMaps=points,
-        evaluator=MulticlassClassificationEvaluator(metricName="logLoss"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(rows)
-    found = [
-        ({name: str(v) for name, v in values.items()}, float(loss))
-        for values, loss in zip(named, search.avgMetrics)
-    ]
-    table = matrix.sparkSession.createDataFrame(found, "params map<string,string>, log_loss double")
+    n, print_ = rows.agg(F.count("*"), F.sum(F.xxhash64(
+        "id", "label", "fold", vector_to_array("features")).cast("decimal(38,0)"))).first()
+    rounds = sorted(set(grid.get("rounds", [base.rounds])))
+    axes = {name: values for name, values in grid.items() if name != "rounds"}
+    shapes = [dict(zip(axes, values)) for values in product(*axes.values())]
+
+    def key(shape: Mapping[str, object]) -> str:
+        params = replace(base, **shape, rounds=rounds[-1])
+        return sha256(f"{list(features)} {params} {rounds} {folds} {n} {print_}".encode()).hexdigest()
+
+    def fit(shape: Mapping[str, object], fold: int) -> None:
+        learner = replace(base, **shape, rounds=rounds[-1]).classifier(n)
+        model = learner.fit(rows.where(F.col("fold") != fold))
+        losses = losses_at(model, rows.where(F.col("fold") == fold), rounds)
+        found = [(r, float(loss)) for r, loss in zip(rounds, losses)]
+        spark.createDataFrame(found, "rounds int, log_loss double").coalesce(1).write.mode("overwrite").parquet(
+            f"{store}/point={key(shape)}/fold={fold}")
+
+    def done() -> DataFrame:
+        return spark.read.schema("rounds int, log_loss double, point string, fold int").parquet(store)
+
+    scratch_dir(spark)  # the trainer checkpoints its own state there
+    try:
+        known = {(r.point, r.fold) for r in done().select("point", "fold").distinct().collect()}
+    except AnalysisException:  # nothing is stored yet
+        known = set()
+    missing = [(shape, fold) for shape in shapes for fold in range(folds) if (key(shape), fold) not in known]
+    with ThreadPoolExecutor(parallelism) as pool:
+        for job in [pool.submit(inheritable_thread_target(spark)(fit), *point) for point in missing]:
+            job.result()
+    points = spark.createDataFrame(
+        [(key(shape), {name: str(v) for name, v in shape.items()}) for shape in shapes],
+        "point string, shape map<string,string>")
+    params = F.col("shape")
+    if "rounds" in grid:
+        params = F.map_concat("shape", F.create_map(F.lit("rounds"), F.col("rounds").cast("string")))
+    # A row for each fit of the grid; its mean over the folds is a row for each point.
+    table = done().join(points, "point").groupBy("point", "rounds").agg(
+        F.first("shape").alias("shape"), F.avg("log_loss").alias("log_loss")).select(params.alias("params"), "log_loss")
     return table.orderBy("log_loss", F.col("params").cast("string"))
 
 

@@ -2,7 +2,10 @@
 
 import pytest
 
-from ledgerlens.plans.run import RunOptions, feature_study, import_folder, train_and_score
+from pyspark.sql import functions as F
+
+from ledgerlens.plans.bundle import Bundle
+from ledgerlens.plans.run import RunOptions, feature_study, import_folder, score_stored, train_and_score
 from ledgerlens.plans.training import GRID, SWEEP_CAPS, BoostParams
 from ledgerlens.sources.mapping import inputs_from_events
 from ledgerlens.sources.schemas import CODE_DIMENSION
@@ -32,6 +35,22 @@ def test_train_and_score(spark, store, tmp_path):
     assert scores.columns == ["id", "probabilidad"] and scores.count() >= ids
 
 
+def test_stored_model(spark, store, tmp_path):
+    """A new session scores as the one that trained, without training."""
+    out, other = str(tmp_path / "out"), spark.newSession()
+    train_and_score(spark, store, out, RunOptions(params=BoostParams(rounds=3)))
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    score_stored(other, store, f"{out}/bundle", str(tmp_path / "again"))
+    rows = lambda path: sorted(tuple(r) for r in spark.read.csv(path, header=True).collect())
+    assert rows(f"{out}/scores") == rows(f"{tmp_path}/again/scores") != []
+    bundle = Bundle.load(other, f"{out}/bundle")
+    assert bundle.fingerprint and set(bundle.features) <= set(bundle.scaler.means)
+    scaled = score_stored(other, store, f"{out}/bundle", str(tmp_path / "scaled"), own_scale=False)
+    assert scaled.count() == len(rows(f"{out}/scores"))
+    with pytest.raises(ValueError, match="lacks"):
+        bundle.score(spark.range(3).withColumn("x", F.lit(1.0)))
+
+
 def test_feature_study(spark, store, tmp_path):
     out = str(tmp_path / "study")
     feature_study(spark, store, out, boost=BoostParams(rounds=3), iterations=2)

@@ -32,6 +32,35 @@ def test_kth_smallest_in_a_dense_and_a_sparse_range(spark):
         assert ranking.kth_smallest(df, "id", k) == want
 
 
+def test_ranks_of_several_groups_together(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.choice([rng.randrange(100), rng.randrange(10**12), -rng.randrange(10**6)]))
+            for _ in range(3000)]
+    groups = {g: sorted(k for h, k in rows if h == g) for g in (1, 2, None)}
+    ranks = ranking.KeyRanks(spark.createDataFrame(rows, "g int, id bigint"), "id", ["g"])
+    assert ranks.counts == {(g,): len(keys) for g, keys in groups.items()}
+    wanted = [((g,), k) for g in groups for k in (0, 1, 2, 17, 400, len(groups[g]), len(groups[g]) + 1)] + [((9,), 1)]
+    want = {((g,), k): groups[g][k - 1] if 1 <= k <= len(groups.get(g, ())) else None for (g,), k in wanted}
+    assert ranks.at(wanted) == want
+
+
+def test_few_jobs_before_a_fit(spark):
+    """Splitting and balancing both parts take four jobs while a first count is exact."""
+    df = spark.range(4000).selectExpr("id", "int(id % 3 = 0) var_rpta").cache()
+    df.count()
+    context = spark.sparkContext
+    context.setJobGroup("balance", "balance")
+    train, test = sampling.positional_split(df)
+    flagged = train.selectExpr("*", "false held_out").union(test.selectExpr("*", "true held_out"))
+    balanced = sampling.balance_classes(flagged, by=["held_out"])
+    jobs = len(context.statusTracker().getJobIdsForGroup("balance"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    counts = {(r.held_out, r.var_rpta): r["count"] for r in balanced.groupBy("held_out", "var_rpta").count().collect()}
+    ones = [len([i for i in part if i % 3 == 0]) for part in (range(2800), range(2800, 4000))]
+    assert counts == {(held, c): ones[held] for held in (0, 1) for c in (0, 1)}
+    assert jobs <= 4 * 2  # adaptive execution runs a shuffle and what follows as two
+
+
 def test_positions_are_a_permutation(spark, monkeypatch):
     monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 50)
     df = spark.range(1000)
