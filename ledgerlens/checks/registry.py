@@ -22,6 +22,8 @@ from ledgerlens.sources.tables import DatasetSpec, Inputs
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
+# Small enough that the file of any given table is read in several splits.
+SPLIT_BYTES = 64 << 10
 CHOICES = (DatasetSpec(), DatasetSpec(lite=True), DatasetSpec(training=False))
 
 
@@ -173,16 +175,23 @@ def _positional_split(spark, folder):
 
 
 def _csv_roundtrip(spark, folder):
-    """Transactions written as CSV with a header and read back with their schema.
+    """Transactions written as one CSV file with a header and read back in splits with their schema.
 
-    Channels get quotes, backslashes, commas and line breaks, which must come back.
+    Channels get quotes, backslashes, commas and line breaks, or are the empty text or NULL,
+    which must come back.
     """
     path = scratch_path(spark, "transactions")
+    odd = F.concat("canal", F.lit(' "q" \\, '), F.lit("\n"), "disposit")
     trxn = _inputs(spark, folder).transactions.withColumn(
-        "canal", F.concat("canal", F.lit(' "q" \\, '), F.lit("\n"), "disposit"))
+        "canal", F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 7 != 1, odd))
     columns = schemas.TRANSACTIONS.fieldNames()
-    tables.write_csv(trxn.select(*columns), path)
-    stored = tables.read_csv(spark, path, schemas.TRANSACTIONS, multi_line=True)
+    tables.write_csv(trxn.select(*columns).coalesce(1), path)
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    try:
+        stored = tables.read_csv(spark, path, schemas.TRANSACTIONS)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
     return stored.withColumn("vlrtran", F.col("vlrtran").cast("double"))
 
 

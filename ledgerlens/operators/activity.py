@@ -20,6 +20,8 @@ from ledgerlens.functions.timeparts import (
 )
 
 MONTHS = tuple(range(1, 13))
+# Microseconds of the blocks in which times are compared: a second, an hour.
+GAP_BLOCKS = (1_000_000, 3_600_000_000)
 
 
 def trxn_totals(trxn: DataFrame) -> DataFrame:
@@ -112,35 +114,35 @@ def code_modes(trxn: DataFrame) -> DataFrame:
 def time_gaps(trxn: DataFrame) -> DataFrame:
     """Each distinct time of an id with the microseconds to the next one.
 
-    The next row is looked up within an hour of an id; only the first time of
-    each hour is compared across hours, so a busy id is spread over many tasks.
+    Times are compared inside a second of an id, which has a million at most; the first and last
+    times of the seconds inside an hour, and those of the hours inside the id. So no task gets more than
+    these bounds of one id, however many rows it has and wherever they crowd.
     """
-    hour = Window.partitionBy("id", "hour").orderBy("micros")
-    hours = Window.partitionBy("id").orderBy("hour")
-    times = (
-        trxn.select("id", epoch_micros(F.col("fecha_trxn")).alias("micros"))
-        .distinct()
-        .withColumn("hour", F.floor(F.col("micros") / F.lit(3_600_000_000)))
-    )
-    starts = (
-        times.where(F.col("micros").isNotNull())
-        .groupBy("id", "hour")
-        .agg(F.min("micros").alias("first_micros"))
-        .withColumn("next_start", F.lead("first_micros").over(hours))
-        .select(
-            F.col("id").alias("start_id"), F.col("hour").alias("start_hour"), "next_start"
-        )
-    )
-    inside = times.withColumn("next_micros", F.lead("micros").over(hour))
-    same_hour = F.col("id").eqNullSafe(F.col("start_id")) & (F.col("hour") == F.col("start_hour"))
-    following = F.coalesce("next_micros", "next_start")
-    return inside.join(starts, same_hour, "left").select(
+    times = trxn.select("id", epoch_micros(F.col("fecha_trxn")).alias("first")).distinct()
+    followed = _followed(times.withColumn("last", F.col("first")), GAP_BLOCKS)
+    return followed.select(
         "id",
-        F.timestamp_micros("micros").cast("timestamp_ntz").alias("fecha_trxn"),
-        (following - F.col("micros")).alias("gap_micros"),
+        F.timestamp_micros("last").cast("timestamp_ntz").alias("fecha_trxn"),
+        (F.col("next") - F.col("last")).alias("gap_micros"),
     )
 
 
+def _followed(spans: DataFrame, blocks: tuple[int, ...]) -> DataFrame:
+    """The ``last`` of every span of an id with the ``first`` of the one after it as ``next``.
+
+    Spans are compared inside blocks of time; what a block holds is one span among the blocks. The
+    last span of a block gets its next from there, so nothing has to be joined.
+    """
+    if not blocks:
+        following = F.lead("first").over(Window.partitionBy("id").orderBy("first"))
+        return spans.select("id", "last", following.alias("next"))
+    placed = spans.withColumn("block", F.floor(F.col("first") / F.lit(blocks[0])))
+    following = F.lead("first").over(Window.partitionBy("id", "block").orderBy("first"))
+    inside = placed.select("id", "last", following.alias("next")).where("next is not null")
+    wider = placed.groupBy("id", "block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return inside.unionByName(_followed(wider.drop("block"), blocks[1:]))
+
+
 def mean_gap(trxn: DataFrame) -> DataFrame:
     """Mean seconds between consecutive distinct times, from the single gaps."""
     gaps = time_gaps(trxn).groupBy("id").agg(

@@ -7,30 +7,33 @@ from dataclasses import dataclass
 from hashlib import sha256
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructType
 
 from ledgerlens.operators.codes import clean_codes
+from ledgerlens.sources.records import breaks_in_quotes, whole_records
 from ledgerlens.sources.schemas import TABLES, TRANSACTIONS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+# No text of a database holds this character, so no field is mistaken for an empty one.
+NEVER = "\0"
+CSV_READING = {"mode": "FAILFAST", "escape": '"', "nullValue": NEVER, "emptyValue": ""}
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with a header and fixed types; a malformed row stops the job.
 
-    Quotes inside quoted fields are doubled, backslashes are plain text. Empty fields,
-    quoted or not, are read as NULL; columns go by position, so the header's names do not
-    matter. ``multi_line`` allows line breaks inside quotes, which leaves a file
-    in one piece: it is meant for small tables.
+    An empty field is NULL, a quoted one (``""``) the empty text. Quotes inside quoted fields are
+    doubled, backslashes are plain text, and quoted fields may hold line breaks; columns go by
+    position, so the header's names do not matter. Files are read in splits: where a line ends inside
+    quotes, records are first put together from the quotes counted in each split.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    if not breaks_in_quotes(spark, path):
+        return spark.read.schema(schema).option("header", True).options(**CSV_READING).csv(path)
+    records = whole_records(spark, path)
+    row = F.from_csv("record", schema.simpleString(), CSV_READING)
+    return records.select(row.alias("row")).select("row.*")
 
 
 # Spark writes milliseconds unless told otherwise; reading takes any fraction.
@@ -87,7 +90,7 @@ def load_inputs(spark: SparkSession, folder: str, spec: DatasetSpec, fmt: str =
 
     def read(table: str) -> DataFrame:
         if fmt == "csv":
-            return read_csv(spark, f"{folder}/{table}.csv", TABLES[table], table == DIMENSION)
+            return read_csv(spark, f"{folder}/{table}.csv", TABLES[table])
         return spark.read.format(fmt).load(f"{folder}/{table}")
 
     dimension = read(DIMENSION)
@@ -116,7 +119,7 @@ def import_tables(
 ) -> None:
     """Load CSV files once as Parquet: dimension cleaned, transactions clustered by id."""
     for table, path in csv_paths.items():
-        df = read_csv(spark, path, TABLES[table], table == DIMENSION)
+        df = read_csv(spark, path, TABLES[table])
         if table == DIMENSION:
             df = clean_codes(df)
         elif TABLES[table] is TRANSACTIONS:

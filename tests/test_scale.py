@@ -200,3 +200,30 @@ def test_a_busy_id_takes_several_files(spark, inputs, tmp_path):
     assert hot >= 3
     assert files.count() < 200 + 3 * 12
     assert rows_of(spark.read.parquet(path).toPandas()) == rows_of(inputs.transactions.toPandas())
+
+
+def test_gaps_of_one_busy_hour_are_spread(spark):
+    """One id with all its rows in one hour: equal to the plain window, and no task has a large part."""
+    rows = spark.range(200_000).selectExpr(
+        "if(id % 50 = 0, cast(id % 7 as int), null) id",
+        "timestamp_ntz'2019-01-01 10:00:00' + make_dt_interval(0, 0, 0, (id * 7919 % 3600000) / 1000D) fecha_trxn")
+    rows = rows.selectExpr("coalesce(id, 99) id", "fecha_trxn")
+    got = rows_of(activity.time_gaps(rows).toPandas())
+    plain = rows.distinct().selectExpr(
+        "id", "fecha_trxn",
+        "timestampdiff(MICROSECOND, fecha_trxn, lead(fecha_trxn) over (partition by id order by fecha_trxn)) gap_micros")
+    assert got == rows_of(plain.toPandas())
+    seconds = rows.distinct().groupBy("id", "fecha_trxn").count()
+    tasks = seconds.selectExpr("pmod(hash(id, unix_seconds(cast(fecha_trxn as timestamp))), 8) task").groupBy("task").count()
+    shares = [r["count"] for r in tasks.collect()]
+    assert len(shares) == 8 and max(shares) < 2 * sum(shares) / 8
+
+
+def test_session_pass_hashes_instead_of_sorting(inputs, spark):
+    """The pass over the transactions of the sessions has no sort aggregation."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sessions.session_spots(inputs.transactions)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
