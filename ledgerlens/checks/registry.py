@@ -10,7 +10,7 @@ from ledgerlens.operators import activity, codes, sampling, selection, sessions
 from ledgerlens.operators.codes import code_table
 from ledgerlens.operators.labels import label_base
 from ledgerlens.operators.scaling import Scaler
-from ledgerlens.plans import matrix as plans, staged, study, training
+from ledgerlens.plans import matrix as plans, random_trees, staged, study, training
 from ledgerlens.plans.bundle import Bundle
 from ledgerlens.session import Scratch, scratch_path
 from ledgerlens.sources import schemas, tables
@@ -275,7 +275,9 @@ def _boosting_history(spark, folder):
 
 
 def _forest_importance(spark, folder):
-    return study.top_importances(study.forest_importance(*_study_sample(spark, folder)))
+    sample, features = _study_sample(spark, folder)
+    grown = _once(spark, folder, "forest", lambda: random_trees.random_tree_importance(sample, features))
+    return study.top_importances(grown)
 
 
 def _network(spark, folder):

@@ -17,6 +17,7 @@ from ledgerlens.operators.selection import SELECTION_ONES, correlation_report, s
 from ledgerlens.plans import study, training
 from ledgerlens.plans.bundle import Bundle, load_scaler, save_scaler
 from ledgerlens.plans.matrix import build_features
+from ledgerlens.plans.random_trees import TREES, random_tree_importance
 from ledgerlens.plans.staged import split_counts
 from ledgerlens.plans.training import PLAIN_BOOST, BoostParams
 from ledgerlens.sources.schemas import TABLES
@@ -104,7 +105,7 @@ def score_stored(spark: SparkSession, store: str, bundle: str, out: str, cache:
 
 def feature_study(
     spark: SparkSession, store: str, out: str, lite: bool = False,
-    boost: BoostParams = PLAIN_BOOST, iterations: int = training.NETWORK_ITERATIONS,
+    boost: BoostParams = PLAIN_BOOST, epochs: int = training.NETWORK_EPOCHS, trees: int = TREES,
     max_ones: int | None = study.STUDY_ONES,
 ) -> None:
     """Write correlations and the importances to ``out``; that of the booster counts splits, or sums gains.
@@ -115,10 +116,10 @@ def feature_study(
     features, _ = split_columns(matrix)
     sample = balance_classes(matrix, max_ones=max_ones)
     fitted = boost.classifier(sample.count()).fit(training.to_vectors(sample, features))
-    network = training.train_network(sample, features, iterations)
+    network = training.train_network(sample, features, epochs)
     tables = {
         "correlation": correlation_report(balance_classes(matrix), features),
-        "forest": study.top_importances(study.forest_importance(sample, features)),
+        "forest": study.top_importances(random_tree_importance(sample, features, trees)),
         "boosted": split_counts(fitted, features),
         "boosted_gain": study.boosted_importance(fitted, sample, features),
         "permutation": study.permutation_importance(network, sample, features),

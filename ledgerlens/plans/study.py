@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,12 +26,6 @@ def top_importances(importances: DataFrame, k: int = TOP_IMPORTANCES) -> DataFra
     return importances.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def forest_importance(sample: DataFrame, features: Sequence[str], trees: int = 100) -> DataFrame:
-    """Impurity importance in a forest whose trees all see every row."""
-    forest = RandomForestClassifier(numTrees=trees, bootstrap=False, seed=SEED)
-    return _importances(forest.fit(to_vectors(sample, features)), sample, features)
-
-
 def boosted_importance(model: Model, sample: DataFrame, features: Sequence[str]) -> DataFrame:
     """Gain importance in a fitted boosted model."""
     return _importances(model, sample, features)

@@ -1,6 +1,6 @@
-"""Train, tune, evaluate and apply classifiers on the feature matrix with Spark ML.
+"""Train, tune, evaluate and apply classifiers on the feature matrix.
 
-The learners are Spark's own. Parameters are carried over where Spark has a
+Boosted trees are Spark's own. Parameters are carried over where Spark has a
 counterpart, so scores are alike in kind, not equal in value, to those of other
 boosted-tree libraries.
 """
@@ -16,7 +16,7 @@ from itertools import product
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,11 +31,14 @@ from ledgerlens.operators.sampling import (
     positional_split,
     stratified_folds,
 )
+from ledgerlens.plans import network
+from ledgerlens.plans.network import Network
 from ledgerlens.plans.staged import areas_by_round, best_round, losses_at
 from ledgerlens.session import materialize, scratch_dir, scratch_path
 
 # Class sizes of the evaluation sweep, the tuning grid by field of
-# BoostParams, the sample of the tuning, the hidden layers and the patience.
+# BoostParams, the sample of the tuning, the hidden layers, the network's epochs, batch and
+# step, and the patience.
 SWEEP_CAPS = (50, 250, 900, 1300, 1600)
 GRID = {
     "step_size": [0.05, 0.15, 0.25, 0.5],
@@ -48,10 +51,12 @@ GRID = {
 GRID_ONES = 1000
 GRID_FOLDS = 3
 HIDDEN_LAYERS = (12, 128, 64, 64, 32, 32, 16, 8)
+NETWORK_EPOCHS = 50
+NETWORK_BATCH = 128
+NETWORK_STEP = 0.01
 PATIENCE = 60
 # Rounds of the first trial of a fit; later trials have four times as many.
 FIRST_ROUNDS = 80
-NETWORK_ITERATIONS = 200
 SEED = 1
 
 
@@ -259,23 +264,16 @@ def best_point(found: DataFrame, grid: Mapping[str, Sequence] = GRID) -> dict[st
 
 
 def train_network(
-    sample: DataFrame, features: Sequence[str], iterations: int = NETWORK_ITERATIONS, batch: int = 128
-) -> Model:
-    """Feed-forward network with the given hidden layers, by limited-memory BFGS.
+    sample: DataFrame, features: Sequence[str], epochs: int = NETWORK_EPOCHS, batch: int = NETWORK_BATCH,
+    step: float = NETWORK_STEP, momentum: float = 0.0, seed: int = SEED,
+) -> Network:
+    """Feed-forward network with the given hidden layers of rectified units and one sigmoid output.
 
-    Spark's hidden units are sigmoid, the output is a softmax over two units, and
-    a step uses all rows; ``batch`` only sets how many rows are stacked for it. So
-    deep a stack of sigmoid units does not learn by plain gradient steps.
+    Plain descent on the cross entropy, a mini-batch at a time.
     """
-    return MultilayerPerceptronClassifier(
-        featuresCol="features",
-        labelCol="label",
-        layers=[len(features), *HIDDEN_LAYERS, 2],
-        solver="l-bfgs",
-        maxIter=iterations,
-        blockSize=batch,
-        seed=SEED,
-    ).fit(to_vectors(sample, features))
+    vectors = to_vectors(sample, features).where("label is not null")
+    rows = materialize(vectors.select("id", "label", vector_to_array("features").alias("x")), "network")
+    return network.fit(rows, [len(features), *HIDDEN_LAYERS, 1], epochs, batch, step, momentum, seed)
 
 
 def train_and_evaluate(

@@ -5,6 +5,7 @@ import pytest
 
 from ledgerlens.operators.sampling import balance_classes, positional_split
 from ledgerlens.plans import study, training
+from ledgerlens.plans.random_trees import random_tree_importance
 
 FEATURES = ["noise", "signal"]
 
@@ -49,20 +50,6 @@ def test_half_is_class_zero(matrix):
     assert [(r.probabilidad, r.clase) for r in scores] == [(0.5, 0)] * 3
 
 
-def test_patience(matrix):
-    """Short trials and one long fit end with the same trees; more patience, no fewer rounds."""
-    train, test = positional_split(matrix)
-    few = training.train_boosted(train, test, FEATURES, training.BoostParams(rounds=100, patience=5, step_size=0.3))
-    assert 1 < few.getNumTrees < 100
-    trials = training.FIRST_ROUNDS
-    try:
-        training.FIRST_ROUNDS = 100
-        once = training.train_boosted(train, test, FEATURES, training.BoostParams(rounds=100, patience=5, step_size=0.3))
-    finally:
-        training.FIRST_ROUNDS = trials
-    assert once.getNumTrees == few.getNumTrees and once.treeWeights == few.treeWeights
-
-
 def test_area_is_exact(spark):
     scores = spark.range(5000).selectExpr("cast(id % 7 < 3 as double) label", "(id * 7919 % 5000) / 5000.0D probabilidad")
     rows = scores.collect()
@@ -88,7 +75,7 @@ def test_cap_sweep(boosted):
 
 def test_importances(matrix, boosted):
     for table in (study.boosted_importance(boosted[0], matrix, FEATURES),
-                  study.forest_importance(matrix, FEATURES, trees=10)):
+                  random_tree_importance(matrix, FEATURES, trees=10)):
         got = {r.feature: r.importance for r in table.collect()}
         assert sum(got.values()) == pytest.approx(1)
         assert got["signal"] > got["noise"]
@@ -108,7 +95,7 @@ def network(matrix):
 
 
 def test_network(matrix, network):
-    assert list(network.getLayers()) == [2, *training.HIDDEN_LAYERS, 2]
+    assert network.getLayers() == [2, *training.HIDDEN_LAYERS, 1]
     scores = training.score(network, matrix, FEATURES).collect()
     assert sum(r.clase == r.label for r in scores) > 0.8 * len(scores)
 

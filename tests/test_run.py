@@ -53,9 +53,9 @@ def test_stored_model(spark, store, tmp_path):
 
 def test_feature_study(spark, store, tmp_path):
     out = str(tmp_path / "study")
-    feature_study(spark, store, out, boost=BoostParams(rounds=3), iterations=2)
+    feature_study(spark, store, out, boost=BoostParams(rounds=3), epochs=2, trees=5)
     assert spark.read.parquet(f"{out}/correlation").where("feature = 'var_rpta'").first().abs_corr == pytest.approx(1)
-    for name in ("forest", "boosted", "permutation"):
+    for name in ("forest", "boosted", "boosted_gain", "permutation"):
         assert spark.read.parquet(f"{out}/{name}").count() > 0
 
 
