@@ -341,6 +341,16 @@ def oracle_sql() -> dict[str, str]:
             f"select feature, {_r('abs(corr)')} abs_corr from corrs",
             _MATRIX_CTE, _balanced(None), _correlations([*COLUMNS, "var_rpta"])),
         "correlation_matrix": _pairs(),
+        "group_entries": _query(f"""select id, feature, {_r('value')} as value from (
+          unpivot ({_generated(True)}) on columns(* exclude (id)) into name feature value value) where value <> 0"""),
+        "entry_correlations": _query(
+            f"""select feature, {_r('abs(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)))')} abs_corr from (
+              select id, feature, cast(var_rpta as double) y, coalesce(share, 0.0) x
+              from sample cross join (select unnest([{', '.join(f"'{c}'" for c in GENERATED)}]) feature)
+                left join shares using (id, feature))
+            group by feature having min(x) < max(x)""",
+            _MATRIX_CTE, _balanced(None),
+            f"shares as (unpivot ({_generated(True)}) on columns(* exclude (id)) into name feature value share)"),
         "f_scores": _query(f"select feature, {_r('f_score')} f_score from scores", *sample),
         "top_f_scores": _query(
             f"select feature, {_r('f_score')} f_score from scores order by scores.f_score desc, feature limit 10",

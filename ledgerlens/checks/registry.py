@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.operators import activity, codes, sampling, selection, sessions
+from ledgerlens.operators import activity, codes, sampling, selection, sessions, sparse
 from ledgerlens.operators.codes import code_table
 from ledgerlens.operators.labels import label_base
 from ledgerlens.operators.scaling import Scaler
@@ -152,6 +152,23 @@ def _correlation_matrix(spark, folder):
     return rounded(selection.correlation_matrix(*_sample(spark, folder)), ["corr"])
 
 
+def _sparse_entries(spark, folder, fraction=False):
+    inputs = _inputs(spark, folder)
+    return sparse.group_entries(inputs.transactions, inputs.dimension, fraction)
+
+
+def _group_entries(spark, folder):
+    return rounded(_sparse_entries(spark, folder, fraction=True), ["value"])
+
+
+def _entry_correlations(spark, folder):
+    """The generated columns against the label, without making columns of them."""
+    sample, _ = _sample(spark, folder)
+    entries = _sparse_entries(spark, folder, fraction=True)
+    scored = sparse.entry_correlations(entries, sample.select("id", "var_rpta")).where("corr is not null")
+    return rounded(scored.select("feature", F.abs("corr").alias("abs_corr")), ["abs_corr"])
+
+
 def _on_selection_sample(operator, *inexact) -> Query:
     def query(spark, folder):
         sample = _sample(spark, folder, selection.SELECTION_ONES)
@@ -451,6 +468,8 @@ QUERIES: dict[str, Query] = {
     "scaled_matrix": _scaled,
     "label_correlation": _label_correlation,
     "correlation_matrix": _correlation_matrix,
+    "group_entries": _group_entries,
+    "entry_correlations": _entry_correlations,
     "f_scores": _on_selection_sample(selection.f_scores, "f_score"),
     "top_f_scores": _on_selection_sample(selection.top_f_scores, "f_score"),
     "corr_above_mean": _on_selection_sample(selection.corr_above_mean, "abs_corr"),

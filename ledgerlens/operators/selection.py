@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.operators.sampling import LABEL, balance_classes
@@ -11,6 +11,7 @@ from ledgerlens.operators.scaling import varies
 
 SELECTION_ONES = 500
 TOP_SCORES = 10
+BLOCK_COLUMNS = 10
 
 
 def _pearson(feature: str, label: str) -> Column:
@@ -46,23 +47,46 @@ def correlation_report(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (feature_a, feature_b, corr) for all pairs of columns that vary."""
-    row = df.agg(*[varies(c).alias(f"varies_{i}") for i, c in enumerate(columns)]).first()
-    kept = [c for i, c in enumerate(columns) if row[f"varies_{i}"]]
-    vectors = VectorAssembler(inputCols=kept, outputCol="vector").transform(df)
-    matrix = Correlation.corr(vectors.select("vector"), "vector").first()[0].toArray()
-    rows = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(kept) for j, b in enumerate(kept)
-    ]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    """Rows (feature_a, feature_b, corr) for all pairs of columns that vary.
+
+    Pairs are taken block of columns by block of columns: one aggregation for each two blocks, which reads
+    their columns only and whose single row is turned into rows.
+    """
+    blocks = [columns[i:i + BLOCK_COLUMNS] for i in range(0, len(columns), BLOCK_COLUMNS)]
+    parts = [_block_correlations(df, a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
+    return reduce(DataFrame.unionByName, parts).where(F.col("corr").isNotNull())
+
+
+def _block_correlations(df: DataFrame, first: list[str], second: list[str]) -> DataFrame:
+    pairs = [(a, b) for i, a in enumerate(first) for b in (second[i:] if first == second else second)]
+    sums = [
+        f"case when min({_ticked(a)}) < max({_ticked(a)}) and min({_ticked(b)}) < max({_ticked(b)}) then try_divide("
+        f"covar_pop({_ticked(a)}, {_ticked(b)}), stddev_pop({_ticked(a)}) * stddev_pop({_ticked(b)})) end as c{i}"
+        for i, (a, b) in enumerate(pairs)]
+    both = [(x, y, i) for i, (a, b) in enumerate(pairs) for x, y in sorted({(a, b), (b, a)})]
+    rows = [f"struct({_text(x)} as feature_a, {_text(y)} as feature_b, c{i} as corr)" for x, y, i in both]
+    doubles = df.select(*[F.col(_ticked(c)).cast("double").alias(c) for c in dict.fromkeys([*first, *second])])
+    return doubles.agg(*map(F.expr, sums)).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def f_scores(df: DataFrame, features: list[str]) -> DataFrame:
     """Univariate regression F of each feature; constant columns have none."""
+    return f_scores_of(label_correlations(df, features))
+
+
+def f_scores_of(scored: DataFrame) -> DataFrame:
+    """F scores from rows (feature, corr, n)."""
     squared = F.col("corr") * F.col("corr")
     ratio = F.when(squared >= 1, F.lit(float("inf"))).otherwise(squared / (1 - squared))
-    scored = label_correlations(df, features).where(F.col("corr").isNotNull())
-    return scored.select("feature", (ratio * (F.col("n") - 2)).alias("f_score"))
+    return scored.where(F.col("corr").isNotNull()).select("feature", (ratio * (F.col("n") - 2)).alias("f_score"))
 
 
 def top_f_scores(df: DataFrame, features: list[str], k: int = TOP_SCORES) -> DataFrame:
@@ -72,16 +96,23 @@ def top_f_scores(df: DataFrame, features: list[str], k: int = TOP_SCORES) -> Dat
 
 def corr_above_mean(df: DataFrame, features: list[str]) -> DataFrame:
     """Features whose absolute correlation is above the mean one."""
+    return above_mean_of(label_correlations(df, features))
+
+
+def above_mean_of(scored: DataFrame) -> DataFrame:
     strength = F.abs("corr").alias("abs_corr")
-    scored = label_correlations(df, features)
     return scored.where(F.abs("corr") > F.col("mean_abs_corr")).select("feature", strength)
 
 
 def selected_features(sample: DataFrame, features: list[str]) -> DataFrame:
     """Union of the best F scores and the correlations above the mean."""
-    by_score = top_f_scores(sample, features).select("feature")
-    by_corr = corr_above_mean(sample, features).select("feature")
-    return by_score.union(by_corr).distinct()
+    return selected_of(label_correlations(sample, features))
+
+
+def selected_of(scored: DataFrame, k: int = TOP_SCORES) -> DataFrame:
+    """The same union from rows (feature, corr, n, mean_abs_corr)."""
+    by_score = f_scores_of(scored).orderBy(F.desc("f_score"), "feature").limit(k).select("feature")
+    return by_score.union(above_mean_of(scored).select("feature")).distinct()
 
 
 def select_features(
