@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.operators.sampling import LABEL, balance_classes
-from ledgerlens.operators.scaling import varies
+from ledgerlens.operators.scaling import Scaler, varies
 
 SELECTION_ONES = 500
 TOP_SCORES = 10
-BLOCK_COLUMNS = 10
+BLOCK_COLUMNS = 64
 
 
 def _pearson(feature: str, label: str) -> Column:
@@ -47,34 +49,43 @@ def correlation_report(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (feature_a, feature_b, corr) for all pairs of columns that vary.
+    """Rows (feature_a, feature_b, corr) for all pairs of columns that vary; the columns have no NULL.
 
-    Pairs are taken block of columns by block of columns: one aggregation for each two blocks, which reads
-    their columns only and whose single row is turned into rows.
+    Every task multiplies its standardized rows, block of columns by block of columns, and the products
+    of a pair of columns are summed up by grouping; the matrix never comes to the driver.
     """
-    blocks = [columns[i:i + BLOCK_COLUMNS] for i in range(0, len(columns), BLOCK_COLUMNS)]
-    parts = [_block_correlations(df, a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
-    return reduce(DataFrame.unionByName, parts).where(F.col("corr").isNotNull())
-
-
-def _block_correlations(df: DataFrame, first: list[str], second: list[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(first) for b in (second[i:] if first == second else second)]
-    sums = [
-        f"case when min({_ticked(a)}) < max({_ticked(a)}) and min({_ticked(b)}) < max({_ticked(b)}) then try_divide("
-        f"covar_pop({_ticked(a)}, {_ticked(b)}), stddev_pop({_ticked(a)}) * stddev_pop({_ticked(b)})) end as c{i}"
-        for i, (a, b) in enumerate(pairs)]
-    both = [(x, y, i) for i, (a, b) in enumerate(pairs) for x, y in sorted({(a, b), (b, a)})]
-    rows = [f"struct({_text(x)} as feature_a, {_text(y)} as feature_b, c{i} as corr)" for x, y, i in both]
-    doubles = df.select(*[F.col(_ticked(c)).cast("double").alias(c) for c in dict.fromkeys([*first, *second])])
-    return doubles.agg(*map(F.expr, sums)).selectExpr(f"inline(array({', '.join(rows)}))")
-
-
-def _ticked(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    scaler = Scaler.fit(df, columns)
+    kept = [c for c in columns if scaler.deviations[c]]
+    if not kept:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    means = np.array([scaler.means[c] for c in kept])
+    deviations = np.array([scaler.deviations[c] for c in kept])
+    begins = range(0, len(kept), BLOCK_COLUMNS)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = {}, 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = (x - means) / deviations
+            n += len(x)
+            for a in begins:
+                left = x[:, a:a + BLOCK_COLUMNS].T
+                for b in begins[a // BLOCK_COLUMNS:]:
+                    sums[a, b] = sums.get((a, b), 0.0) + left @ x[:, b:b + BLOCK_COLUMNS]
+        for (a, b), block in sums.items():
+            rows, places = np.indices(block.shape)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows.ravel() + a, pa.int32()), pa.array(places.ravel() + b, pa.int32()),
+                pa.array(block.ravel()), pa.array(np.full(block.size, n), pa.int64())], ["a", "b", "product", "n"])
+
+    vectors = df.select(F.array(*[F.col(c).cast("double") for c in kept]).alias("x"))
+    summed = vectors.mapInArrow(products, "a int, b int, product double, n bigint").where("a <= b").groupBy("a", "b").agg(
+        (F.sum("product") / F.sum("n")).alias("corr"))
+    names = F.array(*[F.lit(c) for c in kept])
+    one, other = F.get(names, F.col("a")), F.get(names, F.col("b"))
+    pairs = F.array(F.struct(one.alias("feature_a"), other.alias("feature_b")), F.struct(other.alias("feature_a"), one.alias("feature_b")))
+    # A column with itself is one pair.
+    return summed.select(F.inline(F.slice(pairs, 1, F.when(F.col("a") == F.col("b"), 1).otherwise(2))), "corr")
 
 
 def f_scores(df: DataFrame, features: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Correlation, F scores and the choice of columns against numpy."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -62,3 +64,15 @@ def test_selection(sample, data):
     renamed = sample.withColumnRenamed("weak", "segmento")
     names = ["signal", "noise", "segmento"]
     assert "segmento" not in selection.select_features(renamed, names, use_segment=False)
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_correlation_matrix_by_blocks(spark, monkeypatch, block):
+    rng = random.Random(9)
+    rows = [(float(i), rng.random(), 3.0 - 2 * i, rng.random() + i / 50, 5.0) for i in range(101)]
+    df = spark.createDataFrame(rows, "`a` double, b double, c double, d double, e double").repartition(5)
+    monkeypatch.setattr(selection, "BLOCK_COLUMNS", block)
+    got = {(r.feature_a, r.feature_b): r["corr"] for r in selection.correlation_matrix(df, list("abcde")).collect()}
+    want = np.corrcoef(np.array(rows)[:, :4].T)
+    assert got == pytest.approx({(x, y): want[i, j] for i, x in enumerate("abcd") for j, y in enumerate("abcd")})
+    assert selection.correlation_matrix(df, ["e"]).collect() == []
