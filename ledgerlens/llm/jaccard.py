@@ -301,6 +301,17 @@ def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([columns[0].take(at), columns[1].take(at)], ["a", "b"])
 
 
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text as one list."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for begin, end in _slices(texts):
+            sets = shingle_sets(texts[begin:end])
+            offsets = pa.array(np.append(0, np.cumsum(sets.sizes)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(sets.hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], ["doc_id", "shingles"])
+
+
 def similar_enough(one: np.ndarray, two: np.ndarray) -> bool:
     """Whether two sorted sets reach the threshold."""
     small, large = sorted((one, two), key=len)
@@ -312,14 +323,21 @@ def similar_enough(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of ids that are similar enough."""
+    """The pairs (``a``, ``b``) of ids that are similar enough.
+
+    The shingles of each text are listed once; pairs only meet the lists, and are counted in the JVM.
+    """
     wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    stored = scratch.keep(texts.join(F.broadcast(wanted) if few else wanted, "doc_id"), "texts")
-    one = stored.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = stored.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return scratch.keep(both.mapInArrow(linked_texts, "a long, b long"), "links")
+    found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text")
+    stored = scratch.keep(found.mapInArrow(_shingle_lists, "doc_id long, shingles array<long>"), "shingles")
+    one = stored.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+    two = stored.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    shared, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    # 100 shared >= PERCENT (sizes - shared), and at least the smaller set is large enough for it.
+    near = F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(F.size("set_a"), F.size("set_b")) * PERCENT
+    both = pairs.join(one, "a").join(two, "b").where(F.size("set_a") > 0).where(near)
+    return scratch.keep(both.where(shared * (100 + PERCENT) >= sizes * PERCENT).select("a", "b").distinct(), "links")
 
 
 def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

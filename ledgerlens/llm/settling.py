@@ -44,6 +44,7 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     that cannot be linked to any other.
     """
     labels = connected_components(links, scratch)
+    compared: list[DataFrame] = []
     begin, width = 1, 1
     while not members.isEmpty():
         named = with_components(members, labels)
@@ -52,7 +53,12 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
             F.col("component").alias("hub_component"))
         pairs = named.join(hubs, keys).where("place > hub_place and component <> hub_component").select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = verify(scratch.keep(pairs, "pairs"))
+        # A pair that shares several keys is compared once; refuted pairs are not met again.
+        for before in compared:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
+        compared.append(pairs)
+        found = verify(pairs)
         if not found.isEmpty():
             links = links.union(found)
             labels = connected_components(links, scratch)
