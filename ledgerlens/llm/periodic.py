@@ -242,6 +242,7 @@ def _rows_of(ids: pa.Array, texts: list[list[bytes]]) -> pa.RecordBatch:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the texts of each batch; only the words of texts searched together are held."""
     for batch in batches:
         begin, texts, held = 0, [], 0
         for at, text in enumerate(batch.column(1)):
