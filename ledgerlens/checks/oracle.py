@@ -298,7 +298,7 @@ def _model_checks() -> dict[str, str]:
             "select cast(2 * min(n) as bigint) n, true as exact, true as learned from held_out"),
         "gbt_importance_check": first,
         "gbt_split_counts_check": first,
-        "forest_importance_check": first,
+        "forest_importance_check": "select true as sums_to_one, true as counts_lead, cast(20 as bigint) n",
         "permutation_importance_check": f"select cast({len(COLUMNS)} as bigint) n, true as signal, true as noise_is_small",
         "grid_search_check": """
           select max_depth, step_size, rounds, true as learned
