@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
@@ -322,15 +323,20 @@ def similar_enough(one: np.ndarray, two: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(one) + len(two) - shared)
 
 
+def _listed(scratch: Scratch, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id`` and ``shingles`` of the wanted ids."""
+    few = wanted.count() <= BROADCAST_IDS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text")
+    return scratch.keep(found.mapInArrow(_shingle_lists, "doc_id long, shingles array<long>"), "shingles")
+
+
 def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of ids that are similar enough.
 
     The shingles of each text are listed once; pairs only meet the lists, and are counted in the JVM.
     """
     wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text")
-    stored = scratch.keep(found.mapInArrow(_shingle_lists, "doc_id long, shingles array<long>"), "shingles")
+    stored = _listed(scratch, texts, wanted)
     one = stored.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     two = stored.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     shared, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
@@ -455,16 +461,22 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     def hopeful(open_members: DataFrame) -> DataFrame:
         return _hopeful(scratch, texts, profiles, open_members)
 
-    return settle(scratch, members, ["key"], links, verify, hopeful)
+    def narrow(open_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        nodes = scratch.keep(open_members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+        sets = _listed(scratch, texts, nodes).select(F.col("doc_id").alias("node"), F.col("shingles").alias("elements"))
+        return possible_pairs(scratch, sets, open_members, ["key"], PERCENT)
+
+    return settle(scratch, members, ["key"], links, verify, hopeful, narrow)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
-    Copies are joined by their fingerprint. Of the sets that share a signature, only those
-    that no link connects yet are compared (see ``settle``); a comparison counts the shared
-    signatures first and reads both texts only where there are as many as similar sets must
-    share.
+    Copies are joined by their fingerprint. The sets of a signature are compared with one of
+    them; of those that this does not connect, pairs that may be similar by what they differ
+    in from the middle of their group (see ``possible_pairs``). A comparison counts the shared
+    signatures first and the shared shingles only where there are as many as similar sets
+    must share.
     """
     texts = _as_bytes(docs, id_col, text_col)
     with Scratch(docs.sparkSession) as scratch:

@@ -33,7 +33,8 @@ def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFrame,
            verify: Callable[[DataFrame], DataFrame],
-           hopeful: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           hopeful: Callable[[DataFrame], DataFrame] | None = None,
+           narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """``node``, ``component`` of all linked nodes.
 
     ``members`` comes from ``placed_members``; ``links`` (``a``, ``b``) are known before;
@@ -41,7 +42,8 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     key is compared with the others, then the next 32, the next 1024 and so on, each only
     with nodes that no link found so far connects with it, until every key is settled: its
     nodes are all connected or all compared. Between rounds ``hopeful`` may leave out members
-    that cannot be linked to any other.
+    that cannot be linked to any other. With ``narrow`` there is one round of first nodes only;
+    then it gives certain links and the few pairs of the open members that are left to compare.
     """
     labels = connected_components(links, scratch)
     compared: list[DataFrame] = []
@@ -66,6 +68,10 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
         members = _unsettled(scratch, members, keys, labels, begin)
         if hopeful is not None and not members.isEmpty():
             members = _unsettled(scratch, scratch.keep(hopeful(members), "hopeful"), keys, labels, begin)
+        if narrow is not None and not members.isEmpty():
+            certain, left = narrow(scratch.keep(with_components(members, labels), "narrowed"))
+            left = scratch.keep(left.join(pairs, ["a", "b"], "left_anti"), "left")
+            return connected_components(links.union(certain).union(verify(left)), scratch)
     return labels
 
 

@@ -5,8 +5,9 @@ import pytest
 from llm_frames import LONG, ODD_TEXTS, PROSE, components, documents, empty_documents, odd_documents, shingles, similar
 
 import __spark_entry__ as entry
-from ledgerlens.llm import jaccard, neighbours, substring
+from ledgerlens.llm import differences, jaccard, neighbours, substring
 from ledgerlens.llm.components import connected_components
+from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.session import Scratch
 
 DATA = "/root/testdata/sf0.01"
@@ -40,6 +41,61 @@ def test_join_on_edited_copies(spark, monkeypatch):
     _checked(spark, [_edited(i, 40 + 7 * (i % 9), i % 5) for i in range(150)] + ODD_TEXTS)
 
 
+def _just_apart(groups, members, words, changes):
+    """Groups of copies with edits at random places, most pairs of which lie around the threshold."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for group in range(groups):
+        for member in range(members):
+            base = [f"g{group}w{i}" for i in range(words)]
+            for at in rng.choice(words, int(rng.integers(0, changes + 1)), replace=False):
+                base[at] = f"x{rng.integers(8)}"
+            texts.append(" ".join(base))
+    return texts
+
+
+def test_join_of_groups_around_the_threshold(spark, monkeypatch):
+    compared = []
+
+    def counted(*args):
+        certain, pairs = possible_pairs(*args)
+        compared.append(pairs.count())
+        return certain, pairs
+
+    monkeypatch.setattr(jaccard, "possible_pairs", counted)
+    texts = _just_apart(1, 220, 150, 6)
+    _checked(spark, texts)
+    assert len(compared) == 1 and compared[0] < 10 * len(texts)
+    monkeypatch.setattr(differences, "MIDDLE_FROM", 10 ** 6)
+    monkeypatch.setattr(differences, "BROADCAST_GROUPS", 0)
+    _checked(spark, _just_apart(6, 25, 60, 3) + _just_apart(3, 12, 30, 2) + ODD_TEXTS)
+
+
+def test_possible_pairs_leave_out_no_similar_pair(spark):
+    rng = np.random.default_rng(9)
+    sets = {}
+    for node in range(120):
+        core = set(range(1000 * (node % 3), 1000 * (node % 3) + 40))
+        sets[node] = {int(e) for e in core if rng.random() > 0.1 * (node % 4)} | {
+            int(e) for e in rng.integers(5000, 5060, node % 7)}
+    rows = [(i, sorted(s)) for i, s in sets.items()] + [(200, []), (201, [1]), (201, [1])]
+    table = spark.createDataFrame(rows, "node long, elements array<long>")
+    members = spark.createDataFrame([(7, i, i) for i, _ in rows], "key long, node long, component long").distinct()
+    for middle_from in (2, 10 ** 6):
+        with Scratch(spark) as scratch, pytest.MonkeyPatch.context() as patch:
+            patch.setattr(differences, "MIDDLE_FROM", middle_from)
+            certain, pairs = possible_pairs(scratch, table, members, ["key"], 80)
+            linked = {(r.a, r.b) for r in certain.collect()}
+            proposed = {(r.a, r.b) for r in pairs.collect()} | linked
+        similar_pairs = {(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])}
+        assert len(similar_pairs) > 50 and linked <= similar_pairs
+        named = {i: i for i in sets}
+        for _ in sets:
+            for a, b in linked:
+                named[a] = named[b] = min(named[a], named[b])
+        assert all(named[a] == named[b] or (a, b) in proposed for a, b in similar_pairs)
+
+
 def test_join_on_short_texts(spark):
     rng = np.random.default_rng(1)
     _checked(spark, [" ".join(rng.choice(list("ab"), rng.integers(0, 14))) for _ in range(250)])
