@@ -86,7 +86,7 @@ def possible_pairs(scratch: Scratch, sets: DataFrame, members: DataFrame, keys:
     per_shared = 2 * (100 + percent)
     least_shared = F.ceil((F.col("excess") + F.col("least_far")) / F.lit(per_shared))
     rows = scratch.keep(placed.join(_small(bounds), "group").select(
-        "node", "print", "component", "group", "far", F.size("differing").alias("n"),
+        "node", "print", "component", "group", "far", "excess", F.size("differing").alias("n"),
         F.greatest(least_shared, F.lit(1)).alias("least_shared"), F.explode("differing").alias("element")), "elements")
     frequent = rows.where("far").groupBy("group", "element").agg(F.count("*").alias("n_far"))
     # Elements that no far set has are shared with none; they come first and take no row.
@@ -95,10 +95,15 @@ def possible_pairs(scratch: Scratch, sets: DataFrame, members: DataFrame, keys:
     ranked = scratch.keep(met.withColumns({
         "place": F.row_number().over(of_set.orderBy("n_far", "element")), "present": F.count("*").over(of_set)
     }).withColumn("early", F.col("n") - F.col("present") + F.col("place") <= F.col("n") - F.col("least_shared") + 1
-                  ).select("node", "component", "group", "element", "far", "early"), "ranked")
-    one = ranked.where("far").select("group", "element", F.col("node").alias("x"), F.col("component").alias("cx"),
-                                     F.col("early").alias("early_x"))
-    two = ranked.where("early").select("group", "element", F.col("node").alias("y"), F.col("component").alias("cy"), "far")
-    pairs = one.join(two, ["group", "element"]).where("cx <> cy and (not far or (early_x and x < y))").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                  ).select("node", "component", "group", "element", "far", "early", "excess",
+                           (F.col("present") - F.col("place")).alias("after")), "ranked")
+    one = ranked.where("far").select(
+        "group", "element", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("early").alias("early_x"),
+        F.col("excess").alias("excess_x"), F.col("after").alias("after_x"))
+    two = ranked.where("early").select(
+        "group", "element", F.col("node").alias("y"), F.col("component").alias("cy"), "far", "excess", "after")
+    # The first shared element in this order leaves no more for the rest than either set has after it.
+    enough = (F.least("after", "after_x") + 1) * per_shared >= F.col("excess") + F.col("excess_x")
+    pairs = one.join(two, ["group", "element"]).where("cx <> cy and (not far or (early_x and x < y))").where(
+        enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return certain, pairs
