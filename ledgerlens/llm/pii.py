@@ -1,15 +1,21 @@
 """Personal data by patterns and by a skip-chain conditional random field.
 
-Patterns find emails, IP addresses, card and phone numbers. A linear-chain CRF over the
-tokens around digits and at-signs labels what they miss (numbers in other spelling, keys
-and passwords), and skip edges tie tokens of a document that repeat or have the same
-digits: each such group has one variable that all its members share a potential with, so
-a group of k tokens needs k edges, not k * k. Loopy belief propagation alternates between
-the chains and the groups. Tokens farther from any digit or at-sign are fixed to "other".
+Patterns find emails, IP addresses, card and phone numbers. A linear-chain CRF over marked
+tokens and their neighbours labels what they miss (numbers in other spelling, keys and
+passwords). Marked are tokens with a digit or an at-sign, the value after a key word
+(``password=``, ``api_key:``) and every other mention of that value in the document. Skip
+edges tie marked tokens of a document that repeat or have the same digits: each such group
+has one variable that all its members share a potential with, so a group of k tokens needs
+k edges, not k * k. Loopy belief propagation alternates between the chains and the groups.
+All other tokens are fixed to "other".
 
 The CRF is trained on at most ``SAMPLE_DOCS`` documents (those of the smallest hashed ids,
-at most ``SAMPLE_SEGMENTS`` segments of each), labelled by the patterns and by rules for
-keys and passwords. Spans that it adds never touch a span of the patterns.
+the ``SAMPLE_SEGMENTS`` segments of the smallest hash of each), labelled by the patterns and
+by rules for keys and passwords. A document with a phone number or a secret is learned a
+second time in other spelling: numbers without plus, country and brackets, secrets without
+digits and with one more mention. The weight of the skip edges is the one of ``SKIP_WEIGHTS``
+of the highest pseudo-likelihood in the sample's groups. Spans that the field adds never
+touch a span of the patterns.
 
 Defined results: NULL counts as the empty text and has no spans. Whole texts are read,
 whatever their length. Repeated rows each give a row; an empty table gives an empty one
@@ -19,6 +25,8 @@ and an untrained model, which adds nothing. Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +45,14 @@ CONTEXT = 2
 EPOCHS = 6
 RATE = 0.2
 SHRINK = 1e-4
+# Of a model without groups to learn from, and the weights that training chooses from.
 SKIP_WEIGHT = 1.5
+SKIP_WEIGHTS = tuple(w / 4 for w in range(17))
 ROUNDS = 4
 SIMILAR_DIGITS = 6
+MIN_SECRET = 8
+# Log potential of a label that the look of a token rules out.
+BARRED = -30.0
 ADDED = ("pii_base", "pii_spans", "pii_counts", "pii_redacted")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,14 +61,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+KEY_WORDS = "password|passwd|pwd|secret|token|api[_-]?key"
 SECRETS = re.compile(
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
-    r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([^\s\"',;]{8,})")
+    rf"|(?i:{KEY_WORDS})\s*[=:]\s*[\"']?([^\s\"',;]{{{MIN_SECRET},}})")
+KEYED = re.compile(rf"(?i:{KEY_WORDS})[\"']?\s*[=:]\s*[\"']?")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
 TOKEN = re.compile(r"\S+")
 MARKED = re.compile("[0-9@]")
 EDGE = "\"'`()[]{}<>.,;:!?"
+MARKS = EDGE + "#$%&*|~^"
+QUOTE = re.compile("[\"',;]")
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 
 Span = tuple[str, int, int]
 
@@ -106,12 +124,13 @@ def secret_spans(text: str) -> list[Span]:
 
 @dataclass
 class Segment:
-    """Neighbouring tokens: their places in the text, words and feature names."""
+    """Neighbouring tokens: places in the text, words, feature names, and words without a key before them."""
 
     spans: list[tuple[int, int]]
     words: list[str]
     marked: list[bool]
     features: list[list[str]] = field(default_factory=list)
+    values: list[str] = field(default_factory=list)
 
 
 def _shape(word: str) -> str:
@@ -124,17 +143,25 @@ def _shape(word: str) -> str:
     return "".join(kinds) if len(kinds) <= 8 else "mixed:" + "".join(sorted(set(kinds)))
 
 
-def _token_features(words: list[str], i: int) -> list[str]:
-    word = words[i].strip(EDGE)
+def _token_features(words: list[str], values: list[str], why: list[str], i: int) -> list[str]:
+    word = values[i]
     digits = sum("0" <= c <= "9" for c in word)
     before = words[i - 1].strip(EDGE).lower() if i else "^"
     after = _shape(words[i + 1].strip(EDGE)) if i + 1 < len(words) else "$"
-    found = ["bias", "shape=" + _shape(word), f"length={min(len(word), 40) // 4}",
+    found = ["bias", "why=" + why[i], "shape=" + _shape(word), f"length={min(len(word), 40) // 4}",
              f"digits={min(digits, 20) // 2}", f"share={10 * digits // max(len(word), 1)}",
              "start=" + word[:4].lower(), "after=" + after]
-    found.append("before=" + (before if before.isalpha() or len(before) < 2 else _shape(before)))
-    if "@" in word:
-        found.append("at")
+    if why[i] == "key":
+        before = "key"
+    elif not before.isalpha() and len(before) > 1:
+        before = _shape(before)
+    found.append("before=" + before)
+    if "@" not in word:
+        found.append("no-at")
+    if not IP.search(word):
+        found.append("no-ip")
+    if any(c.isalpha() for c in word):
+        found.append("letters")
     if 13 <= digits <= 19 and digits == len(word):
         found.append("luhn" if _luhn(word) else "no-luhn")
     if words[i][:1] in "\"'" and len(words[i]) > 1:
@@ -143,36 +170,55 @@ def _token_features(words: list[str], i: int) -> list[str]:
 
 
 def segments_of(text: str) -> list[Segment]:
-    """Tokens with a digit or an at-sign and their neighbours, in runs."""
-    if not MARKED.search(text):
+    """Marked tokens and their neighbours, in runs."""
+    keys = [m.end() for m in KEYED.finditer(text)]
+    if not keys and not MARKED.search(text):
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]
     words = [text[a:b] for a, b in spans]
-    marked = [MARKED.search(w) is not None for w in words]
+    values = [w.strip(MARKS) for w in words]
+    why = ["digit" if MARKED.search(w) else "" for w in words]
+    starts, known = [a for a, _ in spans], set()
+    for at in keys:
+        i = bisect_right(starts, at) - 1
+        if at < spans[i][1]:
+            value = text[at:spans[i][1]]
+            why[i], values[i] = "key", QUOTE.split(value, maxsplit=1)[0].strip(EDGE)
+            if len(values[i]) >= MIN_SECRET:
+                known.add(values[i])
+    if known:
+        why = ["mention" if not y and v in known else y for y, v in zip(why, values)]
     found: list[Segment] = []
     end = 0
-    for i, hit in enumerate(marked):
+    reasons: list[list[str]] = []
+    for i, hit in enumerate(why):
         if not hit:
             continue
         first, last = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
         if not found or first > end:
             found.append(Segment([], [], []))
+            reasons.append([])
             end = first
         for j in range(max(first, end), last):
             found[-1].spans.append(spans[j])
             found[-1].words.append(words[j])
-            found[-1].marked.append(marked[j])
+            found[-1].marked.append(why[j] != "")
+            found[-1].values.append(values[j])
+            reasons[-1].append(why[j])
         end = last
-    for segment in found:
-        segment.features = [_token_features(segment.words, i) for i in range(len(segment.words))]
+    for segment, why_here in zip(found, reasons):
+        segment.features = [_token_features(segment.words, segment.values, why_here, i)
+                            for i in range(len(segment.words))]
     return found
 
 
-def label_segment(segment: Segment, spans: list[Span]) -> list[int]:
-    """Training labels: the kind of a span that covers most of a token."""
+def label_segment(segment: Segment, spans: list[Span], secrets: frozenset[str] = frozenset()) -> list[int]:
+    """Training labels: the kind of a span that covers most of a token's value; mentions of secrets are secrets."""
     labels = []
-    for start, end in segment.spans:
-        kind = 0
+    for (_, end), value, word in zip(segment.spans, segment.values, segment.words):
+        start = end - (len(word) - word.rfind(value))
+        end = start + len(value)
+        kind = LABELS.index("secret") if value in secrets else 0
         for name, a, b in spans:
             if 2 * (min(end, b) - max(start, a)) > end - start:
                 kind = LABELS.index(name)
@@ -180,21 +226,73 @@ def label_segment(segment: Segment, spans: list[Span]) -> list[int]:
     return labels
 
 
+def respelled(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """The text with phone numbers and keyed secrets in other spelling, and where its spans are then."""
+    parts, done, at = [], 0, 0
+    moved: list[Span] = []
+    tail = []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start < done:
+            continue
+        new = text[start:end]
+        if kind == "phone":
+            digits = NOT_DIGIT.sub("", new)
+            new = " -"[zlib.crc32(digits.encode()) % 2].join((digits[-10:-7], digits[-7:-4], digits[-4:]))
+        elif kind == "secret" and not new.startswith(("AKIA", "ASIA")):
+            # Of many lengths, as passwords are.
+            new = new.translate(LETTERS)[:MIN_SECRET + zlib.crc32(new.encode("utf-8", "replace")) % 24]
+            tail.append(new)
+        parts += [text[done:start], new]
+        at += start - done
+        moved.append((kind, at, at + len(new)))
+        at += len(new)
+        done = end
+    word = TOKEN.search(text)
+    mentions = "".join(f"\n{word.group()} {secret} {word.group()}" for secret in tail) if word else ""
+    return "".join(parts) + text[done:] + mentions, moved
+
+
+def _lessons(text: str) -> Iterator[tuple[list[Segment], list[list[int]]]]:
+    """Segments and labels of the text and, if that differs, of the text in other spelling."""
+    spans = [*secret_spans(text), *pattern_spans(text)]
+    spellings = [(text, spans)]
+    if any(kind in ("phone", "secret") for kind, _, _ in spans):
+        spellings.append(respelled(text, spans))
+    for spelled, there in spellings:
+        secrets = frozenset(spelled[a:b] for kind, a, b in there if kind == "secret")
+        segments = segments_of(spelled)
+        if len(segments) > SAMPLE_SEGMENTS:
+            segments.sort(key=lambda s: (zlib.crc32(" ".join(s.words).encode("utf-8", "replace")), s.spans[0]))
+            segments = segments[:SAMPLE_SEGMENTS]
+        yield segments, [label_segment(s, there, secrets) for s in segments]
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+# Labels that a token without an at-sign, without the form of an address or with letters cannot have.
+RULED_OUT = {"no-at": [LABELS.index("email")], "no-ip": [LABELS.index("ip")],
+             "letters": [LABELS.index("card"), LABELS.index("phone")]}
+
+
 @dataclass
 class FieldModel:
-    """Weights by feature, and of label pairs of neighbours."""
+    """Weights by feature, of label pairs of neighbours, and of the skip edges."""
 
     weights: dict[str, np.ndarray]
     pairs: np.ndarray
+    skip: float = SKIP_WEIGHT
 
     def unary(self, segment: Segment) -> np.ndarray:
         zero = np.zeros(len(LABELS))
-        return np.array([sum((self.weights.get(f, zero) for f in names), zero) for names in segment.features])
+        sums = np.array([sum((self.weights.get(f, zero) for f in names), zero) for names in segment.features])
+        for names, row in zip(segment.features, sums):
+            for f in names:
+                for label in RULED_OUT.get(f, ()):
+                    row[label] = BARRED
+        return sums
 
     def chain(self, unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log beliefs of the tokens and log messages forward, by exact passes along the chain."""
@@ -240,25 +338,62 @@ def train_field(data: list[tuple[Segment, list[int]]], seed: int = 3) -> FieldMo
     return model
 
 
-def _group_keys(word: str) -> list[str]:
-    plain = word.strip(EDGE).lower()
-    digits = NOT_DIGIT.sub("", plain)
-    return ["w" + plain] + (["d" + digits] if len(digits) >= SIMILAR_DIGITS else [])
+def _group_keys(value: str) -> list[str]:
+    digits = NOT_DIGIT.sub("", value)
+    return ["w" + value.lower()] + (["d" + digits] if len(digits) >= SIMILAR_DIGITS else [])
 
 
-def beliefs_of(model: FieldModel, segments: list[Segment]) -> list[np.ndarray]:
-    """Log beliefs of every token after passing messages along chains and within groups."""
-    unaries = [model.unary(s) for s in segments]
+def groups_of(segments: list[Segment]) -> dict[str, list[tuple[int, int]]]:
+    """Places (segment, token) of marked tokens that repeat or have the same digits."""
     groups: dict[str, list[tuple[int, int]]] = {}
     for s, segment in enumerate(segments):
-        for i, word in enumerate(segment.words):
+        values = segment.values or [w.strip(EDGE) for w in segment.words]
+        for i, value in enumerate(values):
             if segment.marked[i]:
-                for key in _group_keys(word):
+                for key in _group_keys(value):
                     groups.setdefault(key, []).append((s, i))
-    groups = {k: v for k, v in groups.items() if len(v) > 1}
+    return {k: v for k, v in groups.items() if len(v) > 1}
+
+
+def skip_weight(beliefs: np.ndarray, own: np.ndarray, others: np.ndarray) -> float:
+    """The weight of the highest pseudo-likelihood; a row is a member of a group.
+
+    ``beliefs`` are its log beliefs by its chain, ``own`` its label, ``others`` the number
+    of the group's other members by label.
+    """
+    if not len(own):
+        return SKIP_WEIGHT
+    n = beliefs.shape[1]
+    fits = []
+    for weight in SKIP_WEIGHTS:
+        # A row and a label of the member: the sum over the labels of the group's variable.
+        shared = _log_sum(weight * (np.eye(n)[None] + others[:, None, :]), 2)
+        logs = beliefs + shared
+        fits.append((logs[np.arange(len(own)), own] - _log_sum(logs, 1)).sum())
+    return float(SKIP_WEIGHTS[int(np.argmax(fits))])
+
+
+def fit_skip(model: FieldModel, texts: list[tuple[list[Segment], list[list[int]], dict]]) -> float:
+    """The weight of the skip edges from (segments, labels, groups) of each text."""
+    beliefs, own, others = [], [], []
+    for segments, labels, groups in texts:
+        logs = {s: model.chain(model.unary(segments[s]))[0] for s in {s for g in groups.values() for s, _ in g}}
+        for members in groups.values():
+            counts = np.bincount([labels[s][i] for s, i in members], minlength=len(LABELS))
+            for s, i in members:
+                beliefs.append(logs[s][i])
+                own.append(labels[s][i])
+                others.append(counts - np.eye(len(LABELS))[labels[s][i]])
+    return skip_weight(np.array(beliefs), np.array(own, int), np.array(others))
+
+
+def beliefs_of(model: FieldModel, segments: list[Segment]) -> list[np.ndarray]:
+    """Log beliefs of every token after passing messages along chains and within groups."""
+    unaries = [model.unary(s) for s in segments]
+    groups = groups_of(segments)
     if not groups:
         return [model.chain(u)[0] for u in unaries]
-    tie = np.eye(len(LABELS)) * SKIP_WEIGHT
+    tie = np.eye(len(LABELS)) * model.skip
     sent = {(k, at): np.zeros(len(LABELS)) for k, members in groups.items() for at in members}
     for _ in range(ROUNDS):
         inside = [u.copy() for u in unaries]
@@ -277,9 +412,13 @@ def beliefs_of(model: FieldModel, segments: list[Segment]) -> list[np.ndarray]:
 
 def _trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     if kind == "secret":
-        cut = max(text.rfind("=", start, end), text.rfind(":", start, end))
-        start = cut + 1 if cut >= 0 else start
-    edge = EDGE.replace("(", "").replace(")", "") if kind == "phone" else EDGE
+        key = KEYED.search(text, start, end)
+        start = key.end() if key else start
+        while start < end and text[start] in EDGE:
+            start += 1
+        cut = QUOTE.search(text, start, end)
+        end = cut.start() if cut else end
+    edge = {"phone": MARKS.replace("(", "").replace(")", ""), "secret": EDGE}.get(kind, MARKS)
     while start < end and text[start] in edge:
         start += 1
     while start < end and text[end - 1] in edge:
@@ -287,6 +426,16 @@ def _trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     return start, end
 
 
+def _possible(kind: str, value: str) -> bool:
+    """Whether a span that the field found has the length, the digits and the check digit of its kind."""
+    digits = NOT_DIGIT.sub("", value)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return len(value) >= MIN_SECRET if kind == "secret" else value != ""
+
+
 def added_spans(model: FieldModel, text: str, taken: list[Span]) -> list[Span]:
     """Spans that the field finds beside those taken."""
     if not model.weights:
@@ -308,7 +457,7 @@ def added_spans(model: FieldModel, text: str, taken: list[Span]) -> list[Span]:
         for kind, start, end in run:
             if kind:
                 start, end = _trimmed(text, start, end, kind)
-                if DIGIT.search(text, start, end) or "@" in text[start:end]:
+                if _possible(kind, text[start:end]):
                     found.append((kind, start, end))
     ends = sorted((a, b) for _, a, b in taken)
     starts = np.array([a for a, _ in ends], np.int64)
@@ -348,21 +497,26 @@ def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, labels = [], []
+            rows = []
             for value in batch.column(0):
-                text = value.as_py() or ""
-                spans = [*secret_spans(text), *pattern_spans(text)]
-                for segment in segments_of(text)[:SAMPLE_SEGMENTS]:
-                    features.append(segment.features)
-                    labels.append(label_segment(segment, spans))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(features, pa.list_(pa.list_(pa.string()))),
-                pa.array(labels, pa.list_(pa.int32()))], ["features", "labels"])
-
-    rows = sample.select("text").mapInArrow(run, "features array<array<string>>, labels array<int>")
-    data = [(Segment([], [], [], [list(f) for f in r["features"]]), list(r["labels"])) for r in rows.collect()]
-    data.sort(key=lambda d: (d[0].features, d[1]))
-    return train_field(data)
+                for segments, labels in _lessons(value.as_py() or ""):
+                    groups = [[f"{s}:{i}" for s, i in members] for members in groups_of(segments).values()]
+                    rows.append(([s.features for s in segments], labels, groups))
+            made = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types)],
+                                             ["features", "labels", "groups"])
+
+    words = pa.list_(pa.list_(pa.string()))
+    types = (pa.list_(words), pa.list_(pa.list_(pa.int32())), words)
+    rows = sample.select("text").mapInArrow(
+        run, "features array<array<array<string>>>, labels array<array<int>>, groups array<array<string>>").collect()
+    texts = []
+    for r in sorted(rows, key=lambda r: (r["features"], r["labels"])):
+        groups = {str(k): [tuple(map(int, at.split(":"))) for at in g] for k, g in enumerate(r["groups"])}
+        texts.append(([Segment([], [], [], names) for names in r["features"]], r["labels"], groups))
+    model = train_field([pair for segments, labels, _ in texts for pair in zip(segments, labels)])
+    model.skip = fit_skip(model, texts)
+    return model
 
 
 def find_pii(docs: DataFrame, model: FieldModel | None = None,

@@ -35,8 +35,12 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def op3_pii_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(_table(spark, folder, "documents").select("doc_id", "text"))
     counts = [F.col("pii_counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.BASE_KINDS)]
+    spans = F.filter(F.split("pii_spans", ","), lambda span: span != "")
+    secrets = F.size(F.filter(spans, lambda span: span.startswith("secret:")))
+    added = F.size(spans) - F.aggregate("pii_counts", F.lit(0).cast("long"), lambda n, count: n + count)
     return found.select("doc_id", *counts, F.sha2("pii_base", 256).alias("base_sha256"),
-                        F.col("pii_spans").alias("spans"))
+                        F.col("pii_spans").alias("spans"), secrets.cast("long").alias("n_secret"),
+                        added.cast("long").alias("n_added"))
 
 
 def op4_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Personal data, toxicity, languages and pieces: odd input, brute force, held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -54,6 +55,7 @@ def test_pii_query(spark, texts):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == s[0] for s in base) for k in pii.BASE_KINDS]
         spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
         assert set(base) <= set(spans) and spans == pii.ordered(spans)
+        assert r.n_secret == sum(k == "secret" for k, _, _ in spans) and r.n_added == len(spans) - len(base)
         added += len(spans) - len(base)
     secrets = sum(len(pii.secret_spans(t)) for t in texts.values())
     assert secrets * 0.8 <= added <= secrets * 1.3
@@ -70,6 +72,76 @@ def test_repeated_tokens_agree():
     assert best == [5, 5, 0]
 
 
+def _enumerated(model, segments):
+    """Log beliefs by summing over all labellings and all labels of the groups' variables."""
+    n = len(pii.LABELS)
+    places = [(s, i) for s, segment in enumerate(segments) for i in range(len(segment.words))]
+    groups = list(pii.groups_of(segments).values())
+    unaries = [model.unary(s) for s in segments]
+    totals = {at: pii.np.zeros(n) for at in places}
+    for labels in itertools.product(range(n), repeat=len(places)):
+        of = dict(zip(places, labels))
+        score = sum(unaries[s][i][of[s, i]] for s, i in places)
+        score += sum(model.pairs[of[s, i], of[s, i + 1]] for s, i in places if (s, i + 1) in of)
+        weight = pii.np.exp(score)
+        for members in groups:
+            weight *= sum(pii.np.exp(model.skip * sum(of[at] == g for at in members)) for g in range(n))
+        for at in places:
+            totals[at][of[at]] += weight
+    return {at: pii.np.log(t / t.sum()) for at, t in totals.items()}
+
+
+def test_pii_messages_equal_enumeration():
+    random = pii.np.random.default_rng(1)
+    model = pii.FieldModel({f"f={k}": random.normal(size=6) for k in range(4)}, random.normal(size=(6, 6)), 1.25)
+    chain = pii.Segment([(0, 9), (10, 12)], ["k9k9k9k9k", "and"], [True, False], [["f=0"], ["f=1"]])
+    second = pii.Segment([(20, 29)], ["K9k9k9k9k,"], [True], [["f=2"]])
+    third = pii.Segment([(30, 39)], ["k9k9k9k9k"], [True], [["f=3"]])
+    segments = [chain, second, third]
+    exact = _enumerated(model, segments)
+    for s, beliefs in enumerate(pii.beliefs_of(model, segments)):
+        for i, logs in enumerate(beliefs):
+            assert pii.np.allclose(logs, exact[s, i], atol=1e-9)
+
+
+def test_pii_skip_weight():
+    vague = pii.np.log(pii.np.full((40, 6), 1 / 6))
+    same = pii.np.tile([0, 0, 0, 0, 0, 1.0], (40, 1))
+    assert pii.skip_weight(vague, pii.np.full(40, 5), same) == max(pii.SKIP_WEIGHTS)
+    assert pii.skip_weight(vague, pii.np.full(40, 1), same) == 0
+    assert pii.skip_weight(vague[:0], pii.np.zeros(0, int), same[:0]) == pii.SKIP_WEIGHT
+
+
+def test_pii_other_spelling(spark):
+    model = pii.fit_field(spark.read.parquet(f"{DATA}/documents.parquet"))
+    for text, want in [
+        ("The password=correcthorsebattery was set, then correcthorsebattery again",
+         ["secret:13:32", "secret:47:66"]),
+        ("use api_key: hunter2hunter2 for this", ["secret:13:27"]),
+        ("x token=abcdefghijk y", ["secret:8:19"]),
+        ("call 555-010-2030 now", ["phone:5:17"]),
+        ("call me at 555 010 2030 now", ["phone:11:23"]),
+        ("In 2019 about 300 people of 2000 came", []),
+        ("the token: yes it is a password: please enter", []),
+    ]:
+        base = pii.pattern_spans(text)
+        assert pii.written(pii.ordered(base + pii.added_spans(model, text, base))) == ",".join(want), text
+
+
+def test_pii_lessons():
+    text = 'Call +1 (017) 555-7713 or use token = "04dbebab91ab85687d33" ok'
+    (_, plain), (spelled, other) = pii._lessons(text)
+    assert {pii.LABELS[k] for row in plain for k in row} == {"other", "phone", "secret"}
+    words = {w: pii.LABELS[k] for s, row in zip(spelled, other) for w, k in zip(s.values, row)}
+    secrets = [w for w, kind in words.items() if kind == "secret"]
+    assert len(secrets) == 1 and not pii.DIGIT.search(secrets[0])
+    assert sum(w == secrets[0] for s in spelled for w in s.values) == 2
+    long = " ".join(f"{i} a b c d e" for i in range(100))
+    (segments, labels), = pii._lessons(long)
+    assert len(segments) == len(labels) == pii.SAMPLE_SEGMENTS
+    assert max(s.spans[0][0] for s in segments) > len(long) // 2
+
+
 def test_pii_odd_rows(spark):
     docs = odd_documents(spark)
     found = pii.find_pii(docs, pii.fit_field(docs))
