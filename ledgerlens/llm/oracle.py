@@ -85,28 +85,41 @@ from documents d join copies c using (doc_id) where c.n > 0"""
 def _preference() -> str:
     return r"""
 with turns as (
-  select conv_id as pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   where conv_id is not null and turn is not null),
-answers as (
-  select pair_id, turn as last_turn, text as answer from turns where role = 'assistant'
-  qualify row_number() over (partition by pair_id order by turn desc, text desc) = 1),
-swaps as (
-  select a.pair_id, a.last_turn, coalesce(n.answer, p.answer, '') as swap
-  from answers a left join answers n on n.pair_id = a.pair_id + 1 left join answers p on p.pair_id = a.pair_id - 1),
+heads as (
+  select conv_id, arg_min(turn, md5(conv_id || ':' || turn)) as fork from turns where role = 'assistant'
+  group by conv_id),
+numbered as (
+  select conv_id, fork,
+    coalesce(lead(conv_id) over (order by conv_id), lag(conv_id) over (order by conv_id)) as other from heads),
 sides as (
-  select t.pair_id, t.turn, t.role, min(t.text) as chosen,
-    min(case when t.turn = s.last_turn and t.role = 'assistant' then s.swap else t.text end) as rejected
-  from turns t join swaps s using (pair_id) where t.turn <= s.last_turn
-  group by t.pair_id, t.turn, t.role qualify row_number() over (partition by t.pair_id, t.turn order by t.role) = 1),
-forks as (select pair_id, min(turn) filter (chosen <> rejected) as fork from sides group by pair_id),
-placed as (select * from sides join forks using (pair_id)),
+  select conv_id as pair_id, turn, 'chosen' as side, role, text from turns
+  union all
+  select t.conv_id, t.turn, 'rejected', t.role, t.text from turns t left join heads h using (conv_id)
+  where h.fork is null or t.turn < h.fork
+  union all
+  select n.conv_id, t.turn - o.fork + n.fork, 'rejected', t.role, t.text
+  from numbered n join heads o on o.conv_id = n.other join turns t on t.conv_id = n.other and t.turn >= o.fork),
+said as (
+  select * from sides qualify row_number() over (partition by pair_id, turn, side order by role, text) = 1),
+both_sides as (
+  select pair_id, turn, max(role) filter (side = 'chosen') as c_role, max(text) filter (side = 'chosen') as c_text,
+    max(role) filter (side = 'rejected') as r_role, max(text) filter (side = 'rejected') as r_text
+  from said group by pair_id, turn),
+forks as (
+  select pair_id, min(turn) filter (c_role is distinct from r_role or c_text is distinct from r_text) as fork
+  from both_sides group by pair_id having count(c_role) > 0 and count(r_role) > 0),
+placed as (select * from both_sides join forks using (pair_id)),
 parts as (
-  select pair_id, 'prompt' as part, turn, role, chosen as body, false as trained from placed
+  select pair_id, 'prompt' as part, turn, c_role as role, c_text as body, false as trained from placed
   where fork is null or turn < fork
   union all
-  select pair_id, 'chosen', turn, role, chosen, role = 'assistant' from placed where turn >= fork
+  select pair_id, 'chosen', turn, c_role, c_text, c_role = 'assistant' from placed
+  where turn >= fork and c_role is not null
   union all
-  select pair_id, 'rejected', turn, role, rejected, role = 'assistant' from placed where turn >= fork)
+  select pair_id, 'rejected', turn, r_role, r_text, r_role = 'assistant' from placed
+  where turn >= fork and r_role is not null)
 select pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) as text,
   case when trained then length(role) + 5 else 0 end::bigint as mask_start,
   case when trained then length(role) + length(body) + 13 else 0 end::bigint as mask_end

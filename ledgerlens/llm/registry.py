@@ -48,7 +48,7 @@ def op4_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_preference_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.preference_turns(*chat.swapped_answers(_table(spark, folder, "conversations")))
+    return chat.continued_pairs(_table(spark, folder, "conversations"))
 
 
 def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:

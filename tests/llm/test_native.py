@@ -1,6 +1,7 @@
 """Quality rules, mixing and preference turns: odd input, plain-Python counterparts, plans."""
 
 import collections
+import hashlib
 
 import pytest
 from llm_frames import LONG, PROSE, WORD, documents, empty_documents, odd_documents
@@ -112,14 +113,71 @@ def test_preference_turns(spark):
     }
 
 
-def test_swapped_answers(spark):
-    turns = spark.createDataFrame(
-        [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "bye"), (2, 0, "user", "q"),
-         (2, 1, "assistant", "a2"), (9, 0, "assistant", "alone"), (10, 0, "user", "none")],
-        "conv_id long, turn long, role string, text string")
-    chosen, rejected = chat.swapped_answers(turns)
-    assert sorted((r.pair_id, r.turn, r.text) for r in chosen.collect()) == [
-        (1, 0, "q"), (1, 1, "a1"), (2, 0, "q"), (2, 1, "a2"), (9, 0, "alone")]
-    assert sorted((r.pair_id, r.turn, r.text) for r in rejected.collect()) == [
-        (1, 0, "q"), (1, 1, "a2"), (2, 0, "q"), (2, 1, "a1"), (9, 0, "")]
-    assert chat.preference_turns(*chat.swapped_answers(turns.limit(0))).count() == 0
+def _continued(rows):
+    """Both sides of every pair, from (conv_id, turn, role, text), as lists of (turn, role, text)."""
+    talks = collections.defaultdict(dict)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] or "", r[3] or ""), reverse=True):
+        talks[conv][turn] = (role or "", text or "")
+    forks = {}
+    for conv, talk in talks.items():
+        marks = [(hashlib.md5(f"{conv}:{t}".encode()).hexdigest(), t)
+                 for c, t, role, _ in rows if c == conv and role == "assistant"]
+        if marks:
+            forks[conv] = min(marks)[1]
+    heads = sorted(forks)
+    pairs = {}
+    for conv, talk in talks.items():
+        rejected = dict(talk)
+        if conv in forks:
+            at = heads.index(conv)
+            rejected = {t: x for t, x in talk.items() if t < forks[conv]}
+            other = heads[at + 1] if at + 1 < len(heads) else heads[at - 1] if at else None
+            for t, x in (talks[other] if other is not None else {}).items():
+                if t >= forks[other]:
+                    rejected[t - forks[other] + forks[conv]] = x
+        if rejected:
+            pairs[conv] = (talk, rejected)
+    return pairs
+
+
+def _parts(pairs):
+    rows = set()
+    for conv, (chosen, rejected) in pairs.items():
+        fork = min((t for t in {*chosen, *rejected} if chosen.get(t) != rejected.get(t)), default=None)
+        for part, talk in (("chosen", chosen), ("rejected", rejected)):
+            for t, (role, text) in talk.items():
+                common = fork is None or t < fork
+                if not common or part == "chosen":
+                    trained = text + "<|end|>\n" if role == "assistant" and not common else ""
+                    rows.add((conv, "prompt" if common else part, t, role, text, trained))
+    return rows
+
+
+TALKS = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "bye"), (1, 3, "assistant", "b1"),
+         (4, 0, "user", "q"), (4, 1, "assistant", "a2"), (4, 1, "assistant", "a2"), (4, 2, "user", None),
+         (9, 0, "assistant", "alone"), (10, 0, "user", "none"), (10, 1, None, None), (12, 0, "user", ""),
+         (12, 1, "assistant", PROSE), (12, 2, "user", "x"), (12, 3, "assistant", "y"), (12, 4, "assistant", "z")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("rows", [TALKS, TALKS[:4], TALKS[8:9], TALKS[9:11], TALKS[4:9], []])
+def test_continued_pairs(spark, kind, rows):
+    rows = [(f"k{r[0]:02}" if kind == "string" else r[0], *r[1:]) for r in rows]
+    odd = [(None, 0, "assistant", "x"), (rows[0][0] if rows else None, None, "assistant", "x")]
+    turns = spark.createDataFrame([(*r, 1, "f") for r in rows + odd],
+                                  f"conv_id {kind}, turn int, role string, text string, fork int, `a.b` string")
+    got = chat.continued_pairs(turns).collect()
+    cut = {(r.pair_id, r.part, r.turn, r.role, r.text.split(">\n", 1)[1][:-8], r.text[r.mask_start:r.mask_end])
+           for r in got}
+    assert len(got) == len(cut) and cut == _parts(_continued(rows))
+
+
+def test_continued_pairs_of_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in table.collect()]
+    got = chat.continued_pairs(table)
+    assert got.groupBy("part").count().count() == 3
+    assert {(r.pair_id, r.part, r.turn) for r in got.collect()} == {p[:3] for p in _parts(_continued(rows))}
+    # The chosen side has every turn of the table: in the prompt or as completion.
+    assert got.where("part <> 'rejected'").count() == len({r[:2] for r in rows})
+    assert chat.continued_pairs(table)._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
