@@ -274,34 +274,6 @@ def _as_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts have the asked similarity; sets of recent texts are kept."""
-    known: dict[bytes, np.ndarray] = {}
-    kept = 0
-
-    def hashes_of(text: bytes) -> np.ndarray:
-        nonlocal kept
-        found = known.get(text)
-        if found is None:
-            found = shingle_sets([text]).hashes
-            kept += len(text) + found.nbytes
-            if kept > KEPT_BYTES:
-                known.clear()
-                kept = len(text) + found.nbytes
-            known[text] = found
-        return found
-
-    for batch in batches:
-        columns = [batch.column(i) for i in range(4)]
-        rows = []
-        for i in range(batch.num_rows):
-            one, two = hashes_of(columns[2][i].as_py()), hashes_of(columns[3][i].as_py())
-            if similar_enough(one, two):
-                rows.append(i)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([columns[0].take(at), columns[1].take(at)], ["a", "b"])
-
-
 def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct shingles of each text as one list."""
     for batch in batches:

@@ -4,8 +4,10 @@ A paragraph is a line of a text with at least ``MIN_WORDS`` words. Equal paragra
 set of five-word shingles) are one entry. Every entry has a MinHash sketch cut into bands;
 the number and length of the bands are tuned so that a pair at the threshold collides with
 at least the asked recall. Entries that share a band are compared by the exact Jaccard
-similarity of their shingles, and links form components: of each, the first paragraph stays
-and the others are removals.
+similarity of their shingles: first with the best connected one of the band, then those pairs
+that may be similar by what they differ in from the middle of their group. Links form
+components: of each, the first paragraph stays and the others are removals. Texts are cut
+and hashed twice: for places and bands, and for the shingles of the entries to compare.
 
 Defined results: NULL and empty texts have no paragraphs. Places count code points, ends are
 exclusive. Of equal or linked paragraphs the one of the smallest id, then line, stays; rows
@@ -20,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.jaccard import PERCENT, linked_texts, shingle_sets
+from ledgerlens.llm.differences import possible_pairs
+from ledgerlens.llm.jaccard import PERCENT, shingle_sets
 from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
@@ -109,29 +112,32 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for owners, places, parts in _cut(batch):
             lines, starts, ends = zip(*places)
+            prints, hashes, sizes = _entries(parts)
+            keys = band_keys(hashes, sizes)
+            offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(owners, pa.int64()), pa.array(lines, pa.int32()), pa.array(starts, pa.int32()),
-                pa.array(ends, pa.int32()), pa.array(_entries(parts)[0], pa.binary())],
-                ["doc_id", "line", "start", "end", "node"])
+                pa.array(ends, pa.int32()), pa.array(prints, pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
+                ["doc_id", "line", "start", "end", "node", "bands"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, parts in _cut(batch):
             prints, hashes, sizes = _entries(parts)
-            keys = band_keys(hashes, sizes)
-            _, first = np.unique(np.array(prints, dtype="S16"), return_index=True)
-            bands = keys.shape[1]
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[first].reshape(-1).view(np.int64)),
-                pa.array([prints[i] for i in first for _ in range(bands)], pa.binary())], ["band", "node"])
+                pa.array(prints, pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["node", "elements"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, parts in _cut(batch):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_entries(parts)[0], pa.binary()), pa.array(parts, pa.string())], ["node", "text"])
+def _candidates(scratch: Scratch, places: DataFrame) -> DataFrame:
+    """``band`` and ``node`` of the bands that several entries share; an entry's copies count once."""
+    entries = places.groupBy("node").agg(F.first("bands").alias("bands"))
+    bands = scratch.keep(entries.select("node", F.explode("bands").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return placed_members(scratch, scratch.keep(bands.join(shared, "band").select("band", "node"), "shared"), ["band"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,27 +146,33 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id is not null and text is not null")
     with Scratch(docs.sparkSession) as scratch:
-        places = scratch.keep(
-            texts.mapInArrow(_places, "doc_id long, line int, start int, end int, node binary"), "places")
-        bands = texts.mapInArrow(_bands, "band long, node binary")
-        shared = bands.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-        members = placed_members(
-            scratch, scratch.keep(shared.select("band", "node").distinct(), "shared"), ["band"])
+        places = scratch.keep(texts.mapInArrow(
+            _places, "doc_id long, line int, start int, end int, node binary, bands array<long>"), "places")
+        members = _candidates(scratch, places)
+        places = places.drop("bands")
 
         wanted = scratch.keep(members.select("node").distinct(), "wanted")
         few = wanted.count() <= BROADCAST_ENTRIES
-        stored = scratch.keep(texts.mapInArrow(_texts, "node binary, text string").join(
-            F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(
-            F.min(F.col("text").cast("binary")).alias("text")), "texts")
-        one = stored.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        two = stored.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        stored = scratch.keep(texts.mapInArrow(_lists, "node binary, elements array<long>").join(
+            F.broadcast(wanted) if few else wanted, "node").dropDuplicates(["node"]), "elements")
+        one = stored.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
+        two = stored.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
+        sizes = F.size("set_a") + F.size("set_b")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-            return scratch.keep(both.mapInArrow(linked_texts, "a binary, b binary"), "links")
+            # Unless the sizes are near, the sets are not read.
+            near = F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(
+                F.size("set_a"), F.size("set_b")) * PERCENT
+            shared = F.size(F.array_intersect("set_a", "set_b"))
+            both = pairs.join(one, "a").join(two, "b").where(near)
+            return scratch.keep(both.where(shared * (100 + PERCENT) >= sizes * PERCENT).select("a", "b"), "links")
+
+        def narrow(open_members: DataFrame) -> tuple[DataFrame, DataFrame]:
+            nodes = scratch.keep(open_members.select("node").distinct(), "nodes")
+            return possible_pairs(scratch, stored.join(nodes, "node"), open_members, ["band"], PERCENT)
 
         none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        labels = settle(scratch, members, ["band"], none, verify)
+        labels = settle(scratch, members, ["band"], none, verify, narrow=narrow)
         named = scratch.keep(with_components(places, labels).drop("node"), "named")
         clusters = scratch.keep(named.groupBy("component").agg(
             F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("cluster_size")
