@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import comb, exp, sqrt
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.llm.differences import possible_pairs
+from ledgerlens.llm.names import free_name
 from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
@@ -49,7 +50,6 @@ MOST_SHARED = 100
 BROADCAST_IDS = 500_000
 # Working-memory bounds of one task; results do not depend on them.
 BUCKET_BOUND = 2_000_000
-KEPT_BYTES = 32_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -285,16 +285,6 @@ def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], ["doc_id", "shingles"])
 
 
-def similar_enough(one: np.ndarray, two: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    small, large = sorted((one, two), key=len)
-    if not len(small) or 100 * len(small) < PERCENT * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-    return 100 * shared >= PERCENT * (len(one) + len(two) - shared)
-
-
 def _listed(scratch: Scratch, texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id`` and ``shingles`` of the wanted ids."""
     few = wanted.count() <= BROADCAST_IDS
@@ -462,12 +452,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, one for each id.
 
-    Rows with a NULL id stay as they are.
+    Rows with a NULL id stay as they are. All columns stay, whatever their names.
     """
     verdict = jaccard_components(docs, id_col, text_col).where("doc_id is not null")
-    dropped = verdict.where("doc_id <> component_id").select(F.col("doc_id").alias("jaccard_dropped")).distinct()
+    away = free_name(docs, "jaccard_dropped")
+    dropped = verdict.where("doc_id <> component_id").select(F.col("doc_id").alias(away)).distinct()
     few = dropped.count() <= BROADCAST_IDS
-    same = F.col(id_col).cast("long") == F.col("jaccard_dropped")
+    same = F.col(id_col).cast("long") == F.col(away)
     kept = docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
     if verdict.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

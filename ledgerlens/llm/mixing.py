@@ -7,7 +7,8 @@ that number, and all copies are dealt out by a hash and sorted by it.
 
 Defined results: NULL is a source like any other; a NULL id hashes as the empty text.
 Rows of one id draw the same number. NULL or empty texts are copied like others. Without
-rows the result is empty. All columns stay; an input column called ``mix_copy`` is replaced.
+rows the result is empty. All columns stay, whatever their names; only an input column
+called ``mix_copy`` is replaced.
 Sources missing from an explicit table of weights get no copy.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.llm.names import column, columns
 from ledgerlens.session import materialize
 
 # Larger means are drawn as sums of parts, each at most this.
@@ -52,7 +54,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None,
     share is its row count to the power ``exponent``. ``total`` rows are aimed at, by
     default as many as there are.
     """
-    counts = materialize(docs.groupBy(F.col(source_col).alias("mix_source")).agg(
+    counts = materialize(docs.groupBy(column(source_col).alias("mix_source")).agg(
         F.count("*").alias("n")), "mix-counts")
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(exponent)))
@@ -87,7 +89,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None,
                 exponent: float = 0.5, total: float | None = None, seed: int = 7,
                 id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The columns of ``docs`` and ``mix_copy`` (from 1), in an order shuffled over all rows."""
-    columns = [c for c in docs.columns if c != "mix_copy"]
+    kept = [c for c in docs.columns if c != "mix_copy"]
+    # Whole rows go along as one column, so no name of theirs meets one used here.
+    packed = docs.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns(kept))]).alias("row"),
+                         _text(column(id_col)).alias("key"), column(source_col).alias("source"))
     rates = source_rates(docs, weights, exponent, total, source_col)
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / PART_MEAN).cast("int"))
     table = materialize(
@@ -95,23 +100,24 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None,
             "mix_source", "mix_parts",
             _distribution(F.col("mix_rate") / F.col("mix_parts")).alias("mix_levels"),
         ), "mix-rates")
-    same = F.col(source_col).eqNullSafe(F.col("mix_source"))
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
     if table.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), same)
+        joined = packed.join(F.broadcast(table), same)
     else:
-        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(salted, same & (salt == F.col("mix_salt")))
-    key = _text(F.col(id_col))
+        joined = packed.join(salted, same & (salt == F.col("mix_salt")))
+    key = F.col("key")
     draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")),
                         lambda j: hashed_draw(seed, key, j.cast("string")))
     copies = F.aggregate(
         F.transform(draws, lambda u: F.size(F.filter("mix_levels", lambda level: level <= u))),
         F.lit(0), lambda acc, n: acc + n,
     )
-    counted = joined.select(*columns, copies.alias("mix_copies")).where("mix_copies > 0")
+    counted = joined.select("row", "key", copies.alias("mix_copies")).where("mix_copies > 0")
     copied = counted.select(
-        *columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+        "row", "key", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     place = hashed_key(seed, F.lit("place"), key, F.col("mix_copy").cast("string"))
     dealt = copied.withColumn("mix_place", place).repartition("mix_place")
-    return dealt.sortWithinPartitions("mix_place").drop("mix_place")
+    return dealt.sortWithinPartitions("mix_place").select(
+        *[F.col(f"row.c{i}").alias(name) for i, name in enumerate(kept)], "mix_copy")

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerlens.llm.names import free_name
 from ledgerlens.session import Scratch, materialize
 
 PASSAGE_WORDS = 25
@@ -202,15 +203,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed passages taken out of their texts."""
+    """``docs`` with the removed passages taken out of their texts; all columns stay, whatever their names."""
+    owner, taken = free_name(docs, "passage_doc_id"), free_name(docs, "passage_places")
     places = repeated_passages(docs, id_col, text_col).where("removed").groupBy(
-        F.col("doc_id").alias("passage_doc_id")).agg(F.sort_array(F.collect_set(
-            F.struct("start", "end"))).alias("passage_places"))
-    joined = docs.join(places, F.col(id_col).cast("long") == F.col("passage_doc_id"), "left")
+        F.col("doc_id").alias(owner)).agg(F.sort_array(F.collect_set(
+            F.struct("start", "end"))).alias(taken))
+    joined = docs.join(places, F.col(id_col).cast("long") == F.col(owner), "left")
     state = F.struct(F.lit("").alias("text"), F.lit(0).alias("done"))
-    kept = F.aggregate("passage_places", state, lambda x, p: F.struct(
+    kept = F.aggregate(taken, state, lambda x, p: F.struct(
         F.concat(x["text"], F.substring(F.col(text_col), x["done"] + 1, F.greatest(p["start"] - x["done"], F.lit(0)))).alias("text"),
         F.greatest(x["done"], p["end"]).alias("done")),
         lambda x: F.concat(x["text"], F.substring(F.col(text_col), x["done"] + 1, F.length(text_col))))
-    text = F.when(F.col("passage_places").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumn(text_col, text).drop("passage_doc_id", "passage_places")
+    text = F.when(F.col(taken).isNull(), F.col(text_col)).otherwise(kept)
+    return joined.withColumn(text_col, text).drop(owner, taken)

@@ -19,7 +19,8 @@ touch a span of the patterns.
 
 Defined results: NULL counts as the empty text and has no spans. Whole texts are read,
 whatever their length. Repeated rows each give a row; an empty table gives an empty one
-and an untrained model, which adds nothing. Other columns are not read.
+and an untrained model, which adds nothing. Other columns stay, whatever their names; only
+input columns called like one of ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ledgerlens.llm.names import columns
 from ledgerlens.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -524,24 +526,26 @@ def find_pii(docs: DataFrame, model: FieldModel | None = None,
     """Every column of ``docs`` and ``pii_base``, ``pii_spans`` (kind:start:end, comma-joined),
     ``pii_counts`` (of the patterns, by kind) and ``pii_redacted``, the text without them."""
     model = fit_field(docs, id_col, text_col) if model is None else model
+    names = [name for name in docs.columns if name not in ADDED]
+    numbered = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns(names))])
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column(text_col):
+            for value in batch.column(place):
                 text = value.as_py() or ""
                 base = pattern_spans(text)
                 spans = ordered(base + added_spans(model, text, base))
                 counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
                 rows.append((written(base), written(spans), counts, redacted(text, spans) if spans else value.as_py()))
             made = list(zip(*rows)) if rows else [(), (), (), ()]
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ADDED]
             yield pa.RecordBatch.from_arrays(
-                [c for _, c in kept] + [pa.array(made[0], pa.string()), pa.array(made[1], pa.string()),
+                batch.columns + [pa.array(made[0], pa.string()), pa.array(made[1], pa.string()),
                                         pa.array(made[2], pa.list_(pa.int64())), pa.array(made[3], pa.string())],
-                [n for n, _ in kept] + list(ADDED))
+                batch.schema.names + list(ADDED))
 
     kinds = (T.StringType(), T.StringType(), T.ArrayType(T.LongType()), T.StringType())
-    kept = [f for f in docs.schema.fields if f.name not in ADDED]
-    schema = T.StructType(kept + [T.StructField(n, k) for n, k in zip(ADDED, kinds)])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType(numbered.schema.fields + [T.StructField(n, k) for n, k in zip(ADDED, kinds)])
+    return numbered.mapInArrow(run, schema).select(
+        *[F.col(f"c{i}").alias(name) for i, name in enumerate(names)], *ADDED)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.llm.jaccard import PERCENT, shingle_sets
+from ledgerlens.llm.names import free_name
 from ledgerlens.llm.settling import placed_members, settle, with_components
 from ledgerlens.session import Scratch, materialize
 
@@ -185,11 +186,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed lines taken out of their texts."""
+    """``docs`` with the removed lines taken out of their texts; all columns stay, whatever their names."""
+    owner, places = free_name(docs, "repeat_doc_id"), free_name(docs, "repeat_lines")
     lines = repeated_paragraphs(docs, id_col, text_col).where("removed").groupBy(
-        F.col("doc_id").alias("repeat_doc_id")).agg(F.collect_set("line").alias("repeat_lines"))
-    joined = docs.join(lines, F.col(id_col).cast("long") == F.col("repeat_doc_id"), "left")
+        F.col("doc_id").alias(owner)).agg(F.collect_set("line").alias(places))
+    joined = docs.join(lines, F.col(id_col).cast("long") == F.col(owner), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"),
-                                 lambda x, i: ~F.array_contains("repeat_lines", i)), "\n")
-    text = F.when(F.col("repeat_lines").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumn(text_col, text).drop("repeat_doc_id", "repeat_lines")
+                                 lambda x, i: ~F.array_contains(places, i)), "\n")
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept)
+    return joined.withColumn(text_col, text).drop(owner, places)

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ledgerlens.llm.names import column, columns
 from ledgerlens.session import materialize
 
 SAMPLE_ROWS = 20_000
@@ -149,8 +150,9 @@ def text_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, features array<double>")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType),
+                           T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, schema)
 
 
 def training_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -246,9 +248,11 @@ def clean_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     Whole rows go along with their features, so nothing is joined and NULL ids are judged too.
     """
     model = fit_toxicity(docs, labels, rows, id_col, text_col)
-    packed = docs.select(F.struct("*").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns(docs.columns))])
+    packed = docs.select(row.alias("doc_id"), column(text_col).alias("text"))
     scored = model.score(text_features(packed, model.terms))
-    return scored.where("score < 0.5").select("doc_id.*")
+    return scored.where("score < 0.5").select(
+        *[F.col(f"doc_id.c{i}").alias(name) for i, name in enumerate(docs.columns)])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,

@@ -31,8 +31,9 @@ def odd_documents(spark: SparkSession) -> DataFrame:
     more = spark.createDataFrame([(7, PROSE, "en", "s1", 1), (None, PROSE, None, None, None)], SCHEMA)
     both = docs.union(more)
     for name in ("features", "label", "prediction", "component", "node", "ids", "copy", "mix_copy", "words",
-                 "vector", "first", "pii_spans", "n", "bucket", "place", "score"):
-        both = both.selectExpr("*", f"'{name}' AS {name}")
+                 "vector", "first", "pii_spans", "n", "bucket", "place", "score", "row", "key", "mix_source",
+                 "mix_levels", "mix_copies", "mix_place", "jaccard_dropped", "passage_doc_id", "repeat_doc_id", "a.b"):
+        both = both.selectExpr("*", f"'{name}' AS `{name}`")
     return both
 
 
