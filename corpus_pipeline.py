@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import jaccard, mixing, pieces, pii, toxicity
+from ledgerlens.llm.names import columns
 from ledgerlens.llm.shipping import ship_code
 from ledgerlens.session import materialize
 
@@ -30,12 +31,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship_code(spark)
     found = pii.find_pii(docs).withColumns(
         {"text": F.col("pii_redacted"), "n_chars": F.length("pii_redacted").cast("long")})
-    return found.select(*docs.columns)
+    return found.select(*columns(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in shuffled order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*columns(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
