@@ -1,0 +1,65 @@
+"""The matrix from transactions written in buckets of ids."""
+
+import pytest
+
+from frames import CODES, LABELS, TRXN, at
+from ledgerlens.plans import matrix as plans
+from ledgerlens.sources.mapping import inputs_from_orders
+from ledgerlens.sources.tables import Inputs
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    """Id 0 has a third of the rows, and some rows have no id."""
+    rows = [
+        (None if i % 50 == 7 else 0 if i % 3 == 0 else i % 97, None if i % 41 == 0 else at(f"2019-{i % 12 + 1:02}-{i % 28 + 1:02} {i % 24:02}:10"),
+         ("web", "app", None)[i % 5 % 3], f"D{i % 7 % 3}", i % 6, (0, 0, 1, None)[i % 4], 1.0, None if i % 31 == 0 else i % 60)
+        for i in range(3000)
+    ]
+    dimension = [(c, d, t, r, "Financiera" if t else "Otra", "Exitosa", "SI" if t == 2 else None, f"Grupo {t % 2}", "P")
+                 for c in ("web", "app") for d in ("D0", "D1") for t in range(5) for r in range(2)]
+    return Inputs(spark.createDataFrame(rows, TRXN), spark.createDataFrame([(i, 201901, i % 2, i % 5) for i in range(120)], LABELS),
+                  spark.createDataFrame(dimension, CODES))
+
+
+@pytest.fixture
+def small_buckets(monkeypatch):
+    monkeypatch.setattr(plans, "ROWS_PER_BUCKET", 400)
+
+
+def test_buckets_and_a_busy_id_give_the_same_matrix(inputs, small_buckets):
+    others, busy = plans.by_id(inputs.transactions)
+    assert [r.id for r in busy.select("id").distinct().collect()] == [0]
+    assert others.where("id = 0 or id is null").isEmpty()
+    assert others.count() + busy.count() == inputs.transactions.where("id is not null").count()
+    plain, grouped = (plans.fused_matrix(inputs, grouped=g).toPandas().set_index("id").sort_index() for g in (False, True))
+    assert list(plain.columns) == list(grouped.columns) and plain.index.equals(grouped.index)
+    assert ((plain.fillna(-1) - grouped.fillna(-1)).abs() < 1e-9).all().all()
+
+
+def test_no_transaction_is_shuffled_after_the_buckets(spark, inputs, small_buckets):
+    calm = Inputs(inputs.transactions.where("id <> 0"), inputs.labels, inputs.dimension)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        others, busy = plans.by_id(calm.transactions)
+        assert busy is None
+        table = plans.code_table(calm.dimension)
+        text = plans._features_by_id(others, table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "by_id" in text and "Exchange hashpartitioning(id" not in text
+
+
+def test_the_join_of_order_lines_is_written_once(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.sql("select 1L o_orderkey, 5L o_custkey").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("""select 1L l_orderkey, timestamp_ntz'2019-01-01 00:00:00' l_shipdate, 3L l_partkey, 2 l_linenumber, 'A' l_returnflag,
+                 'F' l_linestatus, 4L l_suppkey, 1.0D l_extendedprice""").write.parquet(f"{folder}/lineitem.parquet")
+    spark.sql("select 5L c_custkey, 1.0D c_acctbal, 1 c_nationkey").write.parquet(f"{folder}/customer.parquet")
+    made = inputs_from_orders(spark, folder)
+    for df in (made.transactions, made.dimension):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert made.transactions.first().id == 5 and made.dimension.count() == 1
