@@ -63,3 +63,20 @@ def test_the_join_of_order_lines_is_written_once(spark, tmp_path):
     for df in (made.transactions, made.dimension):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert made.transactions.first().id == 5 and made.dimension.count() == 1
+
+
+def test_learnable_labels_come_from_the_written_join(spark, tmp_path):
+    """Customer 1 has 40 lines, 2 has 39, 3 has 40 in two orders and is turned; 4 has none, 19 no label at all."""
+    folder = str(tmp_path)
+    lines = [(1, 40), (2, 39), (3, 15), (4, 25), (None, 60), (5, 50)]
+    orders = [(1, 1), (2, 2), (3, 3), (4, 3), (5, None), (None, 4)]
+    spark.createDataFrame([(c, 1) for c in (1, 2, 3, 4, 19, None)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(
+        f"{folder}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        [(o, i, i, i, "R", "F", 1.0, at("2019-01-01")) for o, n in lines for i in range(n)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, "
+        "l_extendedprice double, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    labels = inputs_from_orders(spark, folder, learnable=True).labels
+    assert {r.id: r.var_rpta for r in labels.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert not any(name in file for file in labels.inputFiles() for name in ("lineitem", "orders.parquet"))
