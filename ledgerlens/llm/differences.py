@@ -29,10 +29,12 @@ BROADCAST_GROUPS = 100_000
 
 
 def _groups(scratch: Scratch, members: DataFrame, keys: list[str]) -> DataFrame:
-    """``node`` and ``group`` of the nodes that shared keys connect."""
-    first = members.groupBy(*keys).agg(F.min("node").alias("a"))
-    edges = scratch.keep(members.join(first, keys).select("a", F.col("node").alias("b")).distinct(), "key_edges")
-    return connected_components(edges, scratch).withColumnRenamed("component", "group")
+    """``node``, ``component`` and ``group`` of the nodes; shared keys connect components to groups."""
+    first = members.groupBy(*keys).agg(F.min("component").alias("a"))
+    edges = scratch.keep(members.join(first, keys).select("a", F.col("component").alias("b")).where("a <> b").distinct(), "key_edges")
+    groups = connected_components(edges, scratch).toDF("component", "group")
+    return members.select("node", "component").distinct().join(groups, "component", "left").select(
+        "node", "component", F.coalesce("group", "component").alias("group"))
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -68,8 +70,7 @@ def possible_pairs(scratch: Scratch, sets: DataFrame, members: DataFrame, keys:
     linked by the first table or stands in the second.
     """
     groups = _groups(scratch, members, keys)
-    known = members.select("node", "component").distinct()
-    named = scratch.keep(sets.where(F.size("elements") > 0).join(groups, "node").join(known, "node").select(
+    named = scratch.keep(sets.where(F.size("elements") > 0).join(groups, "node").select(
         "node", "component", "group", F.xxhash64("elements").alias("print"), "elements").dropDuplicates(
         ["node", "print"]), "sets")
     differing = _differences(scratch, named, percent)

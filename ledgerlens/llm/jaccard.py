@@ -44,6 +44,8 @@ CUTS = 4
 # Texts of about so many characters are worked on at once.
 SLICE_CHARS = 750_000
 BUCKET_SHINGLES = 400_000
+# Slices whose signatures are dealt to the buckets together (about 450,000); of one slice, many buckets would get one or two each.
+PACKED_SLICES = 16
 # Bounds above this are not needed to tell pairs apart.
 MOST_SHARED = 100
 # Ids of candidates are sent to every task up to this number (8 bytes each).
@@ -238,29 +240,47 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_shingles", "print"])
 
 
+def _by_bucket(bits: int, value: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    bucket = (value & np.uint64((1 << bits) - 1)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+    bucket, value, ids, bounds = bucket[order], value[order], ids[order], bounds[order]
+    some, at = np.unique(bucket, return_index=True)
+    offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
+    low = (value >> np.uint64(bits)).astype(np.uint32).view(np.int32)
+    high = (value >> np.uint64(bits + 32)).astype(np.uint8).view(np.int8)
+    # Ids follow each other by small steps; where a step needs 64 bits, all of the batch have them.
+    steps = np.diff(ids, prepend=ids[:1])
+    steps[at] = 0
+    small = steps.astype(np.int32)
+    fits = bool((small == steps).all())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (low, high, bounds, small if fits else steps)]
+    none = pa.nulls(len(some), pa.list_(pa.int64() if fits else pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), *lists[:3], pa.array(ids[at]), *((lists[3], none) if fits else (none, lists[3]))],
+        ["bucket", "low", "high", "bounds", "first", "steps", "far_steps"])
+
+
 def _signature_rows(bits: int):
-    """Signatures packed by bucket: one row for each bucket and slice, 14 bytes a signature.
+    """Signatures packed by bucket: one row for each bucket and ``PACKED_SLICES``, 10 bytes a signature.
 
     There are 2 ** ``bits`` buckets; 40 further bits of a signature tell it apart in its own.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
             for begin, end in _slices(texts):
                 text, value, bounds = signatures(shingle_sets(texts[begin:end]))
-                bucket = (value & np.uint64((1 << bits) - 1)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, value, text = bucket[order], value[order], text[order]
-                some, at = np.unique(bucket, return_index=True)
-                offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
-                low = (value >> np.uint64(bits)).astype(np.uint32).view(np.int32)
-                high = (value >> np.uint64(bits + 32)).astype(np.uint8).view(np.int8)
-                lists = [pa.array(low), pa.array(high), pa.array(ids[begin:end][text]),
-                         pa.array(bounds[text].astype(np.int8))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
-                    ["bucket", "low", "high", "ids", "bounds"])
+                # In the order of the texts, as the ids of a table often ascend.
+                order = np.argsort(text, kind="stable")
+                text = text[order]
+                parts.append((value[order], ids[begin:end][text], bounds[text].astype(np.int8)))
+                if len(parts) >= PACKED_SLICES:
+                    yield _by_bucket(bits, *(np.concatenate(p) for p in zip(*parts)))
+                    parts = []
+        if parts:
+            yield _by_bucket(bits, *(np.concatenate(p) for p in zip(*parts)))
 
     return run
 
@@ -329,16 +349,17 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_bucket, parts, size, cut = -1, [], 0, False
     for batch in batches:
         buckets = batch.column(0).to_pylist()
-        lists = [batch.column(i) for i in range(1, 5)]
+        low, high, bounds, first, steps, far_steps = (batch.column(i) for i in range(1, 7))
         for row, bucket in enumerate(buckets):
             if parts and (bucket != open_bucket or size > BUCKET_BOUND):
                 cut = bucket == open_bucket or cut
                 yield flush(parts, not cut)
                 parts, size, cut = [], 0, cut and bucket == open_bucket
             open_bucket = bucket
-            low, high, ids, bounds = (c[row].values.to_numpy() for c in lists)
-            key = (np.int64(bucket) << 40) | (high.view(np.uint8).astype(np.int64) << 32) | low.view(np.uint32)
-            parts.append((key, ids, bounds))
+            ids = (steps if steps[row].is_valid else far_steps)[row].values.to_numpy().cumsum(dtype=np.int64) + first[row].as_py()
+            key = (np.int64(bucket) << 40) | (high[row].values.to_numpy().view(np.uint8).astype(np.int64) << 32) | (
+                low[row].values.to_numpy().view(np.uint32))
+            parts.append((key, ids, bounds[row].values.to_numpy()))
             size += len(key)
     if parts:
         yield flush(parts, not cut)
@@ -352,7 +373,8 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame,
     """
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     packed = texts.where("doc_id is not null").mapInArrow(
-        _signature_rows(bucket_bits(total)), "bucket int, low array<int>, high array<tinyint>, ids array<long>, bounds array<tinyint>")
+        _signature_rows(bucket_bits(total)), "bucket int, low array<int>, high array<tinyint>, bounds array<tinyint>, "
+        "first long, steps array<int>, far_steps array<long>")
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _colliding, "key long, node long, bound tinyint")
     several = not profiles.groupBy("doc_id").count().where("count > 1").isEmpty()

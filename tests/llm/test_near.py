@@ -245,3 +245,45 @@ def test_neighbours_odd_rows(spark, monkeypatch):
     again = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(table).orderBy("rank").collect()]
     assert again == got
     assert neighbours.nearest(table.limit(0)).count() == 0
+
+
+def test_components_go_on_with_open_edges_only(spark, monkeypatch):
+    """A group in which each of 40 nodes is linked with many of the others, and a path."""
+    sizes, keep = [], Scratch.keep
+
+    def counted(scratch, df, name):
+        kept = keep(scratch, df, name)
+        if name == "edges":
+            sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    edges = spark.createDataFrame(
+        [(a, b) for a in range(40) for b in range(a) if (a + b) % 3] + [(i, i + 1) for i in range(100, 140)] + [(None, 3)],
+        "a long, b long")
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in connected_components(edges, scratch).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: 100 for i in range(100, 141)}
+    assert sizes[-1] == 0 and all(later < earlier for earlier, later in zip(sizes, sizes[1:])) and sum(sizes) < 2 * sizes[0]
+
+
+def test_signatures_of_many_slices_share_rows(monkeypatch):
+    """Ids in no order and far apart come back as they were, in one row for each bucket."""
+    ids = [2 ** 62, -2 ** 62, 5, 2 ** 62, 7]
+    texts = [" ".join(f"w{i // 2}_{j}" for j in range(60)).encode() for i in range(5)]
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(ids), jaccard.pa.array(texts)], ["doc_id", "text"])
+    near = batch.set_column(0, "doc_id", jaccard.pa.array([1, 2, 3, 4, 5]))
+    monkeypatch.setattr(jaccard, "SLICE_CHARS", 1)
+    for some in (batch, near):
+        packed, = jaccard._signature_rows(2)(iter([some, some.slice(0, 0)]))
+        assert packed.num_rows == 4
+        met = [b.to_pydict() for b in jaccard._colliding(iter([packed]))]
+        nodes = some.column(0).to_pylist()
+        assert sorted({n for b in met for n in b["node"]}) == sorted({n for n in nodes[:4]})
+        sets = jaccard.shingle_sets(texts)
+        at, value, _ = jaccard.signatures(sets)
+        of = {}
+        for i, v in zip(at.tolist(), value.tolist()):
+            of.setdefault(v, []).append(nodes[i])
+        shared = sorted(n for v in of.values() if len(v) > 1 for n in v)
+        assert sorted(n for b in met for n in b["node"]) == shared
