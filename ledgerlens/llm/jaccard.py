@@ -390,6 +390,15 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame,
     return scratch.keep(counted.where("n > 1").drop("n"), "owned")
 
 
+def _near_sizes(scratch: Scratch, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs whose sizes are near enough, so that signatures and shingles of the others are not sent."""
+    sizes = profiles.where("n_shingles > 0").select("doc_id", "n_shingles").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"size_{end}")), end)
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
+    return scratch.keep(pairs.where(near).select("a", "b").distinct(), "near_sizes")
+
+
 def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs that share as many signatures as either bound asks for."""
     one = bags.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("bound").alias("bound_a"))
@@ -399,6 +408,16 @@ def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame
     return scratch.keep(both.select("a", "b"), "promising")
 
 
+def _bounded(members: DataFrame, bags: DataFrame) -> DataFrame:
+    """The members with as many open keys as their bound asks for.
+
+    All keys that two similar sets share are open until the two are compared or connected.
+    """
+    enough = members.groupBy("node").agg(F.count("*").alias("n")).join(bags.select("node", "bound"), "node").where(
+        F.col("n") >= F.col("bound")).select("node")
+    return members.join(enough, "node", "left_semi")
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -433,17 +452,18 @@ def _linked_components(scratch: Scratch, texts: DataFrame, profiles: DataFrame)
     firsts = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("first")), "firsts")
     copies = scratch.keep(sets.join(firsts, "print").where("doc_id <> first").select("doc_id", "first"), "copies")
     owned = _shared_signatures(scratch, texts, profiles, firsts, copies)
-    # A bag holds no more keys than its text has signatures.
+    # A bag holds no more keys than its text has signatures; one that holds fewer than its bound is similar to none.
     bags = scratch.keep(owned.groupBy("node").agg(
-        F.collect_list("key").alias("keys"), F.min("bound").alias("bound")), "bags")
-    members = placed_members(scratch, owned.select("key", "node"), ["key"])
+        F.collect_list("key").alias("keys"), F.min("bound").alias("bound")).where(F.size("keys") >= F.col("bound")), "bags")
+    members = placed_members(scratch, bags.select(
+        F.explode("keys").alias("key"), "node", F.size("keys").alias("fame")), ["key"])
     links = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(scratch, texts, _promising(scratch, pairs, bags))
+        return _verified(scratch, texts, _promising(scratch, _near_sizes(scratch, pairs, profiles), bags))
 
     def hopeful(open_members: DataFrame) -> DataFrame:
-        return _hopeful(scratch, texts, profiles, open_members)
+        return _hopeful(scratch, texts, profiles, scratch.keep(_bounded(open_members, bags), "bounded"))
 
     def narrow(open_members: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = scratch.keep(open_members.select(F.col("node").alias("doc_id")).distinct(), "nodes")

@@ -14,16 +14,17 @@ MORE_HUBS = 32
 
 
 def placed_members(scratch: Scratch, members: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``node`` and ``place`` for the keys that several nodes share.
+    """``keys``, ``node``, ``place``, ``n`` and ``hub`` for the keys that several nodes share.
 
-    ``members`` has distinct (``keys``, ``node``) rows. ``place`` orders the nodes of a key by
-    how many keys they have; the node in the middle of a group of near copies comes first.
+    ``members`` has distinct (``keys``, ``node``) rows with ``fame``, how many keys the node has.
+    ``place`` orders the nodes of a key by it; the node in the middle of a group of near copies comes first.
+    ``n`` counts them and ``hub`` is the first.
     """
-    fame = members.groupBy("node").agg(F.count("*").alias("fame"))
     by_fame = Window.partitionBy(*keys).orderBy(F.desc("fame"), "node")
-    placed = members.join(fame, "node").withColumns({
-        "place": F.row_number().over(by_fame), "n": F.count("*").over(Window.partitionBy(*keys))})
-    return scratch.keep(placed.where("n > 1").drop("n", "fame"), "open")
+    placed = members.withColumns({
+        "place": F.row_number().over(by_fame), "n": F.count("*").over(Window.partitionBy(*keys)),
+        "hub": F.first("node").over(by_fame)})
+    return scratch.keep(placed.where("n > 1").drop("fame"), "open")
 
 
 def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -48,13 +49,16 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     labels = connected_components(links, scratch)
     compared: list[DataFrame] = []
     begin, width = 1, 1
+    pairs = _first_pairs(members, labels)
+    members = members.drop("hub")
     while not members.isEmpty():
-        named = with_components(members, labels)
-        hubs = named.where((F.col("place") >= begin) & (F.col("place") < begin + width)).select(
-            *keys, F.col("node").alias("hub"), F.col("place").alias("hub_place"),
-            F.col("component").alias("hub_component"))
-        pairs = named.join(hubs, keys).where("place > hub_place and component <> hub_component").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        if begin > 1:
+            named = with_components(members, labels)
+            hubs = named.where((F.col("place") >= begin) & (F.col("place") < begin + width)).select(
+                *keys, F.col("node").alias("hub"), F.col("place").alias("hub_place"),
+                F.col("component").alias("hub_component"))
+            pairs = named.join(hubs, keys).where("place > hub_place and component <> hub_component").select(
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         # A pair that shares several keys is compared once; refuted pairs are not met again.
         for before in compared:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
@@ -75,8 +79,19 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     return labels
 
 
+def _first_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each node and the first of each of its keys, once, unless they are connected."""
+    met = members.where("place > 1").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    for end in ("a", "b"):
+        met = met.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    return met.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
 def _unsettled(scratch: Scratch, members: DataFrame, keys: list[str], labels: DataFrame, begin: int) -> DataFrame:
     """Members of the keys with different components and a place from ``begin`` on behind the first."""
+    # Keys of no more nodes are settled, whatever the components.
+    members = members.where(F.col("n") > begin)
     unsettled = with_components(members, labels).groupBy(*keys).agg(
         F.max("place").alias("last"), F.min("component").alias("least"), F.max("component").alias("most")
     ).where((F.col("last") > begin) & (F.col("least") < F.col("most"))).select(*keys)

@@ -138,7 +138,9 @@ def _candidates(scratch: Scratch, places: DataFrame) -> DataFrame:
     entries = places.groupBy("node").agg(F.first("bands").alias("bands"))
     bands = scratch.keep(entries.select("node", F.explode("bands").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return placed_members(scratch, scratch.keep(bands.join(shared, "band").select("band", "node"), "shared"), ["band"])
+    met = scratch.keep(bands.join(shared, "band").select("band", "node"), "shared")
+    fame = met.groupBy("node").agg(F.count("*").alias("fame"))
+    return placed_members(scratch, met.join(fame, "node"), ["band"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from llm_frames import LONG, ODD_TEXTS, PROSE, components, documents, empty_documents, odd_documents, shingles, similar
 
 import __spark_entry__ as entry
-from ledgerlens.llm import differences, jaccard, neighbours, substring
+from ledgerlens.llm import differences, jaccard, neighbours, settling, substring
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.session import Scratch
@@ -287,3 +287,29 @@ def test_signatures_of_many_slices_share_rows(monkeypatch):
             of.setdefault(v, []).append(nodes[i])
         shared = sorted(n for v in of.values() if len(v) > 1 for n in v)
         assert sorted(n for b in met for n in b["node"]) == shared
+
+
+def test_open_members_need_as_many_keys_as_their_bound(spark):
+    members = spark.createDataFrame([(k, n) for n, keys in ((1, (1, 2, 3)), (2, (1, 2, 3)), (3, (1,))) for k in keys], "key long, node long")
+    bags = spark.createDataFrame([(1, [1, 2, 3], 3), (2, [1, 2, 3, 4], 4), (3, [1], 1)], "node long, keys array<long>, bound int")
+    assert {r.node for r in jaccard._bounded(members, bags).collect()} == {1, 3}
+
+
+def test_pairs_of_far_sizes_are_left_out_first(spark):
+    profiles = spark.createDataFrame([(1, 100), (2, 80), (3, 79), (4, 10), (4, 100), (5, 0), (None, 100)], "doc_id long, n_shingles long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (3, 4), (1, 5)], "a long, b long")
+    with Scratch(spark) as scratch:
+        assert sorted(map(tuple, jaccard._near_sizes(scratch, pairs, profiles).collect())) == [(1, 2), (1, 4)]
+
+
+def test_first_pairs_are_met_once_and_only_between_components(spark):
+    rows = [(k, n) for k, nodes in ((10, (1, 2, 3)), (11, (1, 2, 3)), (12, (3, 4)), (13, (5,))) for n in nodes]
+    fame = {1: 3, 2: 2, 3: 3, 4: 1, 5: 1}
+    members = spark.createDataFrame([(k, n, fame[n]) for k, n in rows], "key long, node long, fame long")
+    labels = spark.createDataFrame([(2, 1), (1, 1)], "node long, component long")
+    with Scratch(spark) as scratch:
+        placed = settling.placed_members(scratch, members, ["key"])
+        assert {(r.key, r.n, r.hub) for r in placed.collect()} == {(10, 3, 1), (11, 3, 1), (12, 2, 3)}
+        assert sorted(map(tuple, settling._first_pairs(placed, labels).collect())) == [(1, 3), (3, 4)]
+        left = settling._unsettled(scratch, placed.drop("hub"), ["key"], labels, 2)
+        assert {r.key for r in left.collect()} == {10, 11}
