@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.llm.names import free_name
 from ledgerlens.llm.settling import placed_members, settle, with_components
-from ledgerlens.session import Scratch, materialize
+from ledgerlens.session import Scratch, arrow_batches, materialize
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -52,6 +52,7 @@ MOST_SHARED = 100
 BROADCAST_IDS = 500_000
 # Working-memory bounds of one task; results do not depend on them.
 BUCKET_BOUND = 2_000_000
+BATCH_ROWS = 1_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -483,7 +484,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     must share.
     """
     texts = _as_bytes(docs, id_col, text_col)
-    with Scratch(docs.sparkSession) as scratch:
+    with arrow_batches(docs.sparkSession, BATCH_ROWS), Scratch(docs.sparkSession) as scratch:
         profiles = scratch.keep(
             texts.mapInArrow(_profiles, "doc_id long, n_shingles long, print binary"), "profiles")
         labels = _linked_components(scratch, texts, profiles)

@@ -3,12 +3,13 @@
 import numpy as np
 import pytest
 from llm_frames import LONG, ODD_TEXTS, PROSE, components, documents, empty_documents, odd_documents, shingles, similar
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerlens.llm import differences, jaccard, neighbours, settling, substring
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.differences import possible_pairs
-from ledgerlens.session import Scratch
+from ledgerlens.session import BATCH_KEY, Scratch
 
 DATA = "/root/testdata/sf0.01"
 
@@ -313,3 +314,12 @@ def test_first_pairs_are_met_once_and_only_between_components(spark):
         assert sorted(map(tuple, settling._first_pairs(placed, labels).collect())) == [(1, 3), (3, 4)]
         left = settling._unsettled(scratch, placed.drop("hub"), ["key"], labels, 2)
         assert {r.key for r in left.collect()} == {10, 11}
+
+
+def test_join_sends_small_batches_and_puts_the_setting_back(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "_linked_components", lambda scratch, texts, profiles: (
+        seen.append(spark.conf.get(BATCH_KEY)), profiles.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")))[1])
+    before = spark.conf.get(BATCH_KEY)
+    jaccard.jaccard_components(documents(spark, ["a b c"]))
+    assert int(seen[0]) == jaccard.BATCH_ROWS and spark.conf.get(BATCH_KEY) == before
