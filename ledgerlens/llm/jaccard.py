@@ -54,6 +54,9 @@ BROADCAST_IDS = 500_000
 BUCKET_BOUND = 2_000_000
 BATCH_ROWS = 1_000
 
+# Stands for a step between ids that one byte cannot hold.
+FAR_STEP = -128
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,23 +251,25 @@ def _by_bucket(bits: int, value: np.ndarray, ids: np.ndarray, bounds: np.ndarray
     some, at = np.unique(bucket, return_index=True)
     offsets = pa.array(np.append(at, len(bucket)).astype(np.int32))
     low = (value >> np.uint64(bits)).astype(np.uint32).view(np.int32)
-    high = (value >> np.uint64(bits + 32)).astype(np.uint8).view(np.int8)
-    # Ids follow each other by small steps; where a step needs 64 bits, all of the batch have them.
+    # Ids follow each other by small steps of one byte; the others stand in a list of their own.
     steps = np.diff(ids, prepend=ids[:1])
     steps[at] = 0
-    small = steps.astype(np.int32)
-    fits = bool((small == steps).all())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (low, high, bounds, small if fits else steps)]
-    none = pa.nulls(len(some), pa.list_(pa.int64() if fits else pa.int32()))
+    far = np.abs(steps.astype(np.float64)) >= -FAR_STEP
+    small = np.where(far, FAR_STEP, steps).astype(np.int8)
+    far_offsets = pa.array(np.append(0, np.cumsum(far))[np.append(at, len(bucket))].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (low, bounds, small)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), *lists[:3], pa.array(ids[at]), *((lists[3], none) if fits else (none, lists[3]))],
-        ["bucket", "low", "high", "bounds", "first", "steps", "far_steps"])
+        [pa.array(some, pa.int32()), *lists[:2], pa.array(ids[at]), lists[2],
+         pa.ListArray.from_arrays(far_offsets, pa.array(steps[far]))],
+        ["bucket", "low", "bounds", "first", "steps", "far_steps"])
 
 
 def _signature_rows(bits: int):
-    """Signatures packed by bucket: one row for each bucket and ``PACKED_SLICES``, 10 bytes a signature.
+    """Signatures packed by bucket: one row for each bucket and ``PACKED_SLICES``, 6 bytes a signature.
 
-    There are 2 ** ``bits`` buckets; 40 further bits of a signature tell it apart in its own.
+    There are 2 ** ``bits`` buckets; 32 further bits of a signature tell it apart in its own. As buckets
+    do not grow with the input, the share of those that differ and pass for equal, about one in 10,000,
+    does not either; they only propose a pair more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -350,16 +355,17 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_bucket, parts, size, cut = -1, [], 0, False
     for batch in batches:
         buckets = batch.column(0).to_pylist()
-        low, high, bounds, first, steps, far_steps = (batch.column(i) for i in range(1, 7))
+        low, bounds, first, steps, far_steps = (batch.column(i) for i in range(1, 6))
         for row, bucket in enumerate(buckets):
             if parts and (bucket != open_bucket or size > BUCKET_BOUND):
                 cut = bucket == open_bucket or cut
                 yield flush(parts, not cut)
                 parts, size, cut = [], 0, cut and bucket == open_bucket
             open_bucket = bucket
-            ids = (steps if steps[row].is_valid else far_steps)[row].values.to_numpy().cumsum(dtype=np.int64) + first[row].as_py()
-            key = (np.int64(bucket) << 40) | (high[row].values.to_numpy().view(np.uint8).astype(np.int64) << 32) | (
-                low[row].values.to_numpy().view(np.uint32))
+            moves = steps[row].values.to_numpy().astype(np.int64)
+            moves[moves == FAR_STEP] = far_steps[row].values.to_numpy()
+            ids = moves.cumsum() + first[row].as_py()
+            key = (np.int64(bucket) << 32) | low[row].values.to_numpy().view(np.uint32)
             parts.append((key, ids, bounds[row].values.to_numpy()))
             size += len(key)
     if parts:
@@ -374,8 +380,8 @@ def _shared_signatures(scratch: Scratch, texts: DataFrame, profiles: DataFrame,
     """
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     packed = texts.where("doc_id is not null").mapInArrow(
-        _signature_rows(bucket_bits(total)), "bucket int, low array<int>, high array<tinyint>, bounds array<tinyint>, "
-        "first long, steps array<int>, far_steps array<long>")
+        _signature_rows(bucket_bits(total)), "bucket int, low array<int>, bounds array<tinyint>, first long, "
+        "steps array<tinyint>, far_steps array<long>")
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _colliding, "key long, node long, bound tinyint")
     several = not profiles.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -402,6 +408,10 @@ def _near_sizes(scratch: Scratch, pairs: DataFrame, profiles: DataFrame) -> Data
 
 def _promising(scratch: Scratch, pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs that share as many signatures as either bound asks for."""
+    nodes = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "paired")
+    if nodes.count() <= BROADCAST_IDS:
+        # So that signatures of the others are not sent.
+        bags = bags.join(F.broadcast(nodes), "node", "left_semi")
     one = bags.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("bound").alias("bound_a"))
     two = bags.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("bound").alias("bound_b"))
     shared = F.size(F.array_intersect("keys_a", "keys_b"))

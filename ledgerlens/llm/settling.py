@@ -39,8 +39,9 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     """``node``, ``component`` of all linked nodes.
 
     ``members`` comes from ``placed_members``; ``links`` (``a``, ``b``) are known before;
-    ``verify`` keeps those of the pairs (``a``, ``b``) that are links. The first node of each
-    key is compared with the others, then the next 32, the next 1024 and so on, each only
+    ``verify`` keeps those of the pairs (``a``, ``b``) that are links. Each node is compared with
+    the node that is the first of most of its keys, then with the first of its other keys; then the next 32
+    of each key are compared with those behind them, the next 1024 and so on, each only
     with nodes that no link found so far connects with it, until every key is settled: its
     nodes are all connected or all compared. Between rounds ``hopeful`` may leave out members
     that cannot be linked to any other. With ``narrow`` there is one round of first nodes only;
@@ -49,6 +50,14 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     labels = connected_components(links, scratch)
     compared: list[DataFrame] = []
     begin, width = 1, 1
+    if not members.isEmpty():
+        # What these connect need not be compared with the first nodes of its other keys.
+        best = scratch.keep(_best_pairs(members, labels), "best_pairs")
+        compared.append(best)
+        found = verify(best)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = connected_components(links, scratch)
     pairs = _first_pairs(members, labels)
     members = members.drop("hub")
     while not members.isEmpty():
@@ -74,15 +83,29 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
             members = _unsettled(scratch, scratch.keep(hopeful(members), "hopeful"), keys, labels, begin)
         if narrow is not None and not members.isEmpty():
             certain, left = narrow(scratch.keep(with_components(members, labels), "narrowed"))
-            left = scratch.keep(left.join(pairs, ["a", "b"], "left_anti"), "left")
+            for before in compared:
+                left = left.join(before, ["a", "b"], "left_anti")
+            left = scratch.keep(left, "left")
             return connected_components(links.union(certain).union(verify(left)), scratch)
     return labels
 
 
 def _first_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Each node and the first of each of its keys, once, unless they are connected."""
-    met = members.where("place > 1").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return _between(members.where("place > 1").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), labels)
+
+
+def _best_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each node and the one that is the first of most of its keys, unless they are connected."""
+    met = members.where("place > 1").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
+    return _between(best.select(
+        F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct(), labels)
+
+
+def _between(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of nodes that are not connected."""
     for end in ("a", "b"):
         met = met.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
     return met.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")

@@ -323,3 +323,34 @@ def test_join_sends_small_batches_and_puts_the_setting_back(spark, monkeypatch):
     before = spark.conf.get(BATCH_KEY)
     jaccard.jaccard_components(documents(spark, ["a b c"]))
     assert int(seen[0]) == jaccard.BATCH_ROWS and spark.conf.get(BATCH_KEY) == before
+
+
+def test_signatures_of_far_ids_take_few_bytes(monkeypatch):
+    """A step between ids takes a byte however many buckets there are, and far steps come back."""
+    ids = [1, 100, 2 ** 62, 2 ** 62 + 127, 2 ** 62 + 255, -2 ** 62, -2 ** 62 - 1, 130]
+    texts = [" ".join(f"w{j}" for j in range(60)).encode() for _ in ids]
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(ids), jaccard.pa.array(texts)], ["doc_id", "text"])
+    packed, = jaccard._signature_rows(3)(iter([batch]))
+    steps, far = packed.column("steps"), packed.column("far_steps")
+    assert steps.type == jaccard.pa.list_(jaccard.pa.int8())
+    assert all(len(f) == s.as_py().count(jaccard.FAR_STEP) for s, f in zip(steps, far.to_pylist()))
+    assert {n for b in jaccard._colliding(iter([packed])) for n in b["node"].to_pylist()} == set(ids)
+
+
+def test_nodes_meet_the_first_node_of_most_of_their_keys_first(spark):
+    """Node 9 shares three keys with 1 and one with 2, and is linked with 1, as is 2: 2 and 9 are never compared."""
+    rows = [(k, n) for k, nodes in ((10, (1, 2, 9)), (11, (1, 9)), (12, (1, 9)), (13, (2, 9))) for n in nodes]
+    fame = {1: 30, 2: 20, 9: 10}
+    members = spark.createDataFrame([(k, n, fame[n]) for k, n in rows], "key long, node long, fame long")
+    none = spark.createDataFrame([], "a long, b long")
+    asked = []
+
+    def verify(pairs):
+        asked.append(sorted(map(tuple, pairs.collect())))
+        return pairs
+
+    with Scratch(spark) as scratch:
+        placed = settling.placed_members(scratch, members, ["key"])
+        labels = settling.settle(scratch, placed, ["key"], none, verify)
+        assert {r.node: r.component for r in labels.collect()} == {1: 1, 2: 1, 9: 1}
+    assert asked[0] == [(1, 2), (1, 9)] and (2, 9) not in [p for pairs in asked for p in pairs]
