@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from math import exp, sqrt
 
 import numpy as np
@@ -80,11 +81,21 @@ class ShingleSets:
         return np.concatenate([[0], np.cumsum(self.sizes)])
 
 
+def _order(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """By owner, then hash; one sort by both where their first bits tell all hashes apart, else one by each."""
+    if len(owner) and owner.max() < 1 << 24:
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+        sorted_hashes, sorted_owner = hashes[order], owner[order]
+        if not ((sorted_hashes[1:] < sorted_hashes[:-1]) & (sorted_owner[1:] == sorted_owner[:-1])).any():
+            return order
+    return np.lexsort((hashes, owner))
+
+
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE_WORDS) -> ShingleSets:
     cut = [(t or b"").lower().split() for t in texts]
     counts = np.array([len(w) for w in cut], np.int64)
     total = int(counts.sum())
-    words = np.fromiter((h for w in cut for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, total)
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(cut)), np.uint64, total)
     doc = np.repeat(np.arange(len(texts)), counts)
     n = max(total - k + 1, 0)
     rolled = np.zeros(n, np.uint64)
@@ -98,7 +109,7 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE_WORDS) -> ShingleSe
         whole = [np.uint64(xxhash.xxh3_64_intdigest(words[begin[i]:begin[i + 1]].tobytes(), seed=1)) for i in short]
         hashes = np.concatenate([hashes, np.array(whole, np.uint64)])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
+    order = _order(hashes, owner)
     hashes, owner = hashes[order], owner[order]
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])

@@ -19,8 +19,9 @@ places count once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,15 @@ SLICE_CHARS = 750_000
 # The filter of anchors has 16 to 32 bits for each, within these powers of two; results do not depend on it.
 FILTER_BITS = (16, 27)
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Bytes of a word that are hashed by sums.
+SHORT_WORD = 32
+
 _FACTOR = 0x9E3779B97F4A7C15
 _BACK = pow(_FACTOR, -1, 2 ** 64)
+# A number for every byte, the same for both cases of an ASCII letter; 0 for white space.
+_LETTERS = np.random.default_rng(29).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B]
+_LETTERS[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -59,48 +66,112 @@ def _runs(sums: np.ndarray, back: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:n]) * back[:n])
 
 
-def windows_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of every window: the text, the first word in it, its hash, the place of its anchor, and its anchor."""
-    cut = [(t or "").encode().lower().split() for t in texts]
-    counts = np.array([len(w) for w in cut], np.int64)
-    total = int(counts.sum())
+@lru_cache(maxsize=2)
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(base, 1 << 20)
+
+
+def _first_powers(base: int, n: int) -> np.ndarray:
+    """The powers from 0 to n - 1; those for a usual slice are made once."""
+    return _kept_powers(base)[:n] if n <= 1 << 20 else _powers(base, n)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values = np.minimum(values[:len(values) - step], values[step:])
+        span += step
+    return values
+
+
+@dataclass
+class Windows:
+    """Words and windows of several texts, in bytes as the texts stand one after the other.
+
+    ``begin`` is the byte where a text begins, ``first`` its first word, ``start`` and ``end`` are those of
+    every word, ``sums`` of word hashes times power. A window has its text (``owner``), its first word (``at``)
+    and its anchor.
+    """
+
+    raw: np.ndarray
+    begin: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    sums: np.ndarray
+    owner: np.ndarray
+    at: np.ndarray
+    anchor: np.ndarray
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """The hashes of the windows that begin at these words."""
+        back = _first_powers(_BACK, len(self.sums))
+        return _mix((self.sums[at + PASSAGE_WORDS] - self.sums[at]) * back[at])
+
+    def places(self) -> np.ndarray:
+        """The number of code points before every byte."""
+        return np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+
+
+def _word_hashes(data: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of every word from its bytes times power; long words, for which that is weaker, have another one."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * _first_powers(_FACTOR, len(raw)))])
+    words = _mix((sums[end] - sums[start]) * _first_powers(_BACK, len(raw))[start])
+    for i in np.flatnonzero(end - start > SHORT_WORD).tolist():
+        words[i] = xxhash.xxh3_64_intdigest(data[start[i]:end[i]].lower())
+    return words
+
+
+def windows_of(texts: list[bytes | None]) -> Windows:
+    data = b"".join(part for t in texts for part in (t or b"", b" "))
+    raw = np.frombuffer(data, np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])[:-1].astype(np.int64)
+    edges = np.diff((_LETTERS != 0)[raw].view(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    words = _word_hashes(data, raw, start, end)
+    first, total = np.searchsorted(start, begin), len(words)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _first_powers(_FACTOR, total))])
     if total < PASSAGE_WORDS:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    words = np.fromiter((h for w in cut for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, total)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_FACTOR, total))])
-    back = _powers(_BACK, total)
-    anchors = _runs(sums, back, ANCHOR_WORDS)
-    n = total - PASSAGE_WORDS + 1
-    best, place = anchors[:n].copy(), np.arange(n)
-    for i in range(1, PASSAGE_WORDS - ANCHOR_WORDS + 1):
-        less = anchors[i:i + n] < best
-        best[less] = anchors[i:i + n][less]
-        place[less] = np.flatnonzero(less) + i
-    owner = np.repeat(np.arange(len(texts)), counts)
-    inside = owner[:n] == owner[PASSAGE_WORDS - 1:]
-    owner, begin = owner[:n][inside], np.concatenate([[0], np.cumsum(counts)[:-1]])
-    return (owner, np.flatnonzero(inside) - begin[owner], _runs(sums, back, PASSAGE_WORDS)[inside],
-            place[inside], best[inside])
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str | None]]]:
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        none = np.zeros(0, np.int64)
+        return Windows(raw, begin, first, start, end, sums, none, none, np.zeros(0, np.uint64))
+    anchors = _runs(sums, _first_powers(_BACK, total), ANCHOR_WORDS)
+    least = _least(anchors, PASSAGE_WORDS - ANCHOR_WORDS + 1)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, total)))
+    at = np.flatnonzero(owner[:total - PASSAGE_WORDS + 1] == owner[PASSAGE_WORDS - 1:])
+    return Windows(raw, begin, first, start, end, sums, owner[at], at, least[at])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
+    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
     begin = size = 0
     for i, text in enumerate(texts):
-        if i > begin and size + len(text or "") > SLICE_CHARS:
+        if i > begin and size + len(text or b"") > SLICE_CHARS:
             yield ids[begin:i], texts[begin:i]
             begin, size = i, 0
-        size += len(text or "")
+        size += len(text or b"")
     if begin < len(texts):
         yield ids[begin:], texts[begin:]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor of each stretch of windows that have the same; twice if the stretch has several places of it.
+
+    Windows with one place of an anchor are at most ``PASSAGE_WORDS - ANCHOR_WORDS + 1``. In a
+    stretch of no more, no window repeats another that it does not overlap.
+    """
     for batch in batches:
         for _, texts in _slices(batch):
-            *_, place, anchor = windows_of(texts)
-            first = np.unique(place, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64))], ["anchor"])
+            found = windows_of(texts)
+            anchor, owner = found.anchor, found.owner
+            change = np.ones(len(anchor), bool)
+            change[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+            begin = np.flatnonzero(change)
+            several = np.diff(np.append(begin, len(anchor))) > PASSAGE_WORDS - ANCHOR_WORDS + 1
+            once = anchor[begin]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([once, once[several]]).view(np.int64))], ["anchor"])
 
 
 def _gathered(bits: int, filled):
@@ -114,29 +185,31 @@ def _gathered(bits: int, filled):
         table = filled.value
         for batch in batches:
             for ids, texts in _slices(batch):
-                owner, word, key, _, anchor = windows_of(texts)
-                slot = (anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
+                found = windows_of(texts)
+                slot = (found.anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
                 hit = (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-                owner, word, key = owner[hit], word[hit], key[hit]
-                if not len(key):
+                owner, at_word = found.owner[hit], found.at[hit]
+                if not len(owner):
                     continue
-                start, end = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-                edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-                for i in np.unique(owner).tolist():
-                    part = slice(edges[i], edges[i + 1])
-                    spans = np.array([m.span() for m in _WORD.finditer(texts[i])], np.int64)
-                    start[part] = spans[word[part], 0]
-                    end[part] = spans[word[part] + PASSAGE_WORDS - 1, 1]
+                key, word = found.keys(at_word), at_word - found.first[owner]
+                places, zero = found.places(), found.begin[owner]
+                start = places[found.start[at_word]] - places[zero]
+                end = places[found.end[at_word + PASSAGE_WORDS - 1]] - places[zero]
                 at = (word << 32) | start
-                order = np.lexsort((word, key, owner))
-                same = np.zeros(len(order), bool)
-                same[1:] = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-                first = np.empty(len(order), np.int64)
-                first[order] = head
-                later = first != np.arange(len(order))
+                first = np.arange(len(key))
+                # Only where a text may have a window twice, its windows are put in order.
+                mixed = key ^ _mix(owner.astype(np.uint64) * np.uint64(_FACTOR))
+                ranked = np.sort(mixed)
+                twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+                some = np.flatnonzero(np.isin(mixed, twice)) if len(twice) else np.zeros(0, np.int64)
+                if len(some):
+                    order = some[np.lexsort((word[some], key[some], owner[some]))]
+                    same = np.zeros(len(order), bool)
+                    same[1:] = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+                    first[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                later = first != np.arange(len(key))
                 apart = later & (word >= word[first] + PASSAGE_WORDS)
-                own = np.full(len(order), -1, np.int64)
+                own = np.full(len(key), -1, np.int64)
                 own[first[apart]] = -2
                 own[apart] = at[first[apart]]
                 spread = _mix(key + (ids[owner].astype(np.uint64) * np.uint64(_BACK)) + at.view(np.uint64) * np.uint64(_FACTOR))

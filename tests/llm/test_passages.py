@@ -84,3 +84,33 @@ def test_passages_odd_rows(spark, monkeypatch):
     kept = passages.without_passages(docs)
     assert set(kept.columns) == set(docs.columns) and kept.count() == docs.count()
     assert passages.repeated_passages(empty_documents(spark)).count() == 0
+
+
+def _batch(texts):
+    return passages.pa.RecordBatch.from_arrays(
+        [passages.pa.array(range(len(texts))), passages.pa.array(texts, passages.pa.string())], ["doc_id", "text"])
+
+
+def test_words_are_hashed_and_placed_without_a_match_for_each():
+    """Words as the pattern finds them; equal ones, in either case, have equal hashes, others do not."""
+    texts = ["é Ab aB\x0bab\tba \x1c b\xa0c " + "w" * 40 + " " + "W" * 40 + " " + "w" * 39 + "v", None, "", " ", "ba AB"]
+    found = passages.windows_of([t and t.encode() for t in texts])
+    data = found.raw.tobytes()
+    words = [data[a:b].decode() for a, b in zip(found.start, found.end)]
+    assert words == [w for t in texts for w in WORD.findall(t or "")]
+    hashes = passages._word_hashes(data, found.raw, found.start, found.end).tolist()
+    plain = [w.encode().lower() for w in words]
+    assert len(set(zip(plain, hashes))) == len(set(plain)) == len(set(hashes))
+    place = found.places()
+    spans = [(place[a] - place[found.begin[0]], place[b] - place[found.begin[0]]) for a, b in zip(found.start, found.end)]
+    assert spans[:found.first[1]] == [m.span() for m in WORD.finditer(texts[0])]
+
+
+def test_anchors_stand_once_for_each_stretch():
+    """Stretches of windows with one anchor give a row; those with several places of it two, however many."""
+    plain, periodic = " ".join(map(str, range(400))), " ".join(map(str, list(range(13)) * 60))
+    for text, rows in ((plain, None), (periodic, 2)):
+        anchors = [a for b in passages._anchors(iter([_batch([text])])) for a in b["anchor"].to_pylist()]
+        found = passages.windows_of([text.encode()])
+        assert set(anchors) == set(found.anchor.view("int64").tolist())
+        assert len(anchors) == (rows or len(set(anchors)))
