@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlens.llm import jaccard, mixing, pieces, pii, toxicity
 from ledgerlens.llm.names import columns
 from ledgerlens.llm.shipping import ship_code
-from ledgerlens.session import materialize
+from ledgerlens.session import arrow_batches, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Whole texts go to Python so many rows at once; results do not depend on it.
+BATCH_ROWS = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     ship_code(spark)
-    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with arrow_batches(spark, BATCH_ROWS):
+        clean = toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        # Written here, as the size of a batch is that of the session when the rows are made.
+        return materialize(clean, "clean")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by the name of its kind; ``n_chars`` follows."""
     ship_code(spark)
-    found = pii.find_pii(docs).withColumns(
-        {"text": F.col("pii_redacted"), "n_chars": F.length("pii_redacted").cast("long")})
-    return found.select(*columns(docs.columns))
+    with arrow_batches(spark, BATCH_ROWS):
+        found = pii.find_pii(docs).withColumns(
+            {"text": F.col("pii_redacted"), "n_chars": F.length("pii_redacted").cast("long")})
+        return materialize(found.select(*columns(docs.columns)), "redacted")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
     ship_code(spark)
-    return pieces.encode_documents(docs)
+    with arrow_batches(spark, BATCH_ROWS):
+        return materialize(pieces.encode_documents(docs), "encoded")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -53,6 +60,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encode),
 ]
 
+# The stages that write their rows themselves.
+WRITTEN = ("toxicity", "pii", "sentencepiece")
+
 # Trained models decide in several stages, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
@@ -60,8 +70,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each over a written table of its predecessor's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
+        if name not in WRITTEN:
             docs = materialize(docs, name)
     return docs

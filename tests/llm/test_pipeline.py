@@ -1,10 +1,10 @@
 """The pipeline: every stage over odd rows, and the whole of it over the given tables."""
 
 import corpus_pipeline
-from llm_frames import empty_documents, odd_documents, shingles, similar
+from llm_frames import documents, empty_documents, odd_documents, shingles, similar
 
 from ledgerlens.llm import mixing
-from ledgerlens.session import materialize
+from ledgerlens.session import BATCH_KEY, materialize
 
 DATA = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,3 +59,27 @@ def test_stages_over_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         rows = materialize(stage(spark, rows, DATA), f"empty-{name}")
         assert rows.count() == 0
+
+
+def test_stages_send_texts_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BATCH_ROWS", 7)
+    before = spark.conf.get(BATCH_KEY)
+    rows = documents(spark, [f"text {i} of many words, mail a{i}@mail.org" for i in range(100)]).coalesce(1)
+    frame = type(rows)
+    mapped = frame.mapInArrow
+
+    def small(df, run, *args, **kwargs):
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    if batch.num_rows > 7:
+                        raise ValueError(f"{batch.num_rows} rows at once")
+                    yield batch
+            return run(each())
+        return mapped(df, checked, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", small)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in corpus_pipeline.WRITTEN:
+            assert materialize(stage(spark, rows, DATA), f"small-{name}").count() == 100
+    assert spark.conf.get(BATCH_KEY) == before
