@@ -253,8 +253,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             windows = windows.dropDuplicates(["key", "doc_id", "at"])
         # Rows come in order, so that a key with many of them is never held in memory.
         of_key = Window.partitionBy("key").orderBy("doc_id", "at")
+        upto = of_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = windows.withColumns({
-            "first_doc": F.first("doc_id").over(of_key), "first_at": F.first("at").over(of_key),
+            "first_doc": F.first("doc_id").over(upto), "first_at": F.first("at").over(upto),
             "number": F.row_number().over(of_key), "follows": F.lead("doc_id").over(of_key)})
         source = {"source": F.when(F.col("own") >= 0, F.col("doc_id")).otherwise(F.col("first_doc")),
                   "source_at": F.when(F.col("own") >= 0, F.col("own")).otherwise(F.col("first_at"))}

@@ -35,7 +35,7 @@ def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFrame,
            verify: Callable[[DataFrame], DataFrame],
            hopeful: Callable[[DataFrame], DataFrame] | None = None,
-           narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+           narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, best_first: bool = True) -> DataFrame:
     """``node``, ``component`` of all linked nodes.
 
     ``members`` comes from ``placed_members``; ``links`` (``a``, ``b``) are known before;
@@ -44,13 +44,14 @@ def settle(scratch: Scratch, members: DataFrame, keys: list[str], links: DataFra
     of each key are compared with those behind them, the next 1024 and so on, each only
     with nodes that no link found so far connects with it, until every key is settled: its
     nodes are all connected or all compared. Between rounds ``hopeful`` may leave out members
-    that cannot be linked to any other. With ``narrow`` there is one round of first nodes only;
+    that cannot be linked to any other. Without ``best_first`` all first nodes are met at once, which
+    takes fewer jobs and is right for small sets. With ``narrow`` there is one round of first nodes only;
     then it gives certain links and the few pairs of the open members that are left to compare.
     """
     labels = connected_components(links, scratch)
     compared: list[DataFrame] = []
     begin, width = 1, 1
-    if not members.isEmpty():
+    if best_first and not members.isEmpty():
         # What these connect need not be compared with the first nodes of its other keys.
         best = scratch.keep(_best_pairs(members, labels), "best_pairs")
         compared.append(best)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens.llm.differences import possible_pairs
 from ledgerlens.llm.jaccard import PERCENT, shingle_sets
@@ -67,10 +67,14 @@ def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     terms = random.integers(0, 2 ** 63, bands * rows, dtype=np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     keys = np.zeros((len(sizes), bands), np.uint64)
+    spread, shifted = np.empty_like(hashes), np.empty_like(hashes)
     for i, (factor, term) in enumerate(zip(factors, terms)):
-        spread = hashes * factor + term
-        spread ^= spread >> np.uint64(29)
-        least = np.minimum.reduceat(spread * np.uint64(0xBF58476D1CE4E5B9), starts)
+        np.multiply(hashes, factor, out=spread)
+        spread += term
+        np.right_shift(spread, np.uint64(29), out=shifted)
+        spread ^= shifted
+        spread *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum.reduceat(spread, starts)
         band = i // rows
         keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
     return keys
@@ -136,9 +140,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(scratch: Scratch, places: DataFrame) -> DataFrame:
     """``band`` and ``node`` of the bands that several entries share; an entry's copies count once."""
     entries = places.groupBy("node").agg(F.first("bands").alias("bands"))
-    bands = scratch.keep(entries.select("node", F.explode("bands").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    met = scratch.keep(bands.join(shared, "band").select("band", "node"), "shared")
+    bands = entries.select("node", F.explode("bands").alias("band"))
+    counted = bands.withColumn("n", F.count("*").over(Window.partitionBy("band")))
+    met = scratch.keep(counted.where("n > 1").select("band", "node"), "shared")
     fame = met.groupBy("node").agg(F.count("*").alias("fame"))
     return placed_members(scratch, met.join(fame, "node"), ["band"])
 
@@ -175,7 +179,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return possible_pairs(scratch, stored.join(nodes, "node"), open_members, ["band"], PERCENT)
 
         none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        labels = settle(scratch, members, ["band"], none, verify, narrow=narrow)
+        labels = settle(scratch, members, ["band"], none, verify, narrow=narrow, best_first=False)
         named = scratch.keep(with_components(places, labels).drop("node"), "named")
         clusters = scratch.keep(named.groupBy("component").agg(
             F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("cluster_size")
