@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.checks import registry
-from ledgerlens.plans import training
+from ledgerlens.plans import random_trees, training
 
 ONES, ZEROS, UNLABELLED = 1100, 1300, 50
 
@@ -35,3 +35,10 @@ def test_grid_search_deals_every_labelled_row(spark, matrix, monkeypatch):
     with pytest.raises(Seen) as rows:
         training.grid_search(matrix, ["noise", "signal"], max_ones=7)
     assert rows.value.args[0] == {0: 7, 1: 7}
+
+
+def test_forest_sees_every_labelled_row(spark, matrix, monkeypatch):
+    monkeypatch.setattr(random_trees, "random_tree_importance", seen)
+    with pytest.raises(Seen) as rows:
+        registry.QUERIES["forest_importance"](spark, "of a test")
+    assert rows.value.args[0] == {0: ZEROS, 1: ONES}
