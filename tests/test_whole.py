@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.checks import registry
-from ledgerlens.plans import random_trees, training
+from ledgerlens.plans import random_trees, study, training
 
 ONES, ZEROS, UNLABELLED = 1100, 1300, 50
 
@@ -42,3 +42,15 @@ def test_forest_sees_every_labelled_row(spark, matrix, monkeypatch):
     with pytest.raises(Seen) as rows:
         registry.QUERIES["forest_importance"](spark, "of a test")
     assert rows.value.args[0] == {0: ZEROS, 1: ONES}
+
+
+def test_permutations_and_their_network_see_every_labelled_row(spark, matrix, monkeypatch):
+    with monkeypatch.context() as patched, pytest.raises(Seen) as rows:
+        patched.setattr(training, "train_network", seen)
+        registry.QUERIES["permutation_importance"](spark, "of a test")
+    assert rows.value.args[0] == {0: ZEROS, 1: ONES}
+    monkeypatch.setattr(training, "train_network", lambda *_: None)
+    monkeypatch.setattr(study, "permutation_importance", lambda _, df, *__: seen(df))
+    with pytest.raises(Seen) as rows:
+        registry.QUERIES["permutation_importance"](spark, "of a second test")
+    assert rows.value.args[0] == {0: ZEROS, 1: ONES}
